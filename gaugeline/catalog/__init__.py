@@ -1,6 +1,6 @@
 """The named queries, by subject."""
 
-from gaugeline.catalog import checks  # noqa: F401
+from gaugeline.catalog import checks, metadata, profiles  # noqa: F401
 from gaugeline.catalog.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

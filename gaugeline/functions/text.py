@@ -17,7 +17,7 @@ def slug(value: Column) -> Column:
     """Trimmed lower-case text, runs of other characters as one ``_``, never empty."""
     lowered = F.lower(F.regexp_replace(F.coalesce(value, F.lit("")), r"^\s+|\s+$", ""))
     joined = F.regexp_replace(lowered, r"[^a-zA-Z0-9_]+", "_")
-    return F.coalesce(F.nullif(F.trim(F.lit("_"), joined), F.lit("")), F.lit(EMPTY_SLUG))
+    return F.coalesce(F.nullif(F.trim(joined, F.lit("_")), F.lit("")), F.lit(EMPTY_SLUG))
 
 
 def check_name(value: Column) -> Column:

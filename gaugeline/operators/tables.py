@@ -62,7 +62,7 @@ def with_constants(df: DataFrame, one_row: DataFrame) -> DataFrame:
 def join_keys(columns: DataFrame) -> DataFrame:
     """Shared column names of each pair of tables, from (table_name, column_name) rows.
 
-    Tables are grouped per column first; only tables that do share a column meet.
+    Only tables that do share a column meet; a list is never longer than a table is wide.
     """
     distinct = columns.select("table_name", "column_name").distinct()
     left = distinct.withColumnRenamed("table_name", "left_table")
@@ -71,7 +71,7 @@ def join_keys(columns: DataFrame) -> DataFrame:
         left.join(right, "column_name")
         .filter(F.col("left_table") < F.col("right_table"))
         .groupBy("left_table", "right_table")
-        .agg(F.count("*").alias("n_shared"), F.min("column_name").alias("first_shared"))
+        .agg(F.array_sort(F.collect_list("column_name")).alias("shared"))
     )
 
 
