@@ -31,7 +31,8 @@ ALL_MAPPING_WORDS = (
     "all", "every", "each", "complete", "across all", "for all rules", "all rules",
     "every rule", "full mapping", "all mappings",
 )
-RULE_NUMBER = r"(?i)\brule\s+(?:#\s*|no\.?\s*|number\s*)?(\d+)\b"
+NUMBER_PREFIX = r"(?i)\brule\s+(?:#\s*|no\.?\s*|number\s*)?"
+RULE_NUMBER = NUMBER_PREFIX + r"(\d+)\b"
 ORDINAL_RULE = r"(?i)\b(" + "|".join(ORDINALS) + r")\s+rule\b"
 
 # Longer questions than this are neither clear follow-ups nor worth a second look.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,15 @@ from pyspark.sql import functions as F
 _MASK_BITS = 62
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once.
+
+    Inside higher-order functions Spark evaluates a repeated expression every time it
+    appears; as an element of a one-element array it is evaluated once.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def name_tokens(normalized: Column) -> Column:
     """Sorted distinct tokens of a normalised name."""
     return F.array_sort(F.array_distinct(F.filter(F.split(normalized, " +"), lambda t: t != "")))
@@ -18,92 +29,99 @@ def _chars(text: Column) -> Column:
     return F.filter(F.split(text, ""), lambda c: c != "")
 
 
-def _lcs_by_bits(short: Column, long: Column) -> Column:
-    """Length of the longest common subsequence, one machine word per character of ``long``."""
-    letters = _chars(short)
-    full = F.shiftleft(F.lit(1).cast("bigint"), F.length(short)) - F.lit(1).cast("bigint")
+def _lcs_by_bits(letters: Column, others: Column) -> Column:
+    """Length of the longest common subsequence, one machine word per letter of ``others``."""
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
 
     def mask(char: Column) -> Column:
-        bits = F.transform(
-            letters,
-            lambda c, i: F.when(c == char, F.expr("1L")).otherwise(F.expr("0L")) * F.pow(F.lit(2.0), i).cast("bigint"),
-        )
-        return F.aggregate(bits, F.lit(0).cast("bigint"), lambda acc, bit: acc + bit)
+        bits = F.transform(letters, lambda c, i: F.when(c == char, F.call_function("shiftleft", one, i)).otherwise(zero))
+        return F.aggregate(bits, zero, lambda acc, bit: acc + bit)
+
+    def run(full: Column) -> Column:
+        def step(state: Column, char: Column) -> Column:
+            return bind(
+                F.struct(state.alias("s"), state.bitwiseAND(mask(char)).alias("hit")),
+                lambda t: (t["s"] + t["hit"]).bitwiseOR(t["s"] - t["hit"]).bitwiseAND(full),
+            )
 
-    def step(state: Column, bits: Column) -> Column:
-        hit = state.bitwiseAND(bits)
-        return (state + hit).bitwiseOR(state - hit).bitwiseAND(full)
+        return F.size(letters) - F.bit_count(F.aggregate(others, full, step))
 
-    last = F.aggregate(F.transform(_chars(long), mask), full, step)
-    return (F.length(short) - F.bit_count(last)).cast("int")
+    return bind(F.call_function("shiftleft", one, F.size(letters)) - one, run).cast("int")
 
 
-def _lcs_by_rows(a: Column, b: Column) -> Column:
+def _lcs_by_rows(letters: Column, others: Column) -> Column:
     """The same length by dynamic programming over rows, for texts of any length."""
-    right = _chars(b)
-    zeros = F.transform(F.sequence(F.lit(0), F.length(b)), lambda _: F.lit(0))
+    zeros = F.array_repeat(F.lit(0), F.size(others) + 1)
 
     def next_row(row: Column, char: Column) -> Column:
-        start = F.array(F.lit(0))
-
         def cell(done: Column, j: Column) -> Column:
-            diagonal = F.element_at(row, j)
-            above = F.element_at(row, j + 1)
-            best = F.when(F.element_at(right, j) == char, diagonal + 1).otherwise(
-                F.greatest(above, F.element_at(done, -1))
+            best = F.when(F.element_at(others, j) == char, F.element_at(row, j) + 1).otherwise(
+                F.greatest(F.element_at(row, j + 1), F.element_at(done, -1))
             )
             return F.concat(done, F.array(best))
 
-        return F.when(
-            F.size(right) > 0,
-            F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(right), F.lit(1))), start, cell),
-        ).otherwise(start)
+        return F.aggregate(F.sequence(F.lit(1), F.size(others)), F.array(F.lit(0)), cell)
 
-    return F.element_at(F.aggregate(_chars(a), zeros, next_row), -1)
+    return F.element_at(F.aggregate(letters, zeros, next_row), -1)
 
 
 def common_subsequence(a: Column, b: Column) -> Column:
     """Length of the longest common subsequence of two short texts."""
     a_first = F.length(a) <= F.length(b)
-    short = F.when(a_first, a).otherwise(b)
-    long = F.when(a_first, b).otherwise(a)
-    return (
-        F.when(F.length(short) == 0, F.lit(0))
-        .when(F.length(short) <= _MASK_BITS, _lcs_by_bits(short, long))
-        .otherwise(_lcs_by_rows(short, long))
+    ordered = F.struct(
+        _chars(F.when(a_first, a).otherwise(b)).alias("short"), _chars(F.when(a_first, b).otherwise(a)).alias("long")
+    )
+    return bind(
+        ordered,
+        lambda t: F.when(F.size(t["short"]) == 0, F.lit(0))
+        .when(F.size(t["short"]) <= _MASK_BITS, _lcs_by_bits(t["short"], t["long"]))
+        .otherwise(_lcs_by_rows(t["short"], t["long"])),
     )
 
 
-def token_set_similarity(a: Column, b: Column) -> Column:
-    """M1: token-set similarity of two normalised names, 0 to 1.
+def token_set_similarity(left: Column, right: Column) -> Column:
+    """M1: token-set similarity, 0 to 1, of two sorted token lists (see ``name_tokens``).
 
-    Both names become token sets. Their shared tokens and the two remainders, each sorted
-    and joined by spaces, give three pairs of texts; the result is the best ratio
-    ``1 - indel distance / summed length`` over the pairs.
+    The shared tokens and the two remainders, each joined by spaces, give three pairs of
+    texts; the result is the best ratio ``1 - indel distance / summed length`` over them.
+    A list that holds the whole other list is a full match.
     """
-    left, right = name_tokens(a), name_tokens(b)
-    shared = F.array_intersect(left, right)
-    only_left = F.array_except(left, right)
-    only_right = F.array_except(right, left)
-    rest_left = F.array_join(F.array_sort(only_left), " ")
-    rest_right = F.array_join(F.array_sort(only_right), " ")
-    shared_length = F.length(F.array_join(F.array_sort(shared), " "))
-    gap = F.when(shared_length > 0, 1).otherwise(0)
-    left_length, right_length = F.length(rest_left), F.length(rest_right)
-    full_left = shared_length + gap + left_length
-    full_right = shared_length + gap + right_length
-    indel = left_length + right_length - 2 * common_subsequence(rest_left, rest_right)
-    whole = F.lit(1.0) - indel / (full_left + full_right)
-    with_left = F.lit(1.0) - (gap + left_length) / (shared_length + full_left)
-    with_right = F.lit(1.0) - (gap + right_length) / (shared_length + full_right)
+    parts = F.struct(
+        F.array_intersect(left, right).alias("shared"),
+        F.array_except(left, right).alias("left"),
+        F.array_except(right, left).alias("right"),
+    )
     return (
         F.when((F.size(left) == 0) | (F.size(right) == 0), F.lit(0.0))
-        .when((F.size(shared) > 0) & ((F.size(only_left) == 0) | (F.size(only_right) == 0)), F.lit(1.0))
-        .when(F.size(shared) == 0, whole)
-        .otherwise(F.greatest(whole, with_left, with_right))
+        .otherwise(bind(parts, lambda p: F.when(
+            (F.size(p["shared"]) > 0) & ((F.size(p["left"]) == 0) | (F.size(p["right"]) == 0)), F.lit(1.0)
+        ).otherwise(bind(
+            F.struct(
+                F.array_join(p["left"], " ").alias("left"),
+                F.array_join(p["right"], " ").alias("right"),
+                F.length(F.array_join(p["shared"], " ")).alias("shared"),
+            ),
+            _best_ratio,
+        ))))
     )
 
 
+def _best_ratio(p: Column) -> Column:
+    """Best of the three ratios, from the two remainder texts and the shared length."""
+    gap = F.when(p["shared"] > 0, 1).otherwise(0)
+    left, right = F.length(p["left"]), F.length(p["right"])
+    full_left, full_right = p["shared"] + gap + left, p["shared"] + gap + right
+    whole = F.lit(1.0) - (left + right - 2 * common_subsequence(p["left"], p["right"])) / (full_left + full_right)
+    with_left = F.lit(1.0) - (gap + left) / (p["shared"] + full_left)
+    with_right = F.lit(1.0) - (gap + right) / (p["shared"] + full_right)
+    return F.when(p["shared"] == 0, whole).otherwise(F.greatest(whole, with_left, with_right))
+
+
+def name_similarity(a: Column, b: Column) -> Column:
+    """M1 of two normalised names."""
+    return bind(F.struct(name_tokens(a).alias("a"), name_tokens(b).alias("b")), lambda t: token_set_similarity(t["a"], t["b"]))
+
+
 def dot(a: Column, b: Column) -> Column:
     products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
     return F.aggregate(products, F.lit(0.0), lambda acc, p: acc + p)

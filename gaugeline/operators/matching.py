@@ -7,9 +7,10 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeline.functions.similarity import cosine, token_set_similarity
+from gaugeline.functions.similarity import cosine, name_tokens, token_set_similarity
 from gaugeline.functions.text import normalized_name
 from gaugeline.operators.ranking import first_per_key, top_per_group
+from gaugeline.operators.skew import spread_rows
 
 # Weights of the external, vector and name scores, in percent.
 DEFAULT_WEIGHTS = {"llm": 50, "cosine": 30, "fuzzy": 20}
@@ -27,7 +28,8 @@ def pools(columns: DataFrame) -> DataFrame:
     distinct = columns.groupBy("scope", "column").agg(
         F.min("position").alias("position"), F.min_by(vector, "position").alias("vector")
     )
-    ordered = F.array_sort(F.collect_list(F.struct("position", "column", "vector")))
+    tokens = name_tokens(normalized_name(F.col("column"))).alias("tokens")
+    ordered = F.array_sort(F.collect_list(F.struct("position", "column", tokens, "vector")))
     return distinct.groupBy("scope").agg(ordered.alias("pool"))
 
 
@@ -45,8 +47,8 @@ def dense_scores(rows: DataFrame) -> DataFrame:
     return rows.select("scope", "entity", F.posexplode("scores").alias("index", "score"))
 
 
-def _score(entity: Column, vector: Column, scores: Column, candidate: Column, index: Column, weights: Mapping[str, float]) -> Column:
-    name = token_set_similarity(entity, normalized_name(candidate["column"]))
+def _score(tokens: Column, vector: Column, scores: Column, candidate: Column, index: Column, weights: Mapping[str, float]) -> Column:
+    name = token_set_similarity(tokens, candidate["tokens"])
     external = F.coalesce(F.try_element_at(scores, index.cast("int")), F.lit(0.0))
     near = cosine(vector, candidate["vector"])
     return (
@@ -65,7 +67,7 @@ def ranked_candidates(entities: DataFrame, pool: DataFrame, scores: DataFrame |
     has_vector = "vector" in entities.columns
     vector = F.first("vector", ignorenulls=True) if has_vector else F.first(F.lit(None).cast("array<float>"))
     distinct = entities.filter(F.coalesce(F.col("entity"), F.lit("")) != "").groupBy("scope", "entity").agg(vector.alias("vector"))
-    named = distinct.withColumn("__norm", normalized_name(F.col("entity")))
+    named = spread_rows(distinct).withColumn("__tokens", name_tokens(normalized_name(F.col("entity"))))
     if scores is None:
         named = named.withColumn("scores", F.lit(None).cast("map<int,double>"))
     else:
@@ -73,7 +75,7 @@ def ranked_candidates(entities: DataFrame, pool: DataFrame, scores: DataFrame |
     scored = named.join(pool, "scope").withColumn(
         "ranked",
         F.transform("pool", lambda c, i: F.struct(
-            (-_score(F.col("__norm"), F.col("vector"), F.col("scores"), c, i, weights)).alias("negative"),
+            (-_score(F.col("__tokens"), F.col("vector"), F.col("scores"), c, i, weights)).alias("negative"),
             i.alias("place"),
             c["column"].alias("column"),
         )),
@@ -214,7 +216,7 @@ def extract_entities(texts: DataFrame, id_column: str, text: str, columns: DataF
         entities = found.select(F.lit("").alias("scope"), F.col("phrase").alias("entity"))
         best = resolve(entities, scoped, None, {"llm": 0, "cosine": 0, "fuzzy": 100}).filter(F.col("score") >= threshold)
         hits = found.join(best.select(F.col("entity").alias("phrase"), "column", "score"), "phrase")
-    return _non_overlapping(hits, id_column, longest)
+    return _non_overlapping(hits, id_column)
 
 
 def token_key(normalized: Column) -> Column:
@@ -223,39 +225,23 @@ def token_key(normalized: Column) -> Column:
     return F.array_join(F.array_sort(F.array_distinct(tokens)), " ")
 
 
-def _non_overlapping(hits: DataFrame, id_column: str, longest: int) -> DataFrame:
+def _non_overlapping(hits: DataFrame, id_column: str) -> DataFrame:
     """Of hits that share a word keep the longest, then the better, then the first.
 
-    Longer hits are settled first: per length, a hit stays if no word of it is taken by a
-    kept longer hit and no hit of its own length that starts earlier overlaps it.
+    The hits of a text are folded inside one row, as the text itself is one row: the list
+    is never longer than the text.
     """
-    kept = None
-    columns = [id_column, "start", "n_words", "phrase", "column", "score"]
-    rows = hits.select(*columns)
-    for n in range(longest, 0, -1):
-        level = rows.filter(F.col("n_words") == n)
-        if kept is not None:
-            taken = kept.select(id_column, F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n_words") - 1)).alias("__word")).distinct()
-            words = level.select(id_column, "start", F.explode(F.sequence(F.col("start"), F.col("start") + n - 1)).alias("__word"))
-            blocked = words.join(taken, [id_column, "__word"], "left_semi").select(id_column, "start").distinct()
-            level = level.join(blocked, [id_column, "start"], "left_anti")
-        level = _first_of_runs(level, id_column, n)
-        kept = level if kept is None else kept.unionByName(level)
-    return kept
-
-
-def _first_of_runs(level: DataFrame, id_column: str, n: int) -> DataFrame:
-    """Greedy choice from the left among hits of one length within each text.
-
-    The starts of a text are folded in order inside one row; each text is one row already,
-    so the fold is as long as a text has hits.
-    """
-    if n == 1:
-        return level
-    starts = level.groupBy(id_column).agg(F.array_sort(F.collect_set("start")).alias("__starts"))
-    empty = F.array().cast("array<int>")
-    chosen = F.aggregate(
-        "__starts", empty,
-        lambda acc, s: F.when((F.size(acc) == 0) | (F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + n <= s), F.concat(acc, F.array(s))).otherwise(acc),
+    item = F.struct(
+        (-F.col("n_words")).alias("shorter"), (-F.col("score")).alias("worse"), F.col("start").cast("int").alias("start"),
+        F.col("n_words").cast("int").alias("n_words"), "phrase", "column", "score",
+    )
+    texts = hits.groupBy(id_column).agg(F.array_sort(F.collect_list(item)).alias("__hits"))
+
+    def free(kept: Column, hit: Column) -> Column:
+        return ~F.exists(kept, lambda k: (k["start"] < hit["start"] + hit["n_words"]) & (hit["start"] < k["start"] + k["n_words"]))
+
+    kept = F.aggregate(
+        F.col("__hits"), F.filter("__hits", lambda _: F.lit(False)),
+        lambda acc, hit: F.when(free(acc, hit), F.concat(acc, F.array(hit))).otherwise(acc),
     )
-    return level.join(starts.select(id_column, F.explode(chosen).alias("start")), [id_column, "start"], "left_semi")
+    return texts.select(id_column, F.inline(kept)).select(id_column, "start", "n_words", "phrase", "column", "score")

@@ -46,3 +46,13 @@ def spread_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str =
     right_salts = F.when(F.col(_HOT), F.sequence(F.lit(1), F.lit(SALTS))).otherwise(F.array(F.lit(0)))
     right_side = right.join(hot, keys, "left").withColumn(_SALT, F.explode(right_salts)).drop(_HOT)
     return left_side.join(right_side, [*keys, _SALT], how).drop(_SALT)
+
+
+def spread_rows(df: DataFrame) -> DataFrame:
+    """Rows dealt evenly over all shuffle partitions, for work that is heavy per row.
+
+    Runtime coalescing goes by bytes and would put many small, expensive rows in one task;
+    it leaves an explicit number of partitions alone.
+    """
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(partitions, row_hash(df))
