@@ -176,7 +176,7 @@ def suggested_columns(spark, folder):
 
 @query("entity_extract", "WITH " + ", ".join([d.RULES_SQL, d.COLUMNS_SQL,
     "tok AS (SELECT rule_id, list_filter(string_split_regex(text, '\\s+'), lambda t: t <> '') AS t FROM rul)",
-    "grm AS (SELECT rule_id, i AS start, n AS n_words, array_to_string(t[i:i + n - 1], ' ') AS phrase FROM tok, (SELECT unnest([1, 2, 3, 4]) AS n) g, (SELECT unnest(range(1, 30)) AS i) s WHERE i + n - 1 <= len(t))",
+    "grm AS (SELECT rule_id, CAST(i AS INTEGER) AS start, n AS n_words, array_to_string(t[i:i + n - 1], ' ') AS phrase FROM tok, (SELECT unnest([1, 2, 3, 4]) AS n) g, (SELECT unnest(range(1, 30)) AS i) s WHERE i + n - 1 <= len(t))",
     f"key AS (SELECT array_to_string({_tokens(_norm('column_name'))}, ' ') AS k, arg_min(column_name, position) AS col FROM cat GROUP BY 1)"]) + f"""
  SELECT rule_id, start, n_words, phrase, col AS "column" FROM grm JOIN key ON array_to_string({_tokens(_norm('phrase'))}, ' ') = k""")
 def entity_extract(spark, folder):
