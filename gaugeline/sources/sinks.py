@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaugeline.sources.tables import CSV_OPTIONS
+
 
 class ExportError(ValueError):
     """An export without the rows or ids it needs."""
@@ -20,14 +22,14 @@ def export_failed(failed: DataFrame | None, path: str, id_column: str | None, fa
         raise ExportError("No failed IDs provided.")
     if not id_column or id_column not in failed.columns:
         raise ExportError(f"ID column '{id_column}' not found in dataset.")
-    failed.write.mode("overwrite").option("header", True).csv(path)
+    failed.write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
 
 
 def export_remediated(remediated: DataFrame, path: str, file_format: str = "csv") -> None:
     """Write a repaired table."""
     writer = remediated.write.mode("overwrite")
     if file_format == "csv":
-        writer = writer.option("header", True)
+        writer = writer.options(**CSV_OPTIONS)
     writer.format(file_format).save(path)
 
 

@@ -18,6 +18,8 @@ TARGET_FIELD = T.StructType([
     T.StructField("category", T.StringType()),
     T.StructField("table_name", T.StringType()),
 ])
+# CSV with a header row and quotes doubled inside quoted text.
+CSV_OPTIONS = {"header": "true", "escape": '"'}
 TARGET_SCHEMA = T.StructType([T.StructField("target_columns", T.ArrayType(TARGET_FIELD))])
 
 
@@ -62,7 +64,7 @@ def load_table(
     """
     reader = spark.read.format(file_format)
     if file_format == "csv":
-        reader = reader.option("header", True)
+        reader = reader.options(**CSV_OPTIONS)
     if schema is not None:
         reader = reader.schema(schema)
     df, _ = sanitize_columns(reader.options(**options).load(path))
@@ -95,7 +97,7 @@ def load_rules(spark: SparkSession, path: str, file_format: str = "csv") -> Data
     In CSV files the list columns hold JSON arrays.
     """
     if file_format == "csv":
-        raw = spark.read.option("header", True).csv(path)
+        raw = spark.read.options(**CSV_OPTIONS).csv(path)
     else:
         raw = spark.read.format(file_format).load(path)
     selected = []
