@@ -83,8 +83,8 @@ def check_compare_columns(spark, folder):
 
 def _orders_with_items(spark, folder):
     """Order and item rows joined on the key name they share after renaming."""
-    orders = tb.rename_to_schema(table(spark, folder, "orders"), {"orderkey": "o_orderkey"})
-    items = tb.rename_to_schema(table(spark, folder, "lineitem"), {"orderkey": "l_orderkey"})
+    orders = tb.rename_to_schema(table(spark, folder, "orders").select("o_orderkey", "o_orderdate"), {"orderkey": "o_orderkey"})
+    items = tb.rename_to_schema(table(spark, folder, "lineitem").select("l_orderkey", "l_shipdate"), {"orderkey": "l_orderkey"})
     return tb.auto_join({"items": items, "orders": orders}, ["items", "orders"])
 
 

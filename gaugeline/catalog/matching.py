@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gaugeline.catalog import derived as d
 from gaugeline.catalog.registry import query, table
-from gaugeline.functions.similarity import name_similarity
+from gaugeline.functions.similarity import name_similarity, token_key
 from gaugeline.functions.text import normalized_name
 from gaugeline.operators import matching as mt
 from gaugeline.operators.ranking import score_band
@@ -46,7 +46,7 @@ def token_set_score(spark, folder):
     y = part.select(F.col("p_partkey").alias("l_suppkey"), F.concat(F.upper("p_type"), F.lit("."), F.replace("p_name", F.lit(" "), F.lit("_"))).alias("b"))
     pairs = table(spark, folder, "lineitem").select("l_partkey", "l_suppkey").join(x, "l_partkey").join(y, "l_suppkey").select("a", "b").distinct()
     pairs = spread_rows(pairs)
-    similarity = name_similarity(normalized_name(F.col("a")), normalized_name(F.col("b")))
+    similarity = name_similarity(token_key(normalized_name(F.col("a"))), token_key(normalized_name(F.col("b"))))
     return pairs.select("a", "b", F.round(similarity, 6).alias("similarity"))
 
 

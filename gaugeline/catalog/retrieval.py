@@ -180,7 +180,8 @@ def bm25_topk(spark, folder):
 
 @query("bm25_terms", f"WITH {BM25_SQL} SELECT term, df, round(idf, 6) AS idf FROM df JOIN idf USING (term)")
 def bm25_terms(spark, folder):
-    return rt.term_statistics(table(spark, folder, "documents"), "doc_id", "text").withColumn("idf", F.round("idf", 6))
+    statistics = rt.corpus_statistics(table(spark, folder, "documents"), "text")
+    return rt.term_weights(statistics).withColumn("idf", F.round("idf", 6))
 
 
 VECTOR_SQL = """dis AS (SELECT q.vec_id AS query_id, v.vec_id AS doc_id, list_sum(list_transform(range(1, 65), lambda i: (CAST(v.embedding[i] AS DOUBLE) - CAST(q.embedding[i] AS DOUBLE)) * (CAST(v.embedding[i] AS DOUBLE) - CAST(q.embedding[i] AS DOUBLE)))) AS q

@@ -74,5 +74,9 @@ def without_id_assignments(text: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    """White-space tokens of a text; an empty list for blank text."""
-    return F.filter(F.split(text, r"\s+"), lambda t: t != "")
+    """White-space tokens of a text; an empty list for blank text.
+
+    All white space becomes a space first: splitting at one plain character is several
+    times faster than splitting at a pattern.
+    """
+    return F.array_remove(F.split(F.translate(text, "\t\n\x0b\f\r", "     "), " "), "")

@@ -55,7 +55,7 @@ def with_unique_verdict(df: DataFrame, keys: Sequence[str], name: str = "verdict
     repeated = (
         key_counts(df, keys).filter((F.col("n_rows") > 1) & _key_is_known(keys)).select(*keys, F.lit(True).alias("__repeats"))
     )
-    flagged = spread_join(df, repeated, keys, "left")
+    flagged = spread_join(df, repeated, list(keys), "left")
     return flagged.withColumn(name, F.when(_key_is_known(keys), F.col("__repeats").isNull())).drop("__repeats")
 
 

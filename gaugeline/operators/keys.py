@@ -84,7 +84,10 @@ def with_generated_id(df: DataFrame, name: str = GENERATED_ID, stable: bool = Fa
     values: the ids do not depend on file layout and may be stored.
     """
     if stable:
-        return global_position(df, [column(c) for c in df.columns], name=name, start=0)
+        # Equal rows are told apart by their place, so that copies of one row do not all
+        # fall into one range; which copy gets which number makes no difference.
+        marked = df.withColumn("__tie", F.monotonically_increasing_id())
+        return global_position(marked, [*[column(c) for c in df.columns], "__tie"], name=name, start=0).drop("__tie")
     return df.withColumn(name, F.monotonically_increasing_id())
 
 

@@ -7,8 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeline.functions.similarity import cosine, name_tokens, token_set_similarity
-from gaugeline.functions.text import normalized_name
+from gaugeline.functions.similarity import dot, pool_similarities, token_key, unit
+from gaugeline.functions.text import normalized_name, words
 from gaugeline.operators.ranking import first_per_key, top_per_group
 from gaugeline.operators.skew import spread_rows
 
@@ -27,9 +27,9 @@ def pools(columns: DataFrame) -> DataFrame:
     vector = F.col("vector") if "vector" in columns.columns else F.lit(None).cast("array<float>")
     distinct = columns.groupBy("scope", "column").agg(
         F.min("position").alias("position"), F.min_by(vector, "position").alias("vector")
-    )
-    tokens = name_tokens(normalized_name(F.col("column"))).alias("tokens")
-    ordered = F.array_sort(F.collect_list(F.struct("position", "column", tokens, "vector")))
+    ).withColumn("vector", unit(F.col("vector")))
+    key = token_key(normalized_name(F.col("column"))).alias("key")
+    ordered = F.array_sort(F.collect_list(F.struct("position", "column", key, "vector")))
     return distinct.groupBy("scope").agg(ordered.alias("pool"))
 
 
@@ -47,17 +47,6 @@ def dense_scores(rows: DataFrame) -> DataFrame:
     return rows.select("scope", "entity", F.posexplode("scores").alias("index", "score"))
 
 
-def _score(tokens: Column, vector: Column, scores: Column, candidate: Column, index: Column, weights: Mapping[str, float]) -> Column:
-    name = token_set_similarity(tokens, candidate["tokens"])
-    external = F.coalesce(F.try_element_at(scores, index.cast("int")), F.lit(0.0))
-    near = cosine(vector, candidate["vector"])
-    return (
-        F.lit(weights["llm"] / 100) * external
-        + F.lit(weights["cosine"] / 100) * near
-        + F.lit(weights["fuzzy"] / 100) * name
-    )
-
-
 def ranked_candidates(entities: DataFrame, pool: DataFrame, scores: DataFrame | None = None, weights: Mapping[str, float] = DEFAULT_WEIGHTS) -> DataFrame:
     """Each distinct (scope, entity) with all columns of its scope, best first.
 
@@ -67,21 +56,28 @@ def ranked_candidates(entities: DataFrame, pool: DataFrame, scores: DataFrame |
     has_vector = "vector" in entities.columns
     vector = F.first("vector", ignorenulls=True) if has_vector else F.first(F.lit(None).cast("array<float>"))
     distinct = entities.filter(F.coalesce(F.col("entity"), F.lit("")) != "").groupBy("scope", "entity").agg(vector.alias("vector"))
-    named = spread_rows(distinct).withColumn("__tokens", name_tokens(normalized_name(F.col("entity"))))
+    named = spread_rows(distinct).withColumn("vector", unit(F.col("vector")))
     if scores is None:
         named = named.withColumn("scores", F.lit(None).cast("map<int,double>"))
     else:
         named = named.join(score_maps(scores), ["scope", "entity"], "left")
-    scored = named.join(pool, "scope").withColumn(
-        "ranked",
-        F.transform("pool", lambda c, i: F.struct(
-            (-_score(F.col("__tokens"), F.col("vector"), F.col("scores"), c, i, weights)).alias("negative"),
-            i.alias("place"),
-            c["column"].alias("column"),
-        )),
+    keys = F.transform("pool", lambda c: c["key"])
+    compared = named.join(pool, "scope").withColumn(
+        "names", pool_similarities(token_key(normalized_name(F.col("entity"))), keys)
     )
-    ordered = F.transform(F.array_sort("ranked"), lambda s: F.struct(s["column"].alias("column"), (-s["negative"]).alias("score")))
-    return scored.select("scope", "entity", ordered.alias("ranked"))
+
+    def candidate(column: Column, index: Column) -> Column:
+        external = F.coalesce(F.try_element_at("scores", index.cast("int")), F.lit(0.0))
+        near = F.coalesce(dot(F.col("vector"), column["vector"]), F.lit(0.0))
+        score = (
+            F.lit(weights["llm"] / 100) * external
+            + F.lit(weights["cosine"] / 100) * near
+            + F.lit(weights["fuzzy"] / 100) * F.get("names", index)
+        )
+        return F.struct((-score).alias("negative"), index.alias("place"), column["column"].alias("column"))
+
+    ordered = F.transform(F.array_sort(F.transform("pool", candidate)), lambda s: F.struct(s["column"].alias("column"), (-s["negative"]).alias("score")))
+    return compared.select("scope", "entity", ordered.alias("ranked"))
 
 
 def best_columns(ranked: DataFrame) -> DataFrame:
@@ -186,14 +182,22 @@ def choosable_columns(schema_to_dataset: DataFrame | None, columns: DataFrame) -
 
 
 def phrases(texts: DataFrame, id_column: str, text: str, longest: int = MAX_PHRASE_WORDS) -> DataFrame:
-    """All word sequences of 1 to ``longest`` words: (id, start, n_words, phrase)."""
-    tokens = F.filter(F.split(F.col(text), r"\s+"), lambda t: t != "")
-    listed = texts.select(id_column, tokens.alias("__t"))
-    starts = F.transform("__t", lambda _, i: F.transform(
-        F.sequence(F.lit(1), F.least(F.lit(longest), F.size("__t") - i)),
-        lambda n: F.struct((i + 1).alias("start"), n.cast("int").alias("n_words"), F.array_join(F.slice("__t", i + 1, n), " ").alias("phrase")),
-    ))
-    return listed.select(id_column, F.inline(F.flatten(starts)))
+    """All word sequences of 1 to ``longest`` words: (id, start, n_words, phrase, key).
+
+    ``key`` is the sorted distinct tokens of the normalised phrase; every word is normalised
+    once, whatever the number of phrases it is part of.
+    """
+    listed = texts.select(id_column, words(F.col(text)).alias("__w")).withColumn(
+        "__t", F.transform("__w", lambda w: F.array_remove(F.split(normalized_name(w), " "), ""))
+    )
+    lengths = F.sequence(F.lit(1), F.least(F.lit(longest), F.size("__w") - F.col("__i")))
+    starts = listed.select("*", F.posexplode_outer("__w").alias("__i", "__word")).filter(F.col("__i").isNotNull())
+    spans = starts.select("*", F.explode_outer(lengths).alias("n_words"))
+    first, count = F.col("__i") + 1, F.col("n_words")
+    tokens = F.array_sort(F.array_distinct(F.flatten(F.slice("__t", first, count))))
+    return spans.select(
+        id_column, first.alias("start"), "n_words", F.array_join(F.slice("__w", first, count), " ").alias("phrase"), F.array_join(tokens, " ").alias("key")
+    )
 
 
 def extract_entities(texts: DataFrame, id_column: str, text: str, columns: DataFrame, threshold: float = 1.0, longest: int = MAX_PHRASE_WORDS) -> DataFrame:
@@ -204,13 +208,14 @@ def extract_entities(texts: DataFrame, id_column: str, text: str, columns: DataF
     scored against the packed pool instead. Of overlapping phrases the longest stays, then
     the earliest.
     """
-    found = phrases(texts, id_column, text, longest).withColumn("__key", token_key(normalized_name(F.col("phrase"))))
-    found = found.filter(F.col("__key") != "")
+    # Rule texts are few bytes but much work each: every word starts several phrases.
+    spread = spread_rows(texts.select(id_column, text))
+    found = phrases(spread, id_column, text, longest).filter(F.col("key") != "")
     if threshold >= 1.0:
-        keyed = columns.groupBy(token_key(normalized_name(F.col("column"))).alias("__key")).agg(
+        keyed = columns.groupBy(token_key(normalized_name(F.col("column"))).alias("key")).agg(
             F.min_by("column", "position").alias("column")
         )
-        hits = found.join(keyed, "__key").withColumn("score", F.lit(1.0))
+        hits = found.join(keyed, "key").withColumn("score", F.lit(1.0))
     else:
         scoped = columns.select(F.lit("").alias("scope"), "position", "column")
         entities = found.select(F.lit("").alias("scope"), F.col("phrase").alias("entity"))
@@ -219,12 +224,6 @@ def extract_entities(texts: DataFrame, id_column: str, text: str, columns: DataF
     return _non_overlapping(hits, id_column)
 
 
-def token_key(normalized: Column) -> Column:
-    """Sorted distinct tokens of a name as one text."""
-    tokens = F.filter(F.split(normalized, " +"), lambda t: t != "")
-    return F.array_join(F.array_sort(F.array_distinct(tokens)), " ")
-
-
 def _non_overlapping(hits: DataFrame, id_column: str) -> DataFrame:
     """Of hits that share a word keep the longest, then the better, then the first.
 

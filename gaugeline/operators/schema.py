@@ -76,9 +76,9 @@ def _columns_in_text(rules: DataFrame, mapping: DataFrame) -> DataFrame:
     lowered = rules.select("rule_id", F.lower("text").alias("text"))
     inner = spaced.filter(F.contains("name", F.lit(" ")))
     whole = spaced.filter(~F.contains("name", F.lit(" ")))
-    ends = lowered.select("rule_id", "text", F.explode(_word_endings(F.col("text"))).alias("lead"))
+    ends = lowered.select("rule_id", "text", F.explode_outer(_word_endings(F.col("text"))).alias("lead"))
     by_end = ends.join(inner, "lead").filter(F.contains("text", F.col("name")))
-    parts = lowered.select("rule_id", F.explode(_word_pieces(F.col("text"))).alias("name"))
+    parts = lowered.select("rule_id", F.explode_outer(_word_pieces(F.col("text"))).alias("name"))
     by_piece = parts.join(whole, "name")
     return by_end.select("rule_id", "column", "pos").unionByName(by_piece.select("rule_id", "column", "pos")).distinct()
 

@@ -42,7 +42,8 @@ def auto_join(tables: Mapping[str, DataFrame], involved: Sequence[str], single_r
         if GENERATED_ID in result.columns and GENERATED_ID in other.columns:
             other = other.drop(GENERATED_ID)
         if shared:
-            result = spread_join(result, other, shared, "inner")
+            owner = next((tables[n] for n in names[: names.index(name)] if set(shared) <= set(tables[n].columns)), None)
+            result = spread_join(result, other, shared, "inner", measure=owner)
         elif name in single_row:
             result = with_constants(result, other)
         else:

@@ -19,7 +19,7 @@ def test_chunks_of_known_texts():
     assert rt.split_text("one two three four", 9, 4) == ["one two", "three", "four"]
     assert rt.split_text("a b c d e", 5, 2) == ["a b c", "c d", "d e"]
     assert rt.split_text("abcdefghij", 4, 1) == ["abcd", "defg", "ghij"]
-    assert rt.split_text("def a\n\nclass b" + "x" * 20, 10, 0, rt.CODE_SEPARATORS) == ["def a", "class b" + "x" * 20]
+    assert rt.split_text("def a\n\nclass b" + "x" * 20, 10, 0, rt.CODE_SEPARATORS) == ["def a", "\nclass b" + "x" * 20]
 
 
 def test_chunks_cover_the_text_and_keep_their_bounds():

@@ -27,9 +27,25 @@ def test_spread_join_equals_join(sides, how):
 
 def test_hot_keys_are_few_and_salted(sides):
     left, _ = sides
-    assert [r.k for r in hot_keys(left, ["k"]).collect()] == [7]
+    hashed = {r.h: r.k for r in left.select("k", F.xxhash64("k").alias("h")).distinct().collect()}
+    assert {hashed[h] for h in hot_keys(left, ["k"])} == {7}
     plan = spread_join(left, sides[1], ["k"])._jdf.queryExecution().optimizedPlan().toString()
-    assert str(SALTS) in plan
+    assert "__salt" in plan and str(SALTS) in plan
+    calm = spark_range(left, 4000)
+    assert hot_keys(calm, ["k"]) == []
+    assert "__salt" not in spread_join(calm, sides[1], ["k"])._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_hot_key_rows_reach_many_partitions(sides):
+    left, right = sides
+    joined = spread_join(left, right, ["k"]).filter("k = 7")
+    before = left.filter("k = 7").withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)))
+    assert before.select("salt").distinct().count() == SALTS
+    assert joined.count() == 12000
+
+
+def spark_range(like, n):
+    return like.sparkSession.range(n).select(F.col("id").cast("int").alias("k"), F.col("id").alias("a"))
 
 
 def test_spread_rows_keeps_rows(spark):
