@@ -14,7 +14,7 @@ RESULT = ["rule", "passed_count", "failed_count", "unknown_count", "pass_rate"]
 
 
 def _results(frame, rules, policy="fail"):
-    return ev.evaluate(frame, rules, policy).select(*RESULT[:4], F.round("pass_rate", 4).alias("pass_rate"))
+    return ev.evaluate(frame, rules, policy).select(*RESULT[:4], F.round("pass_rate", 6).alias("pass_rate"))
 
 
 def _result_sql(source: str, parts: list[tuple[str, str]], policy: str = "fail") -> str:
@@ -24,7 +24,7 @@ def _result_sql(source: str, parts: list[tuple[str, str]], policy: str = "fail")
     for name, cond in parts:
         selects.append(
             f"SELECT '{name}' AS rule, p AS passed_count, f AS failed_count, u AS unknown_count, "
-            "CASE WHEN p + f > 0 THEN round(p / (p + f), 4) ELSE 0 END AS pass_rate FROM ("
+            "CASE WHEN p + f > 0 THEN round(p / (p + f), 6) ELSE 0 END AS pass_rate FROM ("
             f"SELECT CAST(count(*) FILTER (WHERE coalesce(c, {default})) AS BIGINT) AS p, "
             f"CAST(count(*) FILTER (WHERE NOT coalesce(c, {default})) AS BIGINT) AS f, "
             f"CAST(count(*) FILTER (WHERE c IS NULL) AS BIGINT) AS u FROM (SELECT ({cond}) AS c FROM {source}))"
@@ -136,12 +136,12 @@ def check_allowed_values(spark, folder):
 @query("check_allowed_reference", """
 SELECT CAST(count(*) FILTER (WHERE n_regionkey IS NOT NULL) AS BIGINT) AS passed_count,
        CAST(count(*) FILTER (WHERE n_regionkey IS NULL) AS BIGINT) AS failed_count,
-       round(count(*) FILTER (WHERE n_regionkey IS NOT NULL) / count(*), 4) AS pass_rate
+       round(count(*) FILTER (WHERE n_regionkey IS NOT NULL) / count(*), 6) AS pass_rate
 FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_regionkey <= 2) ON c_nationkey = n_nationkey""")
 def check_allowed_reference(spark, folder):
     allowed = table(spark, folder, "nation").filter("n_regionkey <= 2")
     counts = ev.referential_counts(table(spark, folder, "customer"), allowed, "c_nationkey", "n_nationkey")
-    return counts.select("passed_count", "failed_count", F.round("pass_rate", 4).alias("pass_rate"))
+    return counts.select("passed_count", "failed_count", F.round("pass_rate", 6).alias("pass_rate"))
 
 
 EMAIL = r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$"
@@ -178,13 +178,13 @@ def check_length(spark, folder):
 UNIQUE_SQL = """
 SELECT 'line key' AS rule, CAST(coalesce(sum(n) FILTER (WHERE n = 1), 0) AS BIGINT) AS passed_count,
        CAST(coalesce(sum(n) FILTER (WHERE n > 1), 0) AS BIGINT) AS failed_count, CAST(0 AS BIGINT) AS unknown_count,
-       round(coalesce(sum(n) FILTER (WHERE n = 1), 0) / sum(n), 4) AS pass_rate
+       round(coalesce(sum(n) FILTER (WHERE n = 1), 0) / sum(n), 6) AS pass_rate
 FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber)
 UNION ALL
 SELECT 'user once' AS rule, CAST(coalesce(sum(n) FILTER (WHERE n = 1 AND user_id IS NOT NULL), 0) AS BIGINT) AS passed_count,
        CAST(sum(n) FILTER (WHERE n > 1 OR user_id IS NULL) AS BIGINT) AS failed_count,
        CAST(coalesce(sum(n) FILTER (WHERE user_id IS NULL), 0) AS BIGINT) AS unknown_count,
-       round(coalesce(sum(n) FILTER (WHERE n = 1 AND user_id IS NOT NULL), 0) / sum(n), 4) AS pass_rate
+       round(coalesce(sum(n) FILTER (WHERE n = 1 AND user_id IS NOT NULL), 0) / sum(n), 6) AS pass_rate
 FROM (SELECT user_id, count(*) AS n FROM (SELECT nullif(user_id, 7) AS user_id FROM events) GROUP BY user_id)
 """
 
@@ -212,11 +212,11 @@ def check_unique_rows(spark, folder):
 @query("check_referential", """
 SELECT CAST(count(*) FILTER (WHERE l IS NOT NULL) AS BIGINT) AS passed_count,
        CAST(count(*) FILTER (WHERE l IS NULL) AS BIGINT) AS failed_count,
-       round(count(*) FILTER (WHERE l IS NOT NULL) / count(*), 4) AS pass_rate
+       round(count(*) FILTER (WHERE l IS NOT NULL) / count(*), 6) AS pass_rate
 FROM orders LEFT JOIN (SELECT DISTINCT l_orderkey AS l FROM lineitem) ON o_orderkey = l""")
 def check_referential(spark, folder):
     counts = ev.referential_counts(table(spark, folder, "orders"), table(spark, folder, "lineitem"), "o_orderkey", "l_orderkey")
-    return counts.select("passed_count", "failed_count", F.round("pass_rate", 4).alias("pass_rate"))
+    return counts.select("passed_count", "failed_count", F.round("pass_rate", 6).alias("pass_rate"))
 
 
 @query("referential_orphans", """
@@ -304,7 +304,7 @@ def rule_batch_errors(spark, folder):
         Rule("no target", "comparison", ("l_tax",), {"operator": ">"}),
     ]
     results = ev.evaluate(table(spark, folder, "lineitem"), rules)
-    return results.select("rule", "error", *RESULT[1:4], F.round("pass_rate", 4).alias("pass_rate"))
+    return results.select("rule", "error", *RESULT[1:4], F.round("pass_rate", 6).alias("pass_rate"))
 
 
 @query("rule_report", f"""

@@ -122,12 +122,12 @@ def remediate_preview(spark, folder):
 
 
 @query("remediate_recheck", f"""
-SELECT stage, 'segment present' AS rule, p AS passed_count, f AS failed_count, round(p / (p + f), 4) AS pass_rate FROM (
+SELECT stage, 'segment present' AS rule, p AS passed_count, f AS failed_count, round(p / (p + f), 6) AS pass_rate FROM (
  SELECT 'before' AS stage, CAST(count(segment) AS BIGINT) AS p, CAST(count(*) - count(segment) AS BIGINT) AS f FROM {CUSTOMERS_SQL}
  UNION ALL SELECT 'after', CAST(count(s) AS BIGINT), CAST(count(*) - count(s) AS BIGINT) FROM (SELECT CASE WHEN {TGT} THEN coalesce(segment, 'UNKNOWN') ELSE segment END AS s FROM {CUSTOMERS_SQL}))""")
 def remediate_recheck(spark, folder):
     stages = rm.recheck(_customers(spark, folder), FILL, NO_SEGMENT, "c_custkey", LOW_BALANCE)
-    return stages.withColumn("pass_rate", F.round("pass_rate", 4))
+    return stages.withColumn("pass_rate", F.round("pass_rate", 6))
 
 
 @query("remediate_multi", """
