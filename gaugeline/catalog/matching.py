@@ -116,7 +116,7 @@ SCHEMA_POOL = "spool AS (SELECT 'all' AS scope, coalesce(category, 'other') || '
 
 def _schema_pool(spark, folder):
     return d.target_schema(spark, folder).select(
-        F.lit("all").alias("scope"), F.concat(F.coalesce("category", F.lit("other")), F.lit("."), "name").alias("column"), "position", "table_name", "category"
+        F.concat(F.coalesce("category", F.lit("other")), F.lit("."), "name").alias("column"), "position", "table_name", "category"
     )
 
 
@@ -125,7 +125,7 @@ def _schema_pool(spark, folder):
     _best_sql("ent", "spool", "best"),
 ]) + " SELECT entity, col AS \"column\", round(sim, 6) AS score FROM best")
 def single_hop(spark, folder):
-    entities = table(spark, folder, "part").select(F.lit("all").alias("scope"), F.concat("p_name", F.lit(" "), F.lower("p_type")).alias("entity")).distinct()
+    entities = table(spark, folder, "part").select(F.concat("p_name", F.lit(" "), F.lower("p_type")).alias("entity")).distinct()
     found = mt.resolve(entities, _schema_pool(spark, folder), None, FUZZY)
     return found.select("entity", "column", F.round("score", 6).alias("score"))
 
@@ -136,9 +136,9 @@ def single_hop(spark, folder):
     _best_sql("ent", "spool", "hop"), "nxt AS (SELECT DISTINCT scope, col AS entity FROM hop)", _best_sql("nxt", "dpool", "hop2"),
 ]) + " SELECT hop.entity, hop.col AS schema_col, hop2.col AS dataset_col FROM hop JOIN hop2 ON hop.col = hop2.entity")
 def two_hop(spark, folder):
-    entities = table(spark, folder, "part").select(F.lit("all").alias("scope"), F.concat("p_name", F.lit(" "), F.lower("p_type")).alias("entity")).distinct()
+    entities = table(spark, folder, "part").select(F.concat("p_name", F.lit(" "), F.lower("p_type")).alias("entity")).distinct()
     dataset = d.target_schema(spark, folder).filter(F.col("type").isNotNull()).select(
-        F.lit("all").alias("scope"), F.concat(F.lit("ds_"), "name").alias("column"), (-F.col("position")).alias("position")
+        F.concat(F.lit("ds_"), "name").alias("column"), (-F.col("position")).alias("position")
     )
     return mt.resolve_two_hop(entities, _schema_pool(spark, folder), dataset, FUZZY).select("entity", "schema_col", "dataset_col")
 
@@ -155,7 +155,7 @@ def two_hop(spark, folder):
 def two_hop_scoped(spark, folder):
     schema = _schema_pool(spark, folder)
     declared = schema.filter(F.col("category").isin("small", "large", "economy")).select("column", "table_name")
-    entities = d.entities(spark, folder).select("rule_id", F.lit("all").alias("scope"), "entity")
+    entities = d.entities(spark, folder).select("rule_id", "entity")
     own = d.rule_tables(spark, folder).groupBy("rule_id").agg(F.min("table_name").alias("table_name"))
     dataset = d.columns(spark, folder).select(F.col("table_name").alias("scope"), F.col("column_name").alias("column"), "position")
     found = mt.resolve_scoped(entities, schema.drop("table_name", "category"), declared, dataset, own, FUZZY)
@@ -169,8 +169,8 @@ def two_hop_scoped(spark, folder):
 ]) + " SELECT rule_id, pos, ent.entity, coalesce(hop.col, '') AS \"column\" FROM ent LEFT JOIN hop ON hop.entity = ent.entity")
 def suggested_columns(spark, folder):
     entities = d.entities(spark, folder)
-    pool = d.target_schema(spark, folder).filter(F.col("type") == "int").select(F.lit("all").alias("scope"), F.col("name").alias("column"), "position")
-    asked = entities.filter(F.contains("entity", F.lit("o"))).select(F.lit("all").alias("scope"), "entity")
+    pool = d.target_schema(spark, folder).filter(F.col("type") == "int").select(F.col("name").alias("column"), "position")
+    asked = entities.filter(F.contains("entity", F.lit("o"))).select("entity")
     return mt.suggested_columns(entities, mt.resolve(asked, pool, None, FUZZY)).select("rule_id", "pos", "entity", "column")
 
 

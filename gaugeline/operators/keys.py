@@ -36,28 +36,22 @@ def _candidates(df: DataFrame) -> tuple[int, list[str]]:
 def key_report(df: DataFrame) -> DataFrame:
     """A2 for all columns: (position, column_name, total, is_key, is_first_key).
 
-    One sketch pass rules out most columns; the rest are checked exactly by one grouped
-    pass over (column, value). NaN counts as a value, NULL disqualifies.
+    One sketch pass rules out most columns; each of the rest is counted exactly per value.
+    NaN counts as a value, NULL disqualifies, and any column of an empty table qualifies.
     """
     total, names = _candidates(df)
-    spark = df.sparkSession
-    listed = spark.createDataFrame(
-        [(i + 1, c, total) for i, c in enumerate(df.columns)], "position int, column_name string, total long"
-    )
-    if total == 0:
-        return listed.withColumn("is_key", F.lit(True)).withColumn("is_first_key", F.col("position") == 1)
-    if not names:
-        return listed.withColumn("is_key", F.lit(False)).withColumn("is_first_key", F.lit(False))
-    exact = reduce(DataFrame.unionByName, [
-        df.groupBy(column(c).alias("__v")).agg(F.count("*").alias("n"))
-        .agg((F.max("n") == 1).alias("is_key")).select(F.lit(c).alias("column_name"), "is_key")
-        for c in names
-    ])
-    report = listed.join(exact, "column_name", "left").withColumn("is_key", F.coalesce("is_key", F.lit(False)))
+    known = [
+        (i + 1, c, total, total == 0) for i, c in enumerate(df.columns) if c not in names or total == 0
+    ]
+    parts = [df.sparkSession.createDataFrame(known, "position int, column_name string, total long, is_key boolean")] if known else []
+    for name in names if total else []:
+        repeats = df.groupBy(column(name).alias("__v")).agg(F.count("*").alias("n"))
+        parts.append(repeats.agg((F.max("n") == 1).alias("is_key")).select(
+            F.lit(df.columns.index(name) + 1).alias("position"), F.lit(name).alias("column_name"), F.lit(total).cast("long").alias("total"), "is_key"
+        ))
+    report = reduce(DataFrame.unionByName, parts)
     first = report.filter("is_key").agg(F.min("position").alias("p")).scalar()
-    return report.withColumn("is_first_key", F.coalesce(F.col("position") == first, F.lit(False))).select(
-        "position", "column_name", "total", "is_key", "is_first_key"
-    )
+    return report.withColumn("is_first_key", F.coalesce(F.col("position") == first, F.lit(False)))
 
 
 def find_key(df: DataFrame) -> str | None:

@@ -21,16 +21,18 @@ MAX_PHRASE_WORDS = 4
 def pools(columns: DataFrame) -> DataFrame:
     """The candidate columns of each scope packed into one array, in column order.
 
-    ``columns`` has (scope, position, column) and may have ``vector``. The array is as long
-    as a table is wide; the rows of the table itself never enter it.
+    ``columns`` has (position, column) and may have ``scope`` and ``vector``; without a scope
+    there is one pool for all entities. The array is as long as a table is wide; the rows of
+    the table itself never enter it.
     """
+    scope = ["scope"] if "scope" in columns.columns else []
     vector = F.col("vector") if "vector" in columns.columns else F.lit(None).cast("array<float>")
-    distinct = columns.groupBy("scope", "column").agg(
+    distinct = columns.groupBy(*scope, "column").agg(
         F.min("position").alias("position"), F.min_by(vector, "position").alias("vector")
     ).withColumn("vector", unit(F.col("vector")))
     key = token_key(normalized_name(F.col("column"))).alias("key")
     ordered = F.array_sort(F.collect_list(F.struct("position", "column", key, "vector")))
-    return distinct.groupBy("scope").agg(ordered.alias("pool"))
+    return distinct.groupBy(*scope).agg(ordered.alias("pool"))
 
 
 def score_maps(scores: DataFrame) -> DataFrame:
@@ -53,6 +55,8 @@ def ranked_candidates(entities: DataFrame, pool: DataFrame, scores: DataFrame |
     Scores are computed inside the row against the packed pool: no pair rows are made or
     shuffled. Equal scores keep column order.
     """
+    if "scope" not in entities.columns:
+        entities = entities.withColumn("scope", F.lit(""))
     has_vector = "vector" in entities.columns
     vector = F.first("vector", ignorenulls=True) if has_vector else F.first(F.lit(None).cast("array<float>"))
     distinct = entities.filter(F.coalesce(F.col("entity"), F.lit("")) != "").groupBy("scope", "entity").agg(vector.alias("vector"))
@@ -62,7 +66,8 @@ def ranked_candidates(entities: DataFrame, pool: DataFrame, scores: DataFrame |
     else:
         named = named.join(score_maps(scores), ["scope", "entity"], "left")
     keys = F.transform("pool", lambda c: c["key"])
-    compared = named.join(pool, "scope").withColumn(
+    pooled = named.join(pool, "scope") if "scope" in pool.columns else named.withColumn("pool", pool.select("pool").scalar())
+    compared = pooled.withColumn(
         "names", pool_similarities(token_key(normalized_name(F.col("entity"))), keys)
     )
 
@@ -126,13 +131,13 @@ def resolve_two_hop(entities: DataFrame, schema_columns: DataFrame, dataset_colu
 def resolve_scoped(entities: DataFrame, schema_columns: DataFrame, schema_tables: DataFrame, dataset_columns: DataFrame, rule_scope: DataFrame, weights: Mapping[str, float] = DEFAULT_WEIGHTS) -> DataFrame:
     """M7: the second hop searches the table a schema column declares, else the rule's table.
 
-    ``entities`` has (rule_id, scope, entity) with the scope of the schema, ``schema_tables``
+    ``entities`` has (rule_id, entity), ``schema_columns`` (position, column), ``schema_tables``
     (column, table_name), ``dataset_columns`` (scope = table, position, column) and
     ``rule_scope`` (rule_id, table_name). A declared table that does not exist counts as
     not declared.
     """
-    first = resolve(entities, schema_columns, None, weights)
-    per_rule = entities.select("rule_id", "scope", "entity").distinct().join(first, ["scope", "entity"])
+    first = resolve(entities.select("entity"), schema_columns, None, weights).select("entity", "column")
+    per_rule = entities.select("rule_id", "entity").distinct().join(first, "entity")
     known = dataset_columns.select(F.col("scope").alias("table_name")).distinct()
     declared = schema_tables.join(known, "table_name", "left_semi").select("column", F.col("table_name").alias("declared"))
     placed = (
@@ -217,9 +222,8 @@ def extract_entities(texts: DataFrame, id_column: str, text: str, columns: DataF
         )
         hits = found.join(keyed, "key").withColumn("score", F.lit(1.0))
     else:
-        scoped = columns.select(F.lit("").alias("scope"), "position", "column")
-        entities = found.select(F.lit("").alias("scope"), F.col("phrase").alias("entity"))
-        best = resolve(entities, scoped, None, {"llm": 0, "cosine": 0, "fuzzy": 100}).filter(F.col("score") >= threshold)
+        entities = found.select(F.col("phrase").alias("entity"))
+        best = resolve(entities, columns.select("position", "column"), None, {"llm": 0, "cosine": 0, "fuzzy": 100}).filter(F.col("score") >= threshold)
         hits = found.join(best.select(F.col("entity").alias("phrase"), "column", "score"), "phrase")
     return _non_overlapping(hits, id_column)
 

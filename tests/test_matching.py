@@ -52,8 +52,8 @@ def test_two_hops_drop_what_has_no_second_hop(spark):
 
 
 def test_scoped_second_hop(spark):
-    entities = spark.createDataFrame([(1, "all", "perf date"), (2, "all", "perf date"), (1, "all", "net return")], "rule_id int, scope string, entity string")
-    schema = spark.createDataFrame([("all", 1, "performance_date"), ("all", 2, "net_return")], "scope string, position int, column string")
+    entities = spark.createDataFrame([(1, "perf date"), (2, "perf date"), (1, "net return")], "rule_id int, entity string")
+    schema = spark.createDataFrame([(1, "performance_date"), (2, "net_return")], "position int, column string")
     declared = spark.createDataFrame([("net_return", "A"), ("performance_date", "missing")], "column string, table_name string")
     dataset = spark.createDataFrame([("A", 1, "netret"), ("A", 2, "perf_dt"), ("B", 1, "date_of_performance")], "scope string, position int, column string")
     own = spark.createDataFrame([(1, "B"), (2, "A")], "rule_id int, table_name string")
