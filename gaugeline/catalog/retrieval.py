@@ -242,7 +242,7 @@ def filtered_topk(spark, folder):
     documents = table(spark, folder, "documents").withColumn("type", kind)
     intent = F.when(size < 150, "rule_query").when(size < 200, "mapping_query").when(size < 250, "schema_query").otherwise("general")
     asked = table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"), intent.alias("intent"))
-    scores = rt.bm25_scores(documents, asked, "doc_id", "text", "query_id", "question")
+    scores = rt.bm25_scores(documents, asked, "doc_id", "text", "query_id", "question", keep=["type"])
     return rt.filtered(scores, documents, asked).select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 

@@ -7,10 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeline.operators.skew import spread_join
 from gaugeline.session import settle
 
 # monotonically_increasing_id() is (partition << 33) + row number in the partition.
 _PARTITION_BITS = 33
+# Stands for NULL where a key must be joined on.
+_NO_KEY = "\u0000"
 
 
 def global_position(df: DataFrame, order: Sequence[Column | str], name: str = "position", start: int = 1) -> DataFrame:
@@ -40,8 +43,9 @@ def competition_rank(df: DataFrame, key: str, tie_break: Sequence[str], descendi
     """``rank() over (order by key)`` for a whole table: equal keys share their first position."""
     ordering = F.col(key).desc() if descending else F.col(key).asc()
     placed = global_position(df, [ordering, *tie_break], name="__place")
-    first = placed.groupBy(F.col(key).alias("__key")).agg(F.min("__place").alias(name))
-    return placed.join(first, F.col(key).eqNullSafe(F.col("__key"))).drop("__key", "__place")
+    keyed = placed.withColumn("__key", F.coalesce(F.col(key).cast("string"), F.lit(_NO_KEY)))
+    first = keyed.groupBy("__key").agg(F.min("__place").alias(name))
+    return spread_join(keyed.select("__key", "__place", *df.columns), first, ["__key"]).drop("__key", "__place")
 
 
 def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int, name: str = "rank") -> DataFrame:

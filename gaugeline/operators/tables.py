@@ -136,15 +136,16 @@ def involved_tables(rules: DataFrame, given: DataFrame, stored: DataFrame, all_t
 
 
 def rows_with_ids(df: DataFrame, id_column: str, ids: Sequence | DataFrame) -> DataFrame:
-    """Rows whose id is listed; long lists come as a frame and join."""
-    if isinstance(ids, DataFrame):
-        keys = ids.select(F.col(ids.columns[0]).alias(id_column)).distinct()
-        return df.join(keys, id_column, "left_semi")
-    if len(ids) > ID_LIST_LIMIT:
-        spark = df.sparkSession
-        keys = spark.createDataFrame([(i,) for i in ids], [id_column]).distinct()
-        return df.join(keys, id_column, "left_semi")
-    return df.filter(column(id_column).isin(list(ids)))
+    """Rows whose id is listed; long lists come as a frame and join.
+
+    The column need not be unique in ``df``: rows of a hot id are spread.
+    """
+    if not isinstance(ids, DataFrame):
+        if len(ids) <= ID_LIST_LIMIT:
+            return df.filter(column(id_column).isin(list(ids)))
+        ids = df.sparkSession.createDataFrame([(i,) for i in ids], [id_column])
+    keys = ids.select(F.col(ids.columns[0]).alias(id_column)).distinct()
+    return spread_join(df, keys, [id_column], "left_semi")
 
 
 def union_schemas(tables: Mapping[str, DataFrame]) -> DataFrame:

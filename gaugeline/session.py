@@ -36,15 +36,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """
     context = spark.sparkContext
     current = context.getCheckpointDir()
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured:
+        if current is None or configured.rstrip("/") not in current:
+            context.setCheckpointDir(configured)
+        return configured
     if current:
         return current
-    configured = context.getConf().get("spark.checkpoint.dir", None)
-    if configured is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-        configured = tempfile.mkdtemp(prefix="gaugeline-checkpoint-")
-    context.setCheckpointDir(configured)
-    return configured
+    if not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
+    own = tempfile.mkdtemp(prefix="gaugeline-checkpoint-")
+    context.setCheckpointDir(own)
+    return own
 
 
 def settle(df: DataFrame) -> DataFrame:

@@ -83,6 +83,15 @@ def test_bm25_against_brute_force(spark):
     assert [r.doc_id for r in top] == [i for _, i in sorted((-round(s, 9), i) for (q, i), s in want.items() if q == 1)[:3]]
 
 
+def test_filtering_with_and_without_a_carried_type(spark):
+    documents = spark.createDataFrame([(1, "a b", "rule"), (2, "a", "note"), (3, "a c", "rules_summary")], "doc_id int, text string, type string")
+    asked = spark.createDataFrame([(7, "a", "rule_query"), (8, "a b", "general")], "query_id int, question string, intent string")
+    plain = rt.bm25_scores(documents, asked, "doc_id", "text", "query_id", "question")
+    carried = rt.bm25_scores(documents, asked, "doc_id", "text", "query_id", "question", keep=["type"])
+    one, two = ({(r.query_id, r.doc_id, r["rank"]) for r in rt.filtered(s, documents, asked).collect()} for s in (plain, carried))
+    assert one == two and {(q, d) for q, d, _ in one} == {(7, 1), (7, 3), (8, 1), (8, 2), (8, 3)}
+
+
 def test_vector_search_in_several_passes(spark, monkeypatch):
     rng = random.Random(2)
     vectors = [(i, [rng.random(), rng.random()]) for i in range(40)]
