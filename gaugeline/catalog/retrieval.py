@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gaugeline.catalog import derived as d
-from gaugeline.catalog.matching import DOT
 from gaugeline.catalog.registry import query, table
 from gaugeline.functions import questions as qs
 from gaugeline.functions import replies as rp

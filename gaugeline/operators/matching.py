@@ -11,6 +11,7 @@ from gaugeline.functions.similarity import dot, pool_similarities, token_key, un
 from gaugeline.functions.text import normalized_name, words
 from gaugeline.operators.ranking import first_per_key, top_per_group
 from gaugeline.operators.skew import spread_rows
+from gaugeline.session import settle
 
 # Weights of the external, vector and name scores, in percent.
 DEFAULT_WEIGHTS = {"llm": 50, "cosine": 30, "fuzzy": 20}
@@ -140,10 +141,11 @@ def resolve_scoped(entities: DataFrame, schema_columns: DataFrame, schema_tables
     per_rule = entities.select("rule_id", "entity").distinct().join(first, "entity")
     known = dataset_columns.select(F.col("scope").alias("table_name")).distinct()
     declared = schema_tables.join(known, "table_name", "left_semi").select("column", F.col("table_name").alias("declared"))
-    placed = (
+    # Both the second hop and the result read these rows; scoring them once is enough.
+    placed = settle(
         per_rule.join(declared, "column", "left")
         .join(rule_scope.withColumnRenamed("table_name", "own"), "rule_id", "left")
-        .withColumn("table_name", F.coalesce("declared", "own"))
+        .select("rule_id", "entity", "column", F.coalesce("declared", "own").alias("table_name"))
     )
     needed = placed.select(F.col("table_name").alias("scope"), F.col("column").alias("entity")).distinct()
     second = resolve(needed, dataset_columns, None, weights).select(

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from gaugeline.operators.keys import GENERATED_ID
 from gaugeline.operators.predicates import RuleError, column
-from gaugeline.operators.ranking import first_per_key
 from gaugeline.operators.skew import spread_join
 
 ID_LIST_LIMIT = 100
@@ -170,8 +169,3 @@ def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
     )
     total = counts.agg(F.sum("row_count").alias("row_count")).select(F.lit("(all)").alias("table_name"), "row_count")
     return counts.unionByName(total)
-
-
-def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """First row per key in the given order."""
-    return first_per_key(df, keys, order)

@@ -1,8 +1,9 @@
-"""Spark session settings and lineage cutting."""
+"""Spark session settings and the cutting of lineage."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,10 +52,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and read on from there.
+    """Write ``df`` once to the shared checkpoint folder and read on from there.
 
-    Used where two branches of a plan must see the very same partitions and where a
-    recomputation after a lost executor must not change row positions.
+    Used where two branches of a plan must see the very same rows and where a
+    recomputation after a lost executor must not change row positions. A written table is
+    computed once (an eager ``checkpoint()`` computes its input twice) and later reads
+    touch only the columns they need.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/gaugeline-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
