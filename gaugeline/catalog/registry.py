@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gaugeline.session import ship
 from gaugeline.sources.tables import load_table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -29,4 +30,5 @@ def query(name: str, sql: str | None = None) -> Callable[[QueryFn], QueryFn]:
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    ship(spark)
     return load_table(spark, f"{folder.rstrip('/')}/{name}.parquet")

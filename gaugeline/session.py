@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,22 +35,39 @@ def build_session(app_name: str = "gaugeline", master: str | None = None, **sett
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only a local-mode session may fall back to a folder of its own.
+    Where the setting is empty, as in tests, a folder below the session's warehouse is used:
+    the warehouse is shared by the driver and all executors.
     """
     context = spark.sparkContext
     current = context.getCheckpointDir()
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        if current is None or configured.rstrip("/") not in current:
-            context.setCheckpointDir(configured)
-        return configured
-    if current:
+    if not configured and current:
         return current
-    if not context.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-    own = tempfile.mkdtemp(prefix="gaugeline-checkpoint-")
-    context.setCheckpointDir(own)
-    return own
+    folder = configured or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_gaugeline"
+    if current is None or folder.rstrip("/") not in current:
+        context.setCheckpointDir(folder)
+    return folder
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the workers, once per application.
+
+    Functions that run in Python workers are found there by module name; a cluster's
+    workers have no copy of the driver's import path.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="gaugeline-ship-")) / "gaugeline.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(root.rglob("*.py")):
+            out.write(source, Path("gaugeline") / source.relative_to(root))
+    context.addPyFile(str(archive))
+    _SHIPPED.add(context.applicationId)
 
 
 def settle(df: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ import pytest
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
 
 import __spark_entry__ as entry
+from gaugeline.catalog import ORACLES, QUERIES
 from compare import TABLES, rows_of
 
 FOLDER = "/root/testdata/sf0.001"
@@ -26,14 +27,15 @@ def db():
 
 def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"doc_chunks"}
+    assert set(QUERIES) <= set(entry.queries())
+    assert set(QUERIES) - set(ORACLES) == {"doc_chunks"}
 
 
 def test_flagship(spark):
     assert entry.entry(spark).count() == 7
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_its_sql(spark, db, name):
     df = entry.queries()[name](spark, FOLDER)
     got = rows_of(df.columns, df.collect())
