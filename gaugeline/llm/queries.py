@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gaugeline.llm import bpe_codec, token_counts
+from gaugeline.llm import bpe_codec, suffix_dedup, token_counts
 from gaugeline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,3 +35,9 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     return bpe_codec.round_trip_digests(
         table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     )
+
+
+@query("op1_suffix_dedup")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    kept = suffix_dedup.remove_repeats(table(spark, folder, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
