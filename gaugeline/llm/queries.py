@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeline.llm import bpe_codec, suffix_dedup, token_counts
+from gaugeline.llm import bpe_codec, simhash_pivots, suffix_dedup, token_counts
 from gaugeline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,3 +41,8 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     kept = suffix_dedup.remove_repeats(table(spark, folder, "documents"))
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op4_simhash_pivots")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash_pivots.near_duplicates(table(spark, folder, "documents"))
