@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeline.llm import bpe_codec, simhash_pivots, suffix_dedup, token_counts
+from gaugeline.llm import bpe_codec, main_text, quality, simhash_pivots, suffix_dedup, token_counts
 from gaugeline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +46,13 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_simhash_pivots")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_pivots.near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op5_quality_rules")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.judge(table(spark, folder, "documents")).drop("row")
+
+
+@query("op3_main_text")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return main_text.extract(table(spark, folder, "pages"))
