@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeline.llm import bpe_codec, main_text, nearest, quality, simhash_pivots, suffix_dedup, token_counts
+from gaugeline.llm import bpe_codec, main_text, nearest, quality, simhash_pivots, suffix_dedup, token_counts, warc_audit
 from gaugeline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,35 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return nearest.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+_RECORD = """'WARC/1.0' || E'\\r\\n' || 'WARC-Type: resource' || E'\\r\\n' || 'WARC-Record-ID: <urn:page:' || page_id || '>' || E'\\r\\n'
+    || 'WARC-Target-URI: ' || url || E'\\r\\n' || 'WARC-Date: 2024-01-01T00:00:00Z' || E'\\r\\n' || 'Content-Type: text/html; charset=utf-8' || E'\\r\\n'
+    || 'Content-Length: ' || strlen(html) || E'\\r\\n\\r\\n' || {payload} || E'\\r\\n\\r\\n'"""
+
+
+@query(
+    "op10_warc_audit",
+    f"""
+    WITH damaged AS (
+        SELECT *, CASE WHEN page_id % 97 = 13 AND strlen(substring(html, 1, 1)) = 1 THEN '?' || substring(html, 2)
+                       WHEN page_id % 389 = 7 THEN repeat(chr(0), strlen(html)) ELSE html END AS copy FROM pages
+    ), made AS (
+        SELECT page_id, page_id // 256 AS number, {_RECORD.format(payload="html")} AS expected, {_RECORD.format(payload="copy")} AS found FROM damaged
+    ), placed AS (
+        SELECT *, coalesce(sum(strlen(expected)) OVER (PARTITION BY number ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place,
+               row_number() OVER (PARTITION BY number ORDER BY page_id DESC) AS from_end FROM made
+    )
+    SELECT 'pages-' || number || '.warc' AS file, CAST(place AS BIGINT) AS "offset",
+           CASE WHEN from_end = 1 AND number % 5 = 3 THEN 'missing' ELSE 'changed' END AS status, CAST(strlen(expected) AS BIGINT) AS length,
+           sha256(expected) AS expected_sha256, CASE WHEN from_end = 1 AND number % 5 = 3 THEN NULL ELSE sha256(found) END AS found_sha256
+    FROM placed WHERE expected <> found OR (from_end = 1 AND number % 5 = 3)
+    """,
+)
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    """The archive of all pages against a replica with turned bytes, zeroed records and some files cut before their last record."""
+    pages = table(spark, folder, "pages")
+    copy = warc_audit.records(pages, html=warc_audit.damaged(F.col("html"), F.col("page_id")))
+    ends = copy.groupBy("file").agg(F.max("offset").alias("offset")).where(F.regexp_extract("file", "pages-(\\d+)", 1).cast("int") % 5 == 3)
+    cut = copy.join(ends, ["file", "offset"], "left_anti")
+    return warc_audit.audit(warc_audit.records(pages), cut)
