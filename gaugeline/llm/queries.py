@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeline.llm import bpe_codec, main_text, nearest, quality, simhash_pivots, suffix_dedup, token_counts, warc_audit
+from gaugeline.llm import bpe_codec, main_text, mixing, nearest, quality, simhash_pivots, suffix_dedup, token_counts, toxicity, warc_audit
 from gaugeline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,14 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     ends = copy.groupBy("file").agg(F.max("offset").alias("offset")).where(F.regexp_extract("file", "pages-(\\d+)", 1).cast("int") % 5 == 3)
     cut = copy.join(ends, ["file", "offset"], "left_anti")
     return warc_audit.audit(warc_audit.records(pages), cut)
+
+
+@query("op2_toxicity")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, folder, "labels")))
+
+
+@query("op6_mixing")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents")).drop("row")
