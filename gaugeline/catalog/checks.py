@@ -361,3 +361,68 @@ def failed_ids_json(spark, folder):
         F.array_join(F.transform("passed_records", lambda i: i.cast("string")), ",").alias("passed_records"),
         F.array_join(F.transform("failed_records", lambda i: i.cast("string")), ",").alias("failed_records"),
     )
+
+
+# Ids of another type than their parents, half of them one hot value.
+_HOT = "(SELECT event_id, CAST(CASE WHEN event_id % 2 = 0 THEN 7 ELSE user_id END AS INTEGER) AS custkey FROM events)"
+
+
+def _hot_events(spark, folder):
+    key = F.when(F.col("event_id") % 2 == 0, 7).otherwise(F.col("user_id")).cast("int")
+    return table(spark, folder, "events").select("event_id", key.alias("custkey"))
+
+
+@query("join_mixed_types", f"SELECT event_id, custkey, c_name FROM {_HOT} JOIN customer ON custkey = c_custkey")
+def join_mixed_types(spark, folder):
+    parents = table(spark, folder, "customer").select(F.col("c_custkey").alias("custkey"), "c_name")
+    return tb.auto_join({"events": _hot_events(spark, folder), "customer": parents}, ["events", "customer"])
+
+
+@query("orphan_rows", f"SELECT event_id, custkey FROM {_HOT} WHERE custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 2000)")
+def orphan_rows(spark, folder):
+    parents = table(spark, folder, "customer").filter("c_acctbal >= 2000")
+    return ev.orphans(_hot_events(spark, folder), parents, "custkey", "c_custkey")
+
+
+@query("filter_many_ids", f"SELECT event_id, custkey FROM {_HOT} WHERE custkey BETWEEN 1 AND 150")
+def filter_many_ids(spark, folder):
+    return tb.rows_with_ids(_hot_events(spark, folder), "custkey", list(range(1, 151)))
+
+
+@query("rule_batch_many", """
+SELECT 'quantity below ' || n AS rule, CAST(count(*) FILTER (WHERE l_quantity < n) AS BIGINT) AS passed_count,
+ CAST(count(*) FILTER (WHERE l_quantity >= n) AS BIGINT) AS failed_count FROM lineitem, (SELECT unnest(range(1, 61)) AS n) GROUP BY n""")
+def rule_batch_many(spark, folder):
+    rules = [Rule(f"quantity below {n}", "comparison", ("l_quantity",), {"operator": "<", "compare_to_value": n}) for n in range(1, 61)]
+    return ev.evaluate(table(spark, folder, "lineitem"), rules).select("rule", "passed_count", "failed_count")
+
+
+_FIRST_IDS = "(SELECT string_agg(CAST(c_custkey AS VARCHAR), ',' ORDER BY c_custkey) FROM (SELECT c_custkey FROM {source} WHERE {cond} ORDER BY c_custkey LIMIT 100))"
+_REPEATED = "c_nationkey IN (SELECT c_nationkey FROM customer GROUP BY 1 HAVING count(*) > 1)"
+
+
+@query("rule_batch_mixed", " UNION ALL ".join(
+    f"""SELECT '{name}' AS rule, false AS has_error, CAST(count(*) FILTER (WHERE NOT ({cond})) AS BIGINT) AS passed_count,
+    CAST(count(*) FILTER (WHERE {cond}) AS BIGINT) AS failed_count, coalesce({_FIRST_IDS.format(source='customer', cond=cond)}, '') AS failed_ids FROM customer"""
+    for name, cond in [
+        ("segment as number", "try_cast(c_mktsegment AS DOUBLE) IS NULL OR try_cast(c_mktsegment AS DOUBLE) < 1"), ("nation alone", _REPEATED),
+        ("balance not negative", "c_acctbal < 0"),
+    ]
+) + "".join(
+    f" UNION ALL SELECT '{name}', true, NULL, NULL, ''" for name in ["one name", "one name", "bad pattern", "bad sql", "bad guard", "unknown column"]
+))
+def rule_batch_mixed(spark, folder):
+    rules = [
+        Rule("segment as number", "range", ("c_mktsegment",), {"min_value": 1}),
+        Rule("nation alone", "uniqueness", ("c_nationkey",)),
+        CUSTOMER_RULES[0],
+        Rule("one name", "not_null", ("c_missing",)),
+        Rule("one name", "comparison", ("c_acctbal",), {"operator": ">"}),
+        Rule("bad pattern", "regex", ("c_name",), {"pattern": "(["}),
+        Rule("bad sql", "expression", ("c_name",), {"sql": "c_name >"}),
+        Rule("bad guard", "not_null", ("c_name",), guard=Rule("g", "no such check", ("c_name",))),
+        Rule("unknown column", "expression", ("c_name",), {"sql": "c_missing > 1"}),
+    ]
+    results = ev.results_with_ids(table(spark, folder, "customer"), rules, "c_custkey")
+    ids = F.array_join(F.transform("failed_ids", lambda i: i.cast("string")), ",")
+    return results.select("rule", F.col("error").isNotNull().alias("has_error"), "passed_count", "failed_count", F.coalesce(ids, F.lit("")).alias("failed_ids"))

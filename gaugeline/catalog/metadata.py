@@ -264,7 +264,7 @@ def tables_of_rule(spark, folder):
 
 @query("rules_by_category", d.with_(d.RULES_SQL) + """
 SELECT category, n_rules, CAST(rank AS INTEGER) AS rank, rule_name FROM (
- SELECT category, rule_name, CAST(count(*) OVER (PARTITION BY category) AS BIGINT) AS n_rules, row_number() OVER (PARTITION BY category ORDER BY rule_id) AS rank FROM rul) WHERE rank <= 20""")
+ SELECT category, rule_name, CAST(count(*) OVER (PARTITION BY category) AS BIGINT) AS n_rules, row_number() OVER (PARTITION BY category ORDER BY rule_id) AS rank FROM rul)""")
 def rules_by_category(spark, folder):
     return me.rules_by_category(d.rules(spark, folder).withColumn("rule_index", F.col("rule_id")))
 

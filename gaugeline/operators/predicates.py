@@ -12,6 +12,7 @@ from functools import reduce
 from operator import and_
 from typing import Any
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -101,7 +102,7 @@ def allowed_values(fields: Sequence[str], params: Params) -> Column:
     values = params.get("values")
     if not values:
         raise RuleError("Allowed values missing")
-    return column(fields[0]).isin(*values)
+    return _typed(column(fields[0]), params).isin(*values)
 
 
 def regex(fields: Sequence[str], params: Params) -> Column:
@@ -155,6 +156,10 @@ def validate(df: DataFrame | None, rule: Rule, id_column: str | None = None) ->
         raise RuleError("No fields supplied for the check")
     if rule.check_type not in CHECKS and rule.check_type not in TABLE_CHECKS:
         raise RuleError(f"Unknown check type: {rule.check_type}")
+    if rule.guard is not None:
+        if rule.guard.check_type in TABLE_CHECKS:
+            raise RuleError(f"{rule.guard.check_type} is not a row-local check")
+        validate(df, rule.guard)
     missing = [c for c in rule.required_columns() if c not in df.columns]
     if missing:
         raise RuleError(f"Columns not present in dataframe: {missing}")
@@ -162,14 +167,57 @@ def validate(df: DataFrame | None, rule: Rule, id_column: str | None = None) ->
         raise RuleError(f"ID column {id_column} not found in dataframe")
 
 
-def condition(rule: Rule) -> Column:
-    """The rule's condition; a guarded rule passes where its guard does not hold."""
+def condition(rule: Rule, df: DataFrame | None = None) -> Column:
+    """The rule's condition; a guarded rule passes where its guard does not hold.
+
+    With ``df`` a text column that meets a number is read as one: text that is no number is
+    NULL there and does not end the job.
+    """
     if rule.check_type in TABLE_CHECKS:
         raise RuleError(f"{rule.check_type} is not a row-local check")
-    check = CHECKS[rule.check_type](rule.columns, rule.params)
+    check = CHECKS[rule.check_type](rule.columns, rule.params if df is None else fitted_params(df, rule))
     if rule.guard is None:
         return check
-    return ~F.coalesce(condition(rule.guard), F.lit(False)) | check
+    return ~F.coalesce(condition(rule.guard, df), F.lit(False)) | check
+
+
+def fitted_params(df: DataFrame, rule: Rule) -> Params:
+    """The rule's parameters, with ``as: number`` where a text column is compared with numbers."""
+    if "as" in rule.params or rule.check_type not in ("comparison", "range", "allowed_values"):
+        return rule.params
+    types = dict(df.dtypes)
+    kinds = {types.get(c) for c in (*rule.columns, rule.params.get("compare_to_field"))}
+    values = [rule.params.get(k) for k in ("compare_to_value", "min_value", "max_value")] + list(rule.params.get("values") or [])
+    numbers = any(isinstance(v, (int, float)) and not isinstance(v, bool) for v in values)
+    numeric = any(k is not None and (k in ("tinyint", "smallint", "int", "bigint", "float", "double") or k.startswith("decimal")) for k in kinds)
+    return {**rule.params, "as": "number"} if "string" in kinds and (numbers or numeric) else rule.params
+
+
+def planned_condition(df: DataFrame, rule: Rule) -> Column:
+    """The condition after Spark has analysed it alone: what cannot be planned raises RuleError here, before it joins a pass."""
+    check_patterns(df, rule)
+    try:
+        verdict = condition(rule, df)
+        kind = df.select(verdict.alias("verdict")).schema[0].dataType.simpleString()
+    except RuleError:
+        raise
+    except (PySparkException, KeyError, TypeError, ValueError) as error:
+        raise RuleError(str(error).strip().splitlines()[0]) from error
+    if kind not in ("boolean", "void"):
+        raise RuleError(f"The condition is of type {kind}, not boolean")
+    return verdict
+
+
+def check_patterns(df: DataFrame, rule: Rule) -> None:
+    """Refuse a pattern that the workers' regular expressions would not compile."""
+    pattern = rule.params.get("pattern") if rule.check_type == "regex" else None
+    if pattern:
+        try:
+            df.sparkSession._jvm.java.util.regex.Pattern.compile(NAMED_PATTERNS.get(pattern, pattern))
+        except Exception as error:
+            raise RuleError(f"Pattern does not compile: {pattern}") from error
+    if rule.guard is not None:
+        check_patterns(df, rule.guard)
 
 
 def with_null_policy(verdict: Column, policy: str) -> Column:

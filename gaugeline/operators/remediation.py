@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from gaugeline.operators.evaluate import evaluate
 from gaugeline.operators.predicates import TABLE_CHECKS, RuleError, column, condition, validate
 from gaugeline.operators.ranking import first_per_key
-from gaugeline.operators.tables import ID_LIST_LIMIT
+from gaugeline.operators.tables import id_frame
 from gaugeline.plans.rules import Rule
 
 ACTIONS = ("fillna", "replace", "cast", "standardize", "deduplicate", "filter", "review")
@@ -74,14 +74,9 @@ def with_target_flag(df: DataFrame, id_column: str, targets: Targets) -> DataFra
         if targets.check_type in TABLE_CHECKS:
             raise RuleError("Targets of a uniqueness rule are given as a frame of ids")
         validate(df, targets, id_column)
-        return df.withColumn(_TARGET, ~F.coalesce(condition(targets), F.lit(False)))
-    if isinstance(targets, DataFrame):
-        ids = targets.select(F.col(targets.columns[0]).alias(id_column)).filter(F.col(id_column).isNotNull())
-    elif len(targets) <= ID_LIST_LIMIT:
-        return df.withColumn(_TARGET, F.coalesce(column(id_column).isin(list(targets)), F.lit(False)))
-    else:
-        ids = df.sparkSession.createDataFrame([(i,) for i in targets], [id_column])
-    flagged = df.join(ids.distinct().withColumn(_TARGET, F.lit(True)), id_column, "left")
+        return df.withColumn(_TARGET, ~F.coalesce(condition(targets, df), F.lit(False)))
+    ids = id_frame(df, id_column, targets)
+    flagged = df.join(ids.withColumn(_TARGET, F.lit(True)), id_column, "left")
     return flagged.select(*[column(c) for c in df.columns], F.coalesce(_TARGET, F.lit(False)).alias(_TARGET))
 
 

@@ -7,63 +7,22 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A key is hot when it holds more than 1/HOT_SHARE of the rows; there are fewer than
-# HOT_SHARE such keys in any table, so the list of them is bounded at every scale.
-HOT_SHARE = 200
-SALTS = 64
-# Counters of the frequent-items sketch: its error is far below 1/HOT_SHARE of the rows.
-TRACKED = 10_000
-# Columns besides the key whose hash spreads the rows of a hot key.
-SPREAD_COLUMNS = 3
-
-_SALT = "__salt"
-
-
 def row_hash(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
     """Hash of a row: the same after a recomputation, unlike a random number."""
     return F.xxhash64(*[F.col(f"`{c}`") for c in (columns or df.columns)])
 
 
-def _key_hash(keys: Sequence[str]) -> Column:
-    return F.xxhash64(*[F.col(f"`{k}`") for k in keys])
-
-
-def hot_keys(df: DataFrame, keys: Sequence[str]) -> list[int]:
-    """Hashes of the keys that hold more than 1/HOT_SHARE of the rows.
-
-    One pass over the key columns fills a frequent-items sketch in every task; nothing is
-    shuffled but the sketches, and fewer than HOT_SHARE numbers come back.
-    """
-    row = df.select(_key_hash(keys).alias("h")).agg(F.expr(f"approx_top_k(h, {HOT_SHARE}, {TRACKED})").alias("top"), F.count("*").alias("n")).first()
-    return [item["item"] for item in row["top"] or [] if item["count"] * HOT_SHARE > row["n"]]
-
-
-def spread_join(
-    left: DataFrame,
-    right: DataFrame,
-    on: Sequence[str],
-    how: str = "inner",
-    measure: DataFrame | None = None,
-) -> DataFrame:
-    """Equi-join whose hot left keys are spread over SALTS partitions.
+def spread_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join for inner, left, semi and anti joins whose left keys may be hot.
 
-    Left rows of a hot key take a salt from the hash of their other columns; right rows of
-    a hot key are repeated once per salt. All other rows keep salt 0 and nothing is copied
-    for them. Without hot keys this is a plain join. ``measure`` names a cheaper frame to
-    look for hot keys in than ``left`` (a wrong guess costs balance, never rows). The
-    result equals ``left.join(right, on, how)`` for inner, left, semi and anti joins.
+    Spark's adaptive execution splits the partitions of a hot left key while the join runs: no
+    scan looks for hot keys before, and both sides are compared in their common type. The
+    left columns keep their order, the right side's others follow.
     """
     keys = list(on)
-    others = [c for c in left.columns if c not in keys][:SPREAD_COLUMNS]
-    hot = hot_keys(measure if measure is not None else left, keys) if others else []
-    if not hot:
-        return left.join(right, keys, how)
-    is_hot = _key_hash(keys).isin(hot)
-    left_salt = F.when(is_hot, 1 + F.pmod(row_hash(left, others), F.lit(SALTS))).otherwise(F.lit(0))
-    right_salts = F.when(is_hot, F.sequence(F.lit(1), F.lit(SALTS))).otherwise(F.array(F.lit(0)))
-    left_side = left.withColumn(_SALT, left_salt.cast("int"))
-    right_side = right.withColumn(_SALT, F.explode(right_salts))
-    return left_side.join(right_side, [*keys, _SALT], how).drop(_SALT)
+    joined = left.join(right, keys, how)
+    others = [] if how in ("left_semi", "left_anti") else [c for c in right.columns if c not in keys]
+    return joined.select(*[F.col(f"`{c}`") for c in (*left.columns, *others)])
 
 
 def spread_rows(df: DataFrame) -> DataFrame:

@@ -12,8 +12,6 @@ from gaugeline.operators.keys import GENERATED_ID
 from gaugeline.operators.predicates import RuleError, column
 from gaugeline.operators.skew import spread_join
 
-ID_LIST_LIMIT = 100
-
 
 def rename_to_schema(df: DataFrame, schema_to_dataset: Mapping[str, str]) -> DataFrame:
     """Dataset columns to target names; identities and absent columns are skipped, the last target wins."""
@@ -41,8 +39,7 @@ def auto_join(tables: Mapping[str, DataFrame], involved: Sequence[str], single_r
         if GENERATED_ID in result.columns and GENERATED_ID in other.columns:
             other = other.drop(GENERATED_ID)
         if shared:
-            owner = next((tables[n] for n in names[: names.index(name)] if set(shared) <= set(tables[n].columns)), None)
-            result = spread_join(result, other, shared, "inner", measure=owner)
+            result = spread_join(result, other, shared, "inner")
         elif name in single_row:
             result = with_constants(result, other)
         else:
@@ -135,16 +132,19 @@ def involved_tables(rules: DataFrame, given: DataFrame, stored: DataFrame, all_t
 
 
 def rows_with_ids(df: DataFrame, id_column: str, ids: Sequence | DataFrame) -> DataFrame:
-    """Rows whose id is listed; long lists come as a frame and join.
+    """Rows whose id is listed, in a frame or a list of any length; ids compare in their common type.
 
     The column need not be unique in ``df``: rows of a hot id are spread.
     """
+    return spread_join(df, id_frame(df, id_column, ids), [id_column], "left_semi")
+
+
+def id_frame(df: DataFrame, id_column: str, ids: Sequence | DataFrame) -> DataFrame:
+    """Distinct ids of a list or of a frame's first column under the name ``id_column``; NULL is no id."""
     if not isinstance(ids, DataFrame):
-        if len(ids) <= ID_LIST_LIMIT:
-            return df.filter(column(id_column).isin(list(ids)))
-        ids = df.sparkSession.createDataFrame([(i,) for i in ids], [id_column])
-    keys = ids.select(F.col(ids.columns[0]).alias(id_column)).distinct()
-    return spread_join(df, keys, [id_column], "left_semi")
+        rows = [(i,) for i in ids if i is not None]
+        ids = df.sparkSession.createDataFrame(rows, [id_column]) if rows else df.select(column(id_column)).limit(0)
+    return ids.select(column(ids.columns[0]).alias(id_column)).filter(column(id_column).isNotNull()).distinct()
 
 
 def union_schemas(tables: Mapping[str, DataFrame]) -> DataFrame:

@@ -114,15 +114,18 @@ def failed_total(log: DataFrame) -> DataFrame:
     return log.agg(F.coalesce(F.sum("failed_count"), F.lit(0)).alias("total_failed"))
 
 
-def rules_by_category(rules: DataFrame, limit: int = 20) -> DataFrame:
-    """Number of rules per category with the first names in rule order.
+def rules_by_category(rules: DataFrame) -> DataFrame:
+    """Number of rules per category with all names in rule order.
 
-    The count is whole; the names are ranked rows, so that a large category is never one list.
+    The names are ranked rows, so that a large category is neither one list nor one task: ranks
+    are places in the order of the whole table, counted from the category's first.
     """
-    named = rules.withColumn("category", F.coalesce("category", F.lit("unknown")))
-    totals = named.groupBy("category").agg(F.count("*").alias("n_rules"))
-    first = top_per_group(named.select("category", "rule_index", "rule_name"), ["category"], [F.col("rule_index")], limit)
-    return first.join(totals, "category").select("category", "n_rules", "rank", "rule_name")
+    named = rules.select(F.coalesce("category", F.lit("unknown")).alias("category"), "rule_index", "rule_name")
+    placed = global_position(named, ["category", "rule_index", "rule_name"], name="__place")
+    totals = placed.groupBy("category").agg(F.count("*").alias("n_rules"), F.min("__place").alias("__first"))
+    return placed.join(totals, "category").select(
+        "category", "n_rules", (F.col("__place") - F.col("__first") + 1).cast("int").alias("rank"), "rule_name"
+    )
 
 
 def rules_per_table(rule_tables: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import io
 import uuid
 import zipfile
 from pathlib import Path
@@ -62,11 +62,16 @@ def ship(spark: SparkSession) -> None:
     if context.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parent
-    archive = Path(tempfile.mkdtemp(prefix="gaugeline-ship-")) / "gaugeline.zip"
+    archive = io.BytesIO()
     with zipfile.ZipFile(archive, "w") as out:
         for source in sorted(root.rglob("*.py")):
             out.write(source, Path("gaugeline") / source.relative_to(root))
-    context.addPyFile(str(archive))
+    target = f"{ensure_checkpoint_dir(spark).rstrip('/')}/gaugeline-{uuid.uuid4().hex}.zip"
+    path = spark._jvm.org.apache.hadoop.fs.Path(target)
+    stream = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
+    stream.write(archive.getvalue())
+    stream.close()
+    context.addPyFile(target)
     _SHIPPED.add(context.applicationId)
 
 

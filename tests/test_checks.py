@@ -105,8 +105,8 @@ def test_empty_table_gives_zeros_and_a_message(frame):
     assert (row.passed_count, row.failed_count, row.pass_rate, row.message) == (0, 0, 0.0, "Empty DataFrame")
 
 
-def test_many_rules_are_split_into_passes(frame):
-    rules = [Rule(f"r{i}", "comparison", ("v",), {"operator": ">", "compare_to_value": float(i)}) for i in range(ev.RULES_PER_PASS * 2 + 3)]
+def test_more_rules_than_columns_of_a_pass(frame):
+    rules = [Rule(f"r{i}", "comparison", ("v",), {"operator": ">", "compare_to_value": float(i)}) for i in range(ev.RULES_AS_COLUMNS * 2 + 3)]
     assert ev.evaluate(frame, rules).count() == len(rules)
 
 
@@ -159,3 +159,41 @@ def test_referential_counts_with_null_and_hot_keys(spark):
     row = ev.referential_counts(child, parent, "k", "p").first()
     assert (row.passed_count, row.failed_count) == (51, 1)
     assert {r.k for r in ev.orphans(child, parent, "k", "p").collect()} == {9, None}
+
+
+def test_failing_rules_fail_by_themselves(spark):
+    df = spark.createDataFrame([(1, "abc", 5.0), (2, "7", 1.0), (2, None, None)], "id int, s string, v double")
+    rules = [
+        Rule("same name", "not_null", ("gone",)),
+        Rule("same name", "comparison", ("v",), {"operator": ">"}),
+        Rule("text range", "range", ("s",), {"min_value": 1}),
+        Rule("text against number", "comparison", ("s",), {"operator": "<", "compare_to_value": 9}),
+        Rule("text against column", "comparison", ("s",), {"operator": ">", "compare_to_field": "v"}),
+        Rule("text in numbers", "allowed_values", ("s",), {"values": [7, 8]}),
+        Rule("bad pattern", "regex", ("s",), {"pattern": "(["}),
+        Rule("bad sql", "expression", ("v",), {"sql": "v >"}),
+        Rule("unknown column", "expression", ("v",), {"sql": "nowhere > 1"}),
+        Rule("no condition", "expression", ("v",), {"sql": "v + 1"}),
+        Rule("bad guard", "not_null", ("v",), guard=Rule("g", "no such check", ("v",))),
+        Rule("key", "uniqueness", ("id",)),
+        Rule("good", "not_null", ("v",)),
+    ]
+    rows = ev.results_with_ids(df, rules, "id").collect()
+    assert len(rows) == len(rules)
+    failed = {r.rule for r in rows if r.error}
+    assert failed == {"same name", "bad pattern", "bad sql", "unknown column", "no condition", "bad guard"}
+    assert sum(r.rule == "same name" for r in rows) == 2
+    got = {r.rule: (r.passed_count, r.failed_count, r.unknown_count, r.failed_ids) for r in rows if not r.error}
+    assert got == {
+        "text range": (1, 2, 2, [1, 2]), "text against number": (1, 2, 2, [1, 2]), "text against column": (1, 2, 2, [1, 2]), "text in numbers": (1, 2, 2, [1, 2]),
+        "key": (1, 2, 0, [2, 2]), "good": (2, 1, 0, [2]),
+    }
+
+
+def test_many_rules_in_one_scan(spark):
+    df = spark.range(100)
+    rules = [Rule("r", "comparison", ("id",), {"operator": "<", "compare_to_value": n}) for n in range(60)]
+    results = ev.evaluate(df, rules)
+    assert sorted(r.passed_count for r in results.collect()) == list(range(60))
+    assert results._jdf.queryExecution().optimizedPlan().toString().count("Range (0, 100") == 1
+    assert {(r.passed_count, r.message) for r in ev.evaluate(df.limit(0), rules).collect()} == {(0, "Empty DataFrame")}

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from gaugeline import session
 from gaugeline.operators import ranking as rk
-from gaugeline.operators.skew import SALTS, hot_keys, spread_join, spread_rows
+from gaugeline.operators.skew import spread_join, spread_rows
 
 
 @pytest.fixture(scope="module")
@@ -25,27 +25,33 @@ def test_spread_join_equals_join(sides, how):
     assert got == want
 
 
-def test_hot_keys_are_few_and_salted(sides):
-    left, _ = sides
-    hashed = {r.h: r.k for r in left.select("k", F.xxhash64("k").alias("h")).distinct().collect()}
-    assert {hashed[h] for h in hot_keys(left, ["k"])} == {7}
-    plan = spread_join(left, sides[1], ["k"])._jdf.queryExecution().optimizedPlan().toString()
-    assert "__salt" in plan and str(SALTS) in plan
-    calm = spark_range(left, 4000)
-    assert hot_keys(calm, ["k"]) == []
-    assert "__salt" not in spread_join(calm, sides[1], ["k"])._jdf.queryExecution().optimizedPlan().toString()
+PAIRS = [
+    ("int", "bigint", "7"), ("bigint", "int", "7"), ("date", "timestamp", "'2024-03-01'"), ("decimal(10,2)", "double", "7.5"), ("string", "bigint", "'7'"),
+]
 
 
-def test_hot_key_rows_reach_many_partitions(sides):
-    left, right = sides
-    joined = spread_join(left, right, ["k"]).filter("k = 7")
-    before = left.filter("k = 7").withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)))
-    assert before.select("salt").distinct().count() == SALTS
-    assert joined.count() == 12000
-
-
-def spark_range(like, n):
-    return like.sparkSession.range(n).select(F.col("id").cast("int").alias("k"), F.col("id").alias("a"))
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+@pytest.mark.parametrize("left_type,right_type,value", PAIRS)
+def test_hot_keys_of_mixed_types_meet(spark, left_type, right_type, value, how):
+    left = spark.range(1000).selectExpr("id AS a", f"cast({value} AS {left_type}) AS k", "id % 3 AS b")
+    right = spark.range(1).selectExpr(f"cast({value} AS {right_type}) AS k", "'x' AS c")
+    got = spread_join(left, right, ["k"], how)
+    assert got.columns == (["a", "k", "b"] if how in ("left_semi", "left_anti") else ["a", "k", "b", "c"])
+    rows = got.collect()
+    assert len(rows) == (0 if how == "left_anti" else 1000)
+    assert how not in ("inner", "left") or all(r.c == "x" for r in rows)
+
+
+def test_ids_of_another_type_and_lists_of_any_length(spark):
+    from gaugeline.operators.evaluate import orphans
+    from gaugeline.operators.tables import rows_with_ids
+
+    df = spark.range(1000).selectExpr("id AS x", "cast(7 AS int) AS k")
+    for n in (50, 150):
+        kept = rows_with_ids(df, "k", [*range(n), None])
+        assert kept.columns == ["x", "k"] and kept.count() == 1000
+    assert rows_with_ids(df, "k", []).count() == 0
+    assert orphans(df, spark.range(10).withColumnRenamed("id", "p"), "k", "p").count() == 0
 
 
 def test_spread_rows_keeps_rows(spark):
