@@ -36,7 +36,7 @@ SLOT_BITS = 22
 WIDTH, SHORT = 6.0, 6.0
 LEAST = 20
 #: Characters whose n-grams are counted together.
-CHARS_AT_ONCE = 1 << 22
+CHARS_AT_ONCE = 1 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SPACES = " \t\n\v\f\r"
 _SYMBOLS = "#*$%&|<>"
