@@ -177,7 +177,8 @@ def bm25_topk(spark, folder):
     return top.select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
-@query("bm25_terms", f"WITH {BM25_SQL} SELECT term, df, round(idf, 6) AS idf FROM df JOIN idf USING (term)")
+@query("bm25_terms", f"""WITH doc AS (SELECT {TOKENS.format('text')} AS t FROM documents), n AS (SELECT count(*) AS n FROM doc), df AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(t)) AS term FROM doc) GROUP BY 1),
+ raw AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS r FROM df, n) SELECT term, df, round(CASE WHEN r < 0 THEN 0.25 * (SELECT avg(r) FROM raw) ELSE r END, 6) AS idf FROM raw""")
 def bm25_terms(spark, folder):
     statistics = rt.corpus_statistics(table(spark, folder, "documents"), "text")
     return rt.term_weights(statistics).withColumn("idf", F.round("idf", 6))
@@ -231,18 +232,47 @@ TYPE_SQL = "CASE lang WHEN 'en' THEN 'rule' WHEN 'fr' THEN 'execution_results' W
 INTENT_SQL = "CASE WHEN length(text) < 150 THEN 'rule_query' WHEN length(text) < 200 THEN 'mapping_query' WHEN length(text) < 250 THEN 'schema_query' ELSE 'general' END"
 
 
-@query("filtered_topk", f"""WITH {BM25_SQL}, ask AS (SELECT item_id AS query_id, {INTENT_SQL} AS intent FROM benchmark), typ AS (SELECT doc_id, {TYPE_SQL} AS type FROM documents),
- ok AS (SELECT query_id, doc_id, score, intent FROM sco JOIN ask USING (query_id) JOIN typ USING (doc_id) WHERE intent IN ('schema_query', 'general') OR (intent = 'rule_query' AND type = 'rule') OR (intent = 'mapping_query' AND type IN ('rule', 'entity_mappings')))
-SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM ok)
-WHERE rank <= CASE intent WHEN 'mapping_query' THEN 20 WHEN 'schema_query' THEN 10 ELSE 6 END""")
-def filtered_topk(spark, folder):
+# BM25 within the documents of each intent: their own frequencies and mean length.
+INTENT_BM25_SQL = f"""ask AS (SELECT item_id AS query_id, {INTENT_SQL} AS intent, text FROM benchmark), tok AS (SELECT doc_id, {TYPE_SQL} AS type, {TOKENS.format('text')} AS t FROM documents),
+ own AS (SELECT intent, doc_id, t FROM (SELECT DISTINCT intent FROM ask) JOIN tok ON intent IN ('schema_query', 'general') OR (intent = 'rule_query' AND type = 'rule') OR (intent = 'mapping_query' AND type IN ('rule', 'entity_mappings'))),
+ n AS (SELECT intent, count(*) AS n, avg(len(t)) AS a FROM own GROUP BY 1), df AS (SELECT intent, term, count(*) AS df FROM (SELECT intent, unnest(list_distinct(t)) AS term FROM own) GROUP BY 1, 2),
+ raw AS (SELECT intent, term, ln(n - df + 0.5) - ln(df + 0.5) AS r FROM df JOIN n USING (intent)), flo AS (SELECT intent, 0.25 * avg(r) AS f FROM raw GROUP BY 1),
+ qt AS (SELECT query_id, intent, term, count(*) AS times FROM (SELECT query_id, intent, unnest({TOKENS.format('text')}) AS term FROM ask) GROUP BY 1, 2, 3),
+ idf AS (SELECT intent, term, CASE WHEN r < 0 THEN f ELSE r END AS idf FROM raw JOIN flo USING (intent) WHERE term IN (SELECT term FROM qt)),
+ tf AS (SELECT doc_id, l, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS l, unnest(t) AS term FROM tok) WHERE term IN (SELECT term FROM qt) GROUP BY 1, 2, 3),
+ sco AS (SELECT query_id, qt.intent, tf.doc_id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * l / a))) AS score FROM qt JOIN tf USING (term) JOIN (SELECT intent, doc_id FROM own) o ON o.intent = qt.intent AND o.doc_id = tf.doc_id
+  JOIN idf ON idf.intent = qt.intent AND idf.term = qt.term JOIN n ON n.intent = qt.intent GROUP BY 1, 2, 3),
+ b25 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM sco),
+ top AS (SELECT * FROM b25 WHERE rank <= CASE intent WHEN 'mapping_query' THEN 20 WHEN 'schema_query' THEN 10 ELSE 6 END)"""
+
+
+def _intents(spark, folder):
     lang, size = F.col("lang"), F.length("text")
     kind = F.when(lang == "en", "rule").when(lang == "fr", "execution_results").when(lang == "de", "entity_mappings").otherwise("generated_code")
-    documents = table(spark, folder, "documents").withColumn("type", kind)
     intent = F.when(size < 150, "rule_query").when(size < 200, "mapping_query").when(size < 250, "schema_query").otherwise("general")
     asked = table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"), intent.alias("intent"))
-    scores = rt.bm25_scores(documents, asked, "doc_id", "text", "query_id", "question", keep=["type"])
-    return rt.filtered(scores, documents, asked).select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
+    return table(spark, folder, "documents").withColumn("type", kind), asked
+
+
+@query("filtered_topk", f"WITH {INTENT_BM25_SQL} SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM top")
+def filtered_topk(spark, folder):
+    documents, asked = _intents(spark, folder)
+    return rt.intent_topk(documents, asked).select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
+
+
+@query("intent_chain", f"""WITH {INTENT_BM25_SQL}, vec AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+ dis AS (SELECT query_id, ask.intent, d.vec_id AS doc_id, round(list_sum(list_transform(range(1, 65), lambda i: (d.v[i] - q.v[i]) * (d.v[i] - q.v[i]))), 9) AS q
+  FROM ask JOIN vec q ON q.vec_id = query_id JOIN (SELECT DISTINCT intent, doc_id FROM own) o ON o.intent = ask.intent JOIN vec d ON d.vec_id = o.doc_id),
+ near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY q, doc_id) AS rank FROM dis),
+ rks AS (SELECT query_id, doc_id, rank, 0 AS place FROM top UNION ALL SELECT query_id, doc_id, rank, 1 FROM near WHERE rank <= CASE intent WHEN 'mapping_query' THEN 20 WHEN 'schema_query' THEN 10 ELSE 6 END),
+ mrg AS (SELECT query_id, text, sum(0.5 / (rank + 60)) AS score, min((place, rank, doc_id)) AS first, arg_min(doc_id, (place, rank, doc_id)) AS doc_id FROM rks JOIN documents USING (doc_id) GROUP BY 1, 2),
+ fus AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, first) AS rank FROM mrg)
+SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM fus WHERE rank <= 5""")
+def intent_chain(spark, folder):
+    documents, asked = _intents(spark, folder)
+    vectors = table(spark, folder, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    found = rt.intent_retrieval(documents, asked, vectors, vectors.withColumnRenamed("doc_id", "query_id"))
+    return found.withColumn("score", F.round("score", 6))
 
 
 # ---- documents of the engine's own metadata ---------------------------------------------
@@ -341,17 +371,17 @@ def doc_type_counts(spark, folder):
     return _all_documents(spark, folder).groupBy("type").agg(F.count("*").alias("n_documents"))
 
 
-ASKED_SQL = """ask AS (SELECT event_id AS query_id, CASE WHEN event_type = 'click' THEN 'Show the results of rule #' || (user_id + 1) ELSE 'What is the pass rate of ' || event_type || ' of user ' || user_id || ' now?' END AS question,
- CASE WHEN event_type = 'view' THEN 'code_query' WHEN event_type = 'error' THEN 'general' ELSE 'execution_query' END AS intent, user_id, event_type FROM events WHERE value > 100)"""
+ASKED_SQL = """ask AS (SELECT event_id AS query_id, CASE WHEN event_type = 'click' THEN 'Show the results of rule #' || (user_id + 1) ELSE 'What is the pass rate of "' || event_type || ' of user ' || user_id || '"?' END AS question,
+ CASE WHEN event_type = 'view' THEN 'code_query' WHEN event_type = 'error' THEN 'general' ELSE 'execution_query' END AS intent, user_id, event_type FROM events)"""
 
 
 def _asked(spark, folder):
     user = F.col("user_id").cast("string")
     kind = F.col("event_type")
     by_number = F.concat(F.lit("Show the results of rule #"), (F.col("user_id") + 1).cast("string"))
-    by_name = F.concat(F.lit("What is the pass rate of "), kind, F.lit(" of user "), user, F.lit(" now?"))
+    by_name = F.concat(F.lit('What is the pass rate of "'), kind, F.lit(" of user "), user, F.lit('"?'))
     intent = F.when(kind == "view", "code_query").when(kind == "error", "general").otherwise("execution_query")
-    return table(spark, folder, "events").filter("value > 100").select(
+    return table(spark, folder, "events").select(
         F.col("event_id").alias("query_id"), F.when(kind == "click", by_number).otherwise(by_name).alias("question"), intent.alias("intent")
     )
 

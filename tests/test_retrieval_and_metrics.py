@@ -83,13 +83,21 @@ def test_bm25_against_brute_force(spark):
     assert [r.doc_id for r in top] == [i for _, i in sorted((-round(s, 9), i) for (q, i), s in want.items() if q == 1)[:3]]
 
 
-def test_filtering_with_and_without_a_carried_type(spark):
-    documents = spark.createDataFrame([(1, "a b", "rule"), (2, "a", "note"), (3, "a c", "rules_summary")], "doc_id int, text string, type string")
-    asked = spark.createDataFrame([(7, "a", "rule_query"), (8, "a b", "general")], "query_id int, question string, intent string")
-    plain = rt.bm25_scores(documents, asked, "doc_id", "text", "query_id", "question")
-    carried = rt.bm25_scores(documents, asked, "doc_id", "text", "query_id", "question", keep=["type"])
-    one, two = ({(r.query_id, r.doc_id, r["rank"]) for r in rt.filtered(s, documents, asked).collect()} for s in (plain, carried))
-    assert one == two and {(q, d) for q, d, _ in one} == {(7, 1), (7, 3), (8, 1), (8, 2), (8, 3)}
+def test_types_are_filtered_before_anything_is_counted(spark):
+    documents = spark.createDataFrame([(1, "a b", "rule"), (2, "a", "note"), (3, "a c c c", "rules_summary"), (4, "b b z", "note")], "doc_id int, text string, type string")
+    asked = spark.createDataFrame([(7, "b", "rule_query"), (8, "a b", "general"), (9, "a", "code_query"), (10, "c", None)], "query_id int, question string, intent string")
+    got = rt.intent_topk(documents, asked).collect()
+    # No code documents occur: that intent reads all, like an unknown one.
+    assert {(r.query_id, r.doc_id) for r in got} == {(7, 1), (8, 1), (8, 2), (8, 3), (8, 4), (9, 1), (9, 2), (9, 3), (10, 3)}
+    readable = documents.filter("type in ('rule', 'rules_summary')")
+    alone = rt.bm25_topk(readable, asked.filter("query_id = 7"), 6).collect()
+    assert [tuple(r) for r in got if r.query_id == 7] == [tuple(r) for r in alone]
+
+
+def test_names_are_found_wherever_they_stand(spark):
+    rules = spark.createDataFrame([(1, "null check"), (2, "BalanceCheck"), (3, "ab"), (4, "Null Check"), (5, " ")], "rule_index int, rule_name string")
+    asked = spark.createDataFrame([(1, 'Explain "null check" please'), (2, "explain BalanceCheck?"), (3, "xab"), (4, "nothing"), (5, ""), (6, "rule 9 null check")], "query_id int, question string")
+    assert sorted(map(tuple, rt.named_rules(asked, rules).collect())) == [(1, 1), (2, 2), (3, 3), (6, 9)]
 
 
 def test_vector_search_in_several_passes(spark, monkeypatch):
@@ -110,16 +118,13 @@ def test_fusion_merges_equal_texts(spark):
     got = [(r.doc_id, r.rank, r.score) for r in rt.fuse([(first, 0.5), (second, 0.5)], texts).orderBy("rank").collect()]
     assert got == [("a", 1, round(1 / 61, 9)), ("b", 2, round(0.5 / 62, 9)), ("c", 3, round(0.5 / 62, 9))]
     assert rt.fuse([(first, 0.5), (second, 0.5)], None, keep=3).count() == 3
-    assert rt.weights_or_default(None) == (0.5, 0.5)
 
 
 def test_intents_choose_types_and_depth(spark):
-    asked = spark.createDataFrame([(1, "rule_query"), (2, "code_query"), (3, "general")], "query_id int, intent string")
+    asked = spark.createDataFrame([(1, "rule_query"), (2, "code_query"), (3, "general"), (4, "mapping_query")], "query_id int, intent string")
     docs = spark.createDataFrame([("a", "rule"), ("b", "execution_results")], "doc_id string, type string")
-    got = sorted((r.query_id, r.type) for r in rt.readable_types(asked, docs).collect())
-    assert got == [(1, "rule"), (2, "execution_results"), (2, "rule"), (3, "execution_results"), (3, "rule")]
-    depths = spark.createDataFrame([("mapping_query",), ("schema_query",), ("code_query",), ("other",)], "i string").select(rt.intent_k(F.col("i")).alias("k"))
-    assert [r.k for r in depths.collect()] == [20, 10, 8, 6]
+    got = sorted((sorted(i), t, k) for i, t, k in rt.intent_groups(docs, asked))
+    assert got == [(["code_query"], None, 8), (["general"], None, 6), (["mapping_query"], ["rule"], 20), (["rule_query"], ["rule"], 6)]
 
 
 def test_lookups_and_forced_documents(spark):
