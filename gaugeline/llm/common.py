@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from gaugeline.session import ensure_checkpoint_dir, ship
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -36,22 +38,29 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def add(self, df: DataFrame, name: str, **options: str) -> None:
-        before = self.spark.conf.get(_CLEANUP, "false")
-        self.spark.conf.set(_CLEANUP, "true")
+    def add(self, df: DataFrame, name: str, batch_rows: int | None = None, **options: str) -> None:
+        """Append ``df``; ``batch_rows`` bounds the Arrow batches of a plan whose rows are large."""
+        conf = {_CLEANUP: "true"} | ({_BATCH_ROWS: str(batch_rows)} if batch_rows else {})
+        before = {key: self.spark.conf.get(key, None) for key in conf}
+        for key, value in conf.items():
+            self.spark.conf.set(key, value)
         try:
             writer = df.write.mode("append").option("compression", "zstd")
             for key, value in options.items():
                 writer = writer.option(key.replace("__", "."), value)
             writer.parquet(self.path(name))
         finally:
-            self.spark.conf.set(_CLEANUP, before)
+            for key, value in before.items():
+                if value is None:
+                    self.spark.conf.unset(key)
+                else:
+                    self.spark.conf.set(key, value)
 
     def read(self, name: str, schema) -> DataFrame:
         return self.spark.read.schema(schema).parquet(self.path(name))
 
-    def settle(self, df: DataFrame, name: str, **options: str) -> DataFrame:
-        self.add(df, name, **options)
+    def settle(self, df: DataFrame, name: str, batch_rows: int | None = None, **options: str) -> DataFrame:
+        self.add(df, name, batch_rows, **options)
         return self.read(name, df.schema)
 
     def drop(self, name: str) -> None:
@@ -60,6 +69,27 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release() -> None:
+    """Give a worker's freed memory back to the system: workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library: it keeps what it keeps
+
+
+def tidy(function: Callable) -> Callable:
+    """A function over batches that gives its memory back when a task ends."""
+
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            release()
+
+    return run
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

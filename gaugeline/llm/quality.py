@@ -28,12 +28,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeline.llm.common import Scratch
+from gaugeline.llm.common import Scratch, tidy
 
 ORDER = 4
 SLOT_BITS = 22
 #: Width of a band in robust deviations, and its part for short texts in nats times root characters.
-WIDTH, SHORT = 6.0, 6.0
+WIDTH, SHORT = 3.0, 2.0
 LEAST = 20
 #: Characters whose n-grams are counted together.
 CHARS_AT_ONCE = 1 << 20
@@ -125,7 +125,7 @@ def count_grams(docs: DataFrame, order: int, bits: int) -> DataFrame:
                 ["slot", "lang", "gram", "n"],
             )
 
-    rows = docs.select("text", "lang").mapInArrow(count, COUNT_SCHEMA)
+    rows = docs.select("text", "lang").mapInArrow(tidy(count), COUNT_SCHEMA)
     summed = rows.groupBy("slot").agg(F.min(F.struct(F.coalesce(F.concat(F.lit("="), "lang"), F.lit("")).alias("lang"), "gram")).alias("g"), F.sum("n").alias("c"))
     return summed.select("g.lang", "g.gram", "c")
 
@@ -293,7 +293,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 ["row", "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_scored", "nll"],
             )
 
-    return docs.mapInArrow(run, SCORE_SCHEMA)
+    return docs.mapInArrow(tidy(run), SCORE_SCHEMA)
 
 
 def bands(scored: DataFrame, least: int = LEAST) -> DataFrame:

@@ -3,7 +3,7 @@
 Every byte covered by a string of ``match`` bytes that also starts earlier (smaller doc_id, or
 the same document and an earlier start) is removed; strings never cross documents.
 
-1. Texts are laid out in document order in blocks of about 1 MB, written once.
+1. Texts are laid out in document order in blocks of about half a MB, written once.
 2. Cover samples: the places of a text whose offset modulo the period is in a difference
    cover. Any two places have a common distance below the period at which both meet a
    sample, so two equal strings hold two samples that agree on ``match - period + 1`` bytes.
@@ -12,7 +12,7 @@ the same document and an earlier start) is removed; strings never cross document
 3. A suffix is sorted only if a sample in its first ``period`` bytes shares its rank: all others
    cannot tie for ``match`` bytes. Only the bytes of these suffixes are kept for the sort.
 4. The suffixes are sorted by their first ``match`` bytes, again one block of buckets after
-   another: each task sorts one bucket of 96-bit fingerprints of these bytes. In every tie
+   another: each task sorts one bucket of 80-bit fingerprints of these bytes. In every tie
    the first suffix stays and the others are marked.
 
 Memory and disk follow one block of buckets, not the corpus: a block's shuffle files go before
@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeline.llm.common import Scratch, shuffle_width
+from gaugeline.llm.common import Scratch, release, shuffle_width, tidy
 
 #: Perfect difference sets: every distance modulo the period is a difference of two members.
 COVERS = {
@@ -43,11 +43,16 @@ COVERS = {
     31: (0, 1, 3, 8, 12, 18),
     57: (0, 1, 3, 13, 32, 36, 43, 52),
 }
-BLOCK_BYTES = 1 << 20
-#: Blocks of suffix buckets, sorted one after another.
-PASSES = 4
+BLOCK_BYTES = 1 << 19
+#: Blocks of an Arrow batch.
+BATCH_BLOCKS = 16
+#: Blocks of suffix buckets, sorted one after another: for the cover samples, and for the suffixes.
+SAMPLE_PASSES, PASSES = 2, 4
 #: Bytes of sort entries in a bucket, for texts of which a quarter repeats.
 BUCKET_BYTES = 8 << 20
+#: Key, second fingerprint and place of a suffix.
+ENTRY_BYTES = 14
+_FAR = 65535
 _FIRST = -(1 << 63)
 _ODD1, _ODD2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -65,7 +70,7 @@ def words_at(data: bytes) -> np.ndarray:
 
 
 def fingerprints(words: np.ndarray, places: np.ndarray, length: int, two: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
-    """A 64-bit fingerprint of the ``length`` bytes from each place, and 32 bits of a second one."""
+    """A 64-bit fingerprint of the ``length`` bytes from each place, and 16 bits of a second one."""
     first = np.full(len(places), length, dtype=np.uint64)
     second = np.full(len(places), ~np.uint64(length), dtype=np.uint64) if two else None
     for offset in [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]:
@@ -79,7 +84,23 @@ def fingerprints(words: np.ndarray, places: np.ndarray, length: int, two: bool =
             second ^= second >> np.uint64(29)
     first *= _ODD2
     first ^= first >> np.uint64(29)
-    return first, (second >> np.uint64(32)).astype(np.uint32) if two else None
+    return first, (second >> np.uint64(48)).astype(np.uint16) if two else None
+
+
+def gaps(places: np.ndarray) -> bytes:
+    """Sorted places as their distances in 16 bits; a far one is reached in steps of 65535 that stand for no place."""
+    step = np.diff(places.astype(np.int64), prepend=0)
+    far, rest = step // _FAR, (step % _FAR).astype(np.uint16)
+    if far.any():
+        out = np.full(len(step) + int(far.sum()), _FAR, dtype=np.uint16)
+        out[np.cumsum(far + 1) - 1] = rest
+        rest = out
+    return rest.tobytes()
+
+
+def from_gaps(data: bytes) -> np.ndarray:
+    step = np.frombuffer(data, dtype=np.uint16)
+    return np.cumsum(step, dtype=np.int64)[step != _FAR]
 
 
 def runs_of(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -106,6 +127,8 @@ class Plan:
         self.period = max(p for p in COVERS if p <= 0.6 * match)
         self.cover = np.array(COVERS[self.period], dtype=np.int64)
         self.depth = match - self.period + 1
+        # The leading bytes that decide in which block of buckets a suffix is sorted.
+        self.lead = min(16, self.depth // 8 * 8)
 
     def samples(self, lengths: np.ndarray) -> np.ndarray:
         """Places of the cover samples of texts laid end to end; texts too short for a match have none."""
@@ -174,18 +197,23 @@ def longs(column: pa.Array, row: int) -> np.ndarray:
     return np.frombuffer(column[row].as_py(), dtype=np.int64)
 
 
-def sample_keys(plan: Plan, data: bytes, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    places = plan.samples(lengths)
-    return places, fingerprints(words_at(data), places, plan.depth)[0] & ~np.uint64(1)
+def of_pass(plan: Plan, words: np.ndarray, places: np.ndarray, number: int, passes: int) -> np.ndarray:
+    """Which places belong to a block of buckets, by their leading bytes."""
+    lead, _ = fingerprints(words, places, plan.lead)
+    return np.flatnonzero((lead >> np.uint64(24)) % np.uint64(passes) == number)
+
+
+def sample_keys(plan: Plan, words: np.ndarray, places: np.ndarray) -> np.ndarray:
+    return fingerprints(words, places, plan.depth)[0] & ~np.uint64(1)
 
 
 def deal_samples(plan: Plan, number: int, passes: int, buckets: int):
     def deal(batches):
         for batch in batches:
             for row in range(batch.num_rows):
-                _, keys = sample_keys(plan, batch.column("data")[row].as_py(), longs(batch.column("lengths"), row))
-                keys = keys[(keys >> np.uint64(8)) % np.uint64(passes) == number]
-                keys, counts = np.unique(keys, return_counts=True)
+                words, places = words_at(batch.column("data")[row].as_py()), plan.samples(longs(batch.column("lengths"), row))
+                mine = places[of_pass(plan, words, places, number, passes)]
+                keys, counts = np.unique(sample_keys(plan, words, mine), return_counts=True)
                 # The lowest bit says that the block itself holds the sample twice.
                 yield by_bucket(batch.column("block")[row].as_py(), keys, [keys | (counts > 1)], None, None, buckets)
 
@@ -203,26 +231,22 @@ def rank_samples(bucket: pa.Table) -> pa.Table:
     rank = np.cumsum(new) - 1
     shared = (np.bincount(rank) > 1) | (np.bincount(rank, weights=keys[order] & np.uint64(1)) > 0)
     hit = order[shared[rank]]
-    return per_block(bucket.column("block"), block[hit], keys[hit] & ~np.uint64(1))
+    found = per_block(bucket.column("block"), block[hit], keys[hit] & ~np.uint64(1), np.ndarray.tobytes)
+    release()
+    return found
 
 
-def per_block(numbers: pa.ChunkedArray, block: np.ndarray, values: np.ndarray) -> pa.Table:
+def per_block(numbers: pa.ChunkedArray, block: np.ndarray, values: np.ndarray, pack) -> pa.Table:
     order = np.argsort(block, kind="stable")
     block, values = block[order], values[order]
     edges, ends = groups_of(block)
     names = numbers.to_pylist()
     return pa.table({
         "block": pa.array([names[block[a]] for a in edges], pa.int64()),
-        "places": pa.array([np.sort(values[a:b]).tobytes() for a, b in zip(edges, ends, strict=True)], pa.binary()),
+        "places": pa.array([pack(np.sort(values[a:b])) for a, b in zip(edges, ends, strict=True)], pa.binary()),
     })
 
 
-def joined(column: pa.Array, row: int, kind) -> np.ndarray:
-    """The sorted numbers of a list of binary values."""
-    value = column[row].as_py()
-    return np.sort(np.frombuffer(b"".join(value), dtype=kind)) if value else np.zeros(0, dtype=kind)
-
-
 def keep_suffixes(plan: Plan):
     """Of each block, the stretches where a suffix has a sample of shared rank in reach."""
 
@@ -230,8 +254,9 @@ def keep_suffixes(plan: Plan):
         for batch in batches:
             for row in range(batch.num_rows):
                 data, lengths = batch.column("data")[row].as_py(), longs(batch.column("lengths"), row)
-                places, keys = sample_keys(plan, data, lengths)
-                shared = joined(batch.column("shared"), row, np.uint64)
+                places = plan.samples(lengths)
+                keys = sample_keys(plan, words_at(data), places)
+                shared = np.sort(np.frombuffer(b"".join(batch.column("shared")[row].as_py()), dtype=np.uint64))
                 at = np.minimum(np.searchsorted(shared, keys), len(shared) - 1)
                 places = places[shared[at] == keys]
                 ends = np.cumsum(lengths)
@@ -262,10 +287,10 @@ def deal_suffixes(plan: Plan, number: int, passes: int, buckets: int):
                 starts, counts = longs(batch.column("starts"), row), longs(batch.column("lengths"), row)
                 widths = counts + plan.match - 1
                 local = runs_of(np.cumsum(widths) - widths, counts)
-                key, check = fingerprints(words_at(batch.column("data")[row].as_py()), local, plan.match, two=True)
-                mine = np.flatnonzero((key >> np.uint64(8)) % np.uint64(passes) == number)
+                words = words_at(batch.column("data")[row].as_py())
+                mine = of_pass(plan, words, local, number, passes)
                 place = runs_of(starts, counts)[mine].astype(np.uint32)
-                key, check = key[mine], check[mine]
+                key, check = fingerprints(words, local[mine], plan.match, two=True)
                 order = tie_order(key, check, place)
                 key, check, place = key[order], check[order], place[order]
                 new = np.r_[True, (key[1:] != key[:-1]) | (check[1:] != check[:-1])] if len(key) else np.zeros(0, dtype=bool)
@@ -291,10 +316,10 @@ def mark_ties(bucket: pa.Table) -> pa.Table:
     keys, checks, places, blocks, old, old_blocks = [], [], [], [], [], []
     for row in rows.tolist():
         blob = entries[row].as_py()
-        n = len(blob) // 16
+        n = len(blob) // ENTRY_BYTES
         keys.append(np.frombuffer(blob, dtype=np.uint64, count=n))
-        checks.append(np.frombuffer(blob, dtype=np.uint32, count=n, offset=8 * n))
-        places.append(np.frombuffer(blob, dtype=np.uint32, count=n, offset=12 * n))
+        checks.append(np.frombuffer(blob, dtype=np.uint16, count=n, offset=8 * n))
+        places.append(np.frombuffer(blob, dtype=np.uint32, count=n, offset=10 * n))
         blocks.append(np.full(n, row))
         if (inside := marked[row].as_py()) is not None:
             old.append(np.frombuffer(inside, dtype=np.uint32))
@@ -303,17 +328,20 @@ def mark_ties(bucket: pa.Table) -> pa.Table:
     order = tie_order(key, check, np.argsort(rows)[block], place)
     key, check = key[order], check[order]
     late = order[np.r_[False, (key[1:] == key[:-1]) & (check[1:] == check[:-1])]]
-    return per_block(bucket.column("block"), np.concatenate([block[late], *old_blocks]), np.concatenate([place[late], *old]))
+    found = per_block(bucket.column("block"), np.concatenate([block[late], *old_blocks]), np.concatenate([place[late], *old]), gaps)
+    release()
+    return found
 
 
-def cut_runs(plan: Plan):
-    """Every text without the bytes that marked suffixes cover."""
+def cut_runs(plan: Plan, whole_characters: bool):
+    """Every text without the bytes that marked suffixes cover, and without parts of characters if wanted."""
 
     def cut(batches):
         for batch in batches:
             for row in range(batch.num_rows):
                 data, lengths, ids = batch.column("data")[row].as_py(), longs(batch.column("lengths"), row), longs(batch.column("ids"), row)
-                places = joined(batch.column("places"), row, np.uint32).astype(np.int64)
+                parts = batch.column("places")[row].as_py() or []
+                places = np.sort(np.concatenate([np.zeros(0, dtype=np.int64), *map(from_gaps, parts)]))
                 ends = np.cumsum(lengths)
                 starts = ends - lengths
                 doc = np.searchsorted(ends, places, side="right")
@@ -333,7 +361,8 @@ def cut_runs(plan: Plan):
                         begin = int(run_end[at])
                         at += 1
                     parts.append(data[begin : int(ends[k])])
-                    kept.append(b"".join(parts))
+                    left = b"".join(parts)
+                    kept.append(left.decode("utf-8", "ignore").encode() if whole_characters and len(parts) > 1 else left)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(ids, pa.int64(), mask=ids == _FIRST), pa.array(lengths, pa.int64()), pa.array(removed, pa.int64()),
@@ -345,8 +374,11 @@ def cut_runs(plan: Plan):
     return cut
 
 
-def remove_repeats(docs: DataFrame, match: int = 100, passes: int = PASSES, carry: Sequence[str] = ()) -> DataFrame:
-    """Per row of ``docs``: doc_id, bytes, removed bytes and runs, the kept bytes, and ``carry`` columns as JSON text."""
+def remove_repeats(docs: DataFrame, match: int = 100, passes: int = PASSES, carry: Sequence[str] = (), whole_characters: bool = False) -> DataFrame:
+    """Per row of ``docs``: doc_id, bytes, removed bytes and runs, the kept bytes, and ``carry`` columns as JSON text.
+
+    ``whole_characters`` drops what is left of a character that a removed run cut.
+    """
     spark, plan = docs.sparkSession, Plan(match)
     scratch = Scratch(spark, "suffixes")
     carried = F.to_json(F.struct(*[F.col(f"`{c}`") for c in carry])) if carry else F.lit(None).cast("string")
@@ -359,20 +391,25 @@ def remove_repeats(docs: DataFrame, match: int = 100, passes: int = PASSES, carr
     by = F.xxhash64("text")
     ranged = rows.repartitionByRange(max(width, math.ceil(total / (32 << 20))), F.col("id"), by).sortWithinPartitions(F.col("id"), by, F.col("text"))
     # A row group is checked for its size after 100 rows at the earliest; a row is a block.
-    blocks = scratch.settle(ranged.mapInArrow(pack_blocks, BLOCK_SCHEMA), "blocks", parquet__block__size=str(16 << 20))
+    blocks = scratch.settle(ranged.mapInArrow(tidy(pack_blocks), BLOCK_SCHEMA), "blocks", 1000, parquet__block__size=str(16 << 20))
 
-    buckets = max(4 * width, math.ceil(total / passes * 0.25 * 16 / BUCKET_BYTES))
-    for number in range(passes):
-        dealt = blocks.select("block", "lengths", "data").mapInArrow(deal_samples(plan, number, passes, buckets), BUCKET_SCHEMA)
-        scratch.add(dealt.groupBy("bucket").applyInArrow(rank_samples, PLACES_SCHEMA), "ranks")
+    # Buckets follow the bytes, not the number of partitions: every bucket gives a row per block.
+    buckets = max(2 * spark.sparkContext.defaultParallelism, math.ceil(total / passes * 0.25 * ENTRY_BYTES / BUCKET_BYTES))
+    for number in range(SAMPLE_PASSES):
+        dealt = blocks.select("block", "lengths", "data").mapInArrow(tidy(deal_samples(plan, number, SAMPLE_PASSES, buckets)), BUCKET_SCHEMA)
+        scratch.add(dealt.groupBy("bucket").applyInArrow(rank_samples, PLACES_SCHEMA), "ranks", BATCH_BLOCKS)
     shared = scratch.read("ranks", "block long, places binary").groupBy("block").agg(F.collect_list("places").alias("shared"))
     suffixes = scratch.settle(
-        blocks.select("block", "lengths", "data").join(shared, "block").mapInArrow(keep_suffixes(plan), SUFFIX_SCHEMA), "suffixes", parquet__block__size=str(16 << 20)
+        blocks.select("block", "lengths", "data").join(shared, "block").mapInArrow(tidy(keep_suffixes(plan)), SUFFIX_SCHEMA), "suffixes", BATCH_BLOCKS, parquet__block__size=str(16 << 20)
     )
     scratch.drop("ranks")
     for number in range(passes):
-        dealt = suffixes.mapInArrow(deal_suffixes(plan, number, passes, buckets), BUCKET_SCHEMA)
-        scratch.add(dealt.groupBy("bucket").applyInArrow(mark_ties, PLACES_SCHEMA), "ties")
+        dealt = suffixes.mapInArrow(tidy(deal_suffixes(plan, number, passes, buckets)), BUCKET_SCHEMA)
+        scratch.add(dealt.groupBy("bucket").applyInArrow(mark_ties, PLACES_SCHEMA), "ties", BATCH_BLOCKS)
     scratch.drop("suffixes")
     ties = scratch.read("ties", "block long, places binary").groupBy("block").agg(F.collect_list("places").alias("places"))
-    return blocks.join(ties, "block", "left").mapInArrow(cut_runs(plan), KEPT_SCHEMA)
+    cut = blocks.join(ties, "block", "left").mapInArrow(tidy(cut_runs(plan, whole_characters)), KEPT_SCHEMA)
+    kept = scratch.settle(cut, "kept", BATCH_BLOCKS, parquet__block__size=str(16 << 20))
+    scratch.drop("ties")
+    scratch.drop("blocks")
+    return kept
