@@ -8,6 +8,7 @@ from gaugeline.catalog.registry import query, table
 from gaugeline.operators import evaluate as ev
 from gaugeline.operators import tables as tb
 from gaugeline.operators.ranking import pass_rate_band
+from gaugeline.plans import metrics as me
 from gaugeline.plans.rules import Rule
 
 RESULT = ["rule", "passed_count", "failed_count", "unknown_count", "pass_rate"]
@@ -426,3 +427,15 @@ def rule_batch_mixed(spark, folder):
     results = ev.results_with_ids(table(spark, folder, "customer"), rules, "c_custkey")
     ids = F.array_join(F.transform("failed_ids", lambda i: i.cast("string")), ",")
     return results.select("rule", F.col("error").isNotNull().alias("has_error"), "passed_count", "failed_count", F.coalesce(ids, F.lit("")).alias("failed_ids"))
+
+
+@query("evaluate_to_runs", f"""SELECT rule AS rule_name, passed_count, failed_count, round(passed_count / (passed_count + failed_count), 6) AS pass_rate FROM ({ITEM_RULE_SQL})
+ UNION ALL SELECT 'no such column', CAST(0 AS BIGINT), CAST(0 AS BIGINT), 0.0""")
+def evaluate_to_runs(spark, folder):
+    """Results become run rows, and the log keeps the latest of two runs of each rule."""
+    items = table(spark, folder, "lineitem")
+    rules = [*ITEM_RULES, Rule("no such column", "not_null", ("l_missing",))]
+    day = F.lit("2025-01-02 00:00:00").cast("timestamp_ntz")
+    first = me.run_rows(ev.evaluate(items.limit(0), rules), day)
+    second = me.run_rows(ev.evaluate(items, rules), day + F.expr("INTERVAL 1 DAY"))
+    return me.latest_runs(first.unionByName(second)).select("rule_name", "passed_count", "failed_count", F.round("pass_rate", 6).alias("pass_rate"))

@@ -105,15 +105,16 @@ AUDITED = [(FILL, f"{TGT} AND segment IS NULL"), (REPLACE, f"{TGT} AND c_acctbal
 
 @query("remediate_audit", " UNION ALL ".join(
     f"""SELECT '{a.action_type}' AS action_type, '{a.logic}' AS logic, '{a.rule_name}' AS rule_name, CAST(count(*) FILTER (WHERE {TGT}) AS BIGINT) AS rows_in_scope,
- CAST(count(*) FILTER (WHERE {cond}) AS BIGINT) AS rows_affected FROM {CUSTOMERS_SQL}""" for a, cond in AUDITED))
+ CAST(count(*) FILTER (WHERE {cond}) AS BIGINT) AS rows_affected, CAST({i} AS BIGINT) AS rule_index, CAST(count(*) FILTER (WHERE {TGT}) AS BIGINT) AS n_ids,
+ (SELECT string_agg(CAST(c_custkey AS VARCHAR), ',' ORDER BY c_custkey) FROM (SELECT c_custkey FROM {CUSTOMERS_SQL} WHERE {TGT} ORDER BY c_custkey LIMIT 100)) AS ids FROM {CUSTOMERS_SQL}""" for i, (a, cond) in enumerate(AUDITED, 1)))
 def remediate_audit(spark, folder):
     when = F.lit("2025-01-02 03:04:05").cast("timestamp_ntz")
     customers = _customers(spark, folder)
-    parts = [rm.audit_row(customers, a, "c_custkey", LOW_BALANCE, when).drop("ts") for a, _ in AUDITED]
+    parts = [rm.audit_row(customers, a, "c_custkey", LOW_BALANCE, when, i).drop("ts") for i, (a, _) in enumerate(AUDITED, 1)]
     log = parts[0]
     for part in parts[1:]:
         log = log.unionByName(part)
-    return log
+    return log.withColumn("ids", F.array_join("ids", ","))
 
 
 @query("remediate_preview", f"SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 0 ELSE c_acctbal END AS c_acctbal FROM {CUSTOMERS_SQL} WHERE {TGT} ORDER BY c_custkey LIMIT 10")

@@ -23,6 +23,8 @@ from gaugeline.operators.tables import id_frame
 from gaugeline.plans.rules import Rule
 
 ACTIONS = ("fillna", "replace", "cast", "standardize", "deduplicate", "filter", "review")
+# Ids an audit row names.
+AUDIT_IDS = 100
 PREVIEW_ROWS = 10
 _TARGET = "__target"
 
@@ -173,11 +175,17 @@ def changes(df: DataFrame, action: Action, id_column: str, targets: Targets) ->
     return repaired.agg(scope, F.count_if(differs & F.col(_TARGET)).alias("rows_affected"))
 
 
-def audit_row(df: DataFrame, action: Action, id_column: str, targets: Targets, when: Column) -> DataFrame:
-    """The remediation-log row of an action."""
+def audit_row(df: DataFrame, action: Action, id_column: str, targets: Targets, when: Column, rule_index: int | None = None) -> DataFrame:
+    """The remediation-log row of an action, in the form totals, history and documents read.
+
+    ``n_ids`` counts the distinct ids of targeted rows, ``ids`` holds the AUDIT_IDS smallest as text.
+    """
+    targeted = with_target_flag(df, id_column, targets).filter(F.col(_TARGET)).select(column(id_column).alias("id")).distinct()
+    first = targeted.orderBy("id").limit(AUDIT_IDS).agg(F.transform(F.array_sort(F.collect_list("id")), lambda i: i.cast("string"))).scalar()
     return changes(df, action, id_column, targets).select(
-        F.lit(action.rule_name).alias("rule_name"), F.lit(action.logic).alias("logic"),
-        F.lit(action.action_type).alias("action_type"), "rows_in_scope", "rows_affected", when.alias("ts"),
+        F.lit(rule_index).cast("bigint").alias("rule_index"), F.lit(action.rule_name).alias("rule_name"), F.lit(action.logic).alias("logic"),
+        F.lit(action.action_type).alias("action_type"), "rows_in_scope", "rows_affected",
+        targeted.agg(F.count("*")).scalar().alias("n_ids"), first.alias("ids"), when.alias("ts"),
     )
 
 

@@ -147,20 +147,6 @@ def id_frame(df: DataFrame, id_column: str, ids: Sequence | DataFrame) -> DataFr
     return ids.select(column(ids.columns[0]).alias(id_column)).filter(column(id_column).isNotNull()).distinct()
 
 
-def union_schemas(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """P5: suggested schema of a dataset: every column as (name, type string, category).
-
-    The category is the table's name, or ``default`` for a single table; the real type
-    comes along as ``actual_type``.
-    """
-    spark = next(iter(tables.values())).sparkSession
-    single = len(tables) == 1
-    rows = [
-        (c, "string", "default" if single else name, t) for name, df in tables.items() for c, t in df.dtypes
-    ]
-    return spark.createDataFrame(rows, "name string, type string, category string, actual_type string")
-
-
 def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Rows per table and over all tables."""
     counts = reduce(

@@ -217,14 +217,3 @@ def check_summary(compiled: DataFrame) -> DataFrame:
     one = compiled.agg(F.count("*").alias("n"))
     told = _lines("Compiled checks", _labeled("Rules with a check", F.col("n")), _labeled("Check types", _breakdown(compiled, "check_type")))
     return _document(one, "generated_code_summary", F.when(F.col("n") > 0, told).otherwise(F.lit("Compiled checks\nNo check has been compiled yet.")))
-
-
-def all_documents(columns, types, target, rules, entities, mapping, schema_to_dataset, log, history, compiled) -> DataFrame:
-    """Every document of a session's metadata."""
-    return reduce(DataFrame.unionByName, [
-        table_documents(columns, types), raw_column_documents(columns), overview_document(columns, target),
-        schema_documents(target), type_documents(types), rule_documents(rules, entities, mapping), rule_summaries(rules),
-        execution_documents(log), remediation_documents(history), remediation_summary(history),
-        mapping_documents(rules, entities, mapping, schema_to_dataset), mapping_summaries(rules, entities, mapping, schema_to_dataset),
-        check_documents(rules, compiled), check_summary(compiled),
-    ])

@@ -17,6 +17,17 @@ def with_pass_rate(runs: DataFrame) -> DataFrame:
     return runs.withColumn("pass_rate", F.when(F.col("error").isNotNull(), F.lit(0.0)).otherwise(rate))
 
 
+def run_rows(results: DataFrame, when: Column) -> DataFrame:
+    """Run rows of evaluated rules: what the run log, its questions and its documents read.
+
+    A rule that ended in an error has run without rows.
+    """
+    return results.select(
+        F.col("rule").alias("rule_name"), F.coalesce("passed_count", F.lit(0).cast("bigint")).alias("passed_count"),
+        F.coalesce("failed_count", F.lit(0).cast("bigint")).alias("failed_count"), when.alias("ts"), "error",
+    )
+
+
 def latest_runs(runs: DataFrame) -> DataFrame:
     """The last run of each rule; of equal times the greater counts stay."""
     return latest_per_key(with_pass_rate(runs), ["rule_name"], ["ts", "failed_count", "passed_count"])

@@ -67,6 +67,8 @@ def test_unique_rule_targets_need_ids(df):
 
 
 def test_audit_counts_real_changes(df):
+    row = rm.audit_row(df, rm.Action("review", rule_name="r"), "id", [1, 3, 99], F.lit("2025-01-01").cast("timestamp"), 4).first()
+    assert (row.rule_index, row.n_ids, row.ids) == (4, 2, ["1", "3"])
     log = rm.audit_row(df, rm.Action("fillna", ("s",), params={"value": "U"}, rule_name="r", logic="l"), "id", [1, 3, 99], F.lit("2025-01-01").cast("timestamp")).first()
     assert (log.rows_in_scope, log.rows_affected, log.rule_name) == (2, 1, "r")
     removed = rm.changes(df, rm.Action("filter", where="v < 0"), "id", [1, 3]).first()

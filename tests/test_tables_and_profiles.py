@@ -175,8 +175,6 @@ def test_join_keys_and_row_counts(three):
     pairs = tb.join_keys(tables.columns_frame(three).filter("column_name <> 'generated_id'")).collect()
     assert [(r.left_table, r.right_table, r.shared) for r in pairs] == [("t1", "t2", ["k"])]
     assert {r.table_name: r.row_count for r in tb.row_counts(three).collect()} == {"t1": 2, "t2": 2, "t3": 1, "(all)": 5}
-    assert {r.category for r in tb.union_schemas(three).collect()} == {"t1", "t2", "t3"}
-    assert {r.category for r in tb.union_schemas({"t3": three["t3"]}).collect()} == {"default"}
 
 
 def test_involved_tables_chain(spark):
