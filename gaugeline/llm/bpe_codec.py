@@ -18,9 +18,11 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
+import itertools
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -29,12 +31,19 @@ from pyspark.sql import functions as F
 from gaugeline.llm.common import only
 
 #: States kept before the table is emptied; about half a KB each.
-MAX_STATES = 200_000
+MAX_STATES = 100_000
+#: Pieces that leave a state without a move before the move is made, and the piece length from which moves are always made.
+MISSES, LONG_PIECE = 8, 256
+#: Pairs of tokens whose neighbourhood is remembered.
+MAX_PAIRS = 400_000
 #: Pieces whose ids are kept as one move from the start state.
 MAX_PIECES = 300_000
 #: Tokens handed to the decoder at a time.
 DECODE_CHUNK = 4096
 
+_BYTE = [bytes((k,)) for k in range(256)]
+_TOKEN, _HEAD = 1, 2
+
 IDS_SCHEMA = "doc_id long, ids array<int>"
 DIGEST_SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -57,64 +66,75 @@ def merge_all(piece: bytes, ranks: dict[bytes, int], below: int = 1 << 60) -> li
 
 
 class State:
-    """Last emitted token (None at a piece's start) and the bytes read since.
+    """Last emitted token (-1 at a piece's start) and the bytes read since.
 
     ``lasts[k]`` is the last token of the encoding of the first k open bytes (``lasts[0]`` the
-    emitted one), ``starts`` the places where a token that goes on may begin.
+    emitted one, -1 where no encoding is gone on with), ``starts`` the places where a token that goes on may begin.
     """
 
-    __slots__ = ("open", "lasts", "starts", "moves", "tail")
+    __slots__ = ("open", "lasts", "starts", "moves", "tail", "misses")
 
-    def __init__(self, opened: bytes, lasts: list[bytes | None], starts: list[int]) -> None:
+    def __init__(self, opened: bytes, lasts: list[int], starts: list[int]) -> None:
         self.open, self.lasts, self.starts = opened, lasts, starts
         self.moves: dict[int, tuple[State, tuple[int, ...]]] = {}
         self.tail: tuple[int, ...] | None = None
+        self.misses = 0
 
 
 class Transducer:
-    """Encoder of single pieces, determinised as it runs."""
+    """Encoder of single pieces, determinised as it runs.
+
+    A state gets a new move once pieces have left it ``MISSES`` times without one; until then the
+    rest of such a piece is read by the same rules without making states. Pieces longer than
+    ``LONG_PIECE`` always make states, so what is kept open stays short.
+    """
 
     def __init__(self, ranks: dict[bytes, int], max_states: int = MAX_STATES) -> None:
         self.ranks, self.max_states = ranks, max_states
+        self.size = max(ranks.values(), default=0) + 1
+        self.names: list[bytes] = [b""] * self.size
         # The two parts a token is merged from last, for the tokens that merging makes; any
         # other token stands only for a piece that equals it.
-        self.halves: dict[bytes, tuple[bytes, bytes]] = {}
-        self.tokens: dict[bytes, int] = {}
+        self.halves: list[tuple[int, int] | None] = [None] * self.size
+        # By string: the token's number times four, plus what the string is.
+        self.kinds: dict[bytes, int] = {}
         for token, rank in sorted(ranks.items(), key=lambda item: item[1]):
+            self.names[rank] = token
             if len(token) > 1:
                 parts = merge_all(token, ranks, rank)
                 if len(parts) != 2:
                     continue
-                self.halves[token] = (parts[0], parts[1])
-            self.tokens[token] = rank
-        self.heads = {t[:k] for t in self.tokens for k in range(1, len(t))}
-        self.pairs: dict[tuple[bytes, bytes], bool] = {}
-        self.pieces: dict[bytes, tuple[int, ...]] = {}
+                self.halves[rank] = (ranks[parts[0]], ranks[parts[1]])
+            self.kinds[token] = rank * 4 + _TOKEN
+        for head in {t[:k] for t in list(self.kinds) for k in range(1, len(t))}:
+            self.kinds[head] = self.kinds.get(head, 0) | _HEAD
+        self.lengths = [len(t) for t in self.names]
+        self.pairs: dict[int, bool] = {}
         self.reset()
 
     def reset(self) -> None:
         for state in getattr(self, "states", {}).values():
             state.moves.clear()  # states refer to each other: without moves they go at once
-        self.start = State(b"", [None], [0])
-        self.states: dict[tuple[bytes | None, bytes], State] = {(None, b""): self.start}
+        self.start = State(b"", [-1], [0])
+        self.states: dict[tuple[int, bytes], State] = {(-1, b""): self.start}
 
-    def neighbours(self, left: bytes, right: bytes) -> bool:
+    def neighbours(self, left: int, right: int) -> bool:
         """Whether merging the joined bytes of two tokens gives these two.
 
         The merges inside each token are undone at the border, latest first. Two parts that
         met at the border while both were whole must not have been joined by a lower rank
         than the merge that ended the meeting.
         """
-        ranks, halves = self.ranks, self.halves
+        names, halves = self.names, self.halves
         left_limit = right_limit = 1 << 60
         while True:
-            joined = ranks.get(left + right)
+            joined = self.ranks.get(names[left] + names[right])
             # At equal rank the leftmost merge goes first: the left token's own merge before the
             # joint one, the joint one before the right token's own.
             if joined is not None and joined < left_limit and joined <= right_limit:
                 return False
-            left_rank = ranks[left] if left in halves else -1
-            right_rank = ranks[right] if right in halves else -1
+            left_rank = left if halves[left] else -1
+            right_rank = right if halves[right] else -1
             if left_rank < 0 and right_rank < 0:
                 return True
             if left_rank > right_rank:
@@ -124,96 +144,122 @@ class Transducer:
                 right_limit, right = right_rank, halves[right][0]
                 left_limit = min(left_limit, right_limit + 1)
 
+    def read(self, text: bytes, lasts: list[int], starts: list[int]) -> list[int]:
+        """Go on from an encoding of the first bytes of ``text`` to its end: adds to ``lasts``, returns the places where a token may begin."""
+        kinds, pairs, size = self.kinds, self.pairs, self.size
+        # A place without an encoding never becomes a start, so -1 at a start is a piece's start.
+        for end in range(len(lasts), len(text) + 1):
+            last, go_on = -1, []
+            for k in starts:
+                kind = kinds.get(text[k:end])
+                if kind is None:
+                    continue
+                if last < 0 and kind & _TOKEN:
+                    before, token = lasts[k], kind >> 2
+                    if before < 0:
+                        last = token
+                    else:
+                        fits = pairs.get(before * size + token)
+                        if fits is None:
+                            if len(pairs) >= MAX_PAIRS:
+                                pairs.clear()
+                            fits = pairs[before * size + token] = self.neighbours(before, token)
+                        if fits:
+                            last = token
+                if kind & _HEAD:
+                    go_on.append(k)
+            lasts.append(last)
+            if last >= 0:
+                go_on.append(end)
+            elif not go_on:
+                raise ValueError("a byte has no token of its own")
+            starts = go_on
+        return starts
+
+    def back(self, lasts: list[int], end: int) -> tuple[int, ...]:
+        """The tokens of the first ``end`` open bytes."""
+        out = []
+        while end > 0:
+            out.append(lasts[end])
+            end -= self.lengths[lasts[end]]
+        out.reverse()
+        return tuple(out)
+
     def extend(self, state: State, byte: int) -> tuple[State, tuple[int, ...]]:
         """The move of ``state`` on ``byte``: the next state and the tokens that became certain."""
-        tokens, heads, pairs, lasts = self.tokens, self.heads, self.pairs, state.lasts
-        text = state.open + bytes((byte,))
-        end = len(text)
-        last, starts = None, []
-        for k in state.starts:
-            token = text[k:]
-            if last is None and token in tokens:
-                before = lasts[k]
-                if before is None:
-                    last = token
-                else:
-                    fits = pairs.get((before, token))
-                    if fits is None:
-                        if len(pairs) >= 4 * self.max_states:
-                            pairs.clear()
-                        fits = pairs[before, token] = self.neighbours(before, token)
-                    if fits:
-                        last = token
-            if token in heads:
-                starts.append(k)
-        lasts = [*lasts, last]
-        if last is not None:
-            starts.append(end)
-        if not starts:
-            raise ValueError("a byte has no token of its own")
-        emitted: list[int] = []
-        before = lasts[0]
-        if starts[0]:
+        lengths = self.lengths
+        text = state.open + _BYTE[byte]
+        lasts = state.lasts.copy()
+        starts = self.read(text, lasts, state.starts)
+        emitted: tuple[int, ...] = ()
+        settled = starts[0]
+        if settled:
             # No token can begin at the first place any more: emit what all places agree on.
-            common = None
-            for k in starts:
-                path = {k}
-                while k > 0:
-                    k -= len(lasts[k])
-                    path.add(k)
-                common = path if common is None else common & path
-            k = settled = max(common)
-            while k > 0:
-                emitted.append(tokens[lasts[k]])
-                k -= len(lasts[k])
+            for k in starts[1:]:
+                while k > settled:
+                    k -= lengths[lasts[k]]
+                while k < settled:
+                    # This place's tokens pass by the settled one: go back to where both have been.
+                    settled -= lengths[lasts[settled]]
+                    while k > settled:
+                        k -= lengths[lasts[k]]
             if settled:
-                emitted.reverse()
-                before, text, lasts, starts = lasts[settled], text[settled:], lasts[settled:], [k - settled for k in starts]
+                emitted = self.back(lasts, settled)
+                text, lasts, starts = text[settled:], lasts[settled:], [k - settled for k in starts]
                 for k in range(1, len(lasts)):
                     # An encoding that does not pass the settled place is never gone on with.
-                    if lasts[k] is not None and (len(lasts[k]) > k or (len(lasts[k]) < k and lasts[k - len(lasts[k])] is None)):
-                        lasts[k] = None
-        found = self.states.get((before, text))
+                    if lasts[k] >= 0:
+                        begin = k - lengths[lasts[k]]
+                        if begin < 0 or (begin and lasts[begin] < 0):
+                            lasts[k] = -1
+        key = (lasts[0], text)
+        found = self.states.get(key)
         if found is None:
             if len(self.states) >= self.max_states:
                 self.reset()
-            found = self.states[before, text] = State(text, lasts, starts)
-        move = state.moves[byte] = (found, tuple(emitted))
+            found = self.states[key] = State(text, lasts, starts)
+        move = state.moves[byte] = (found, emitted)
         return move
 
-    def finish(self, state: State) -> tuple[int, ...]:
-        """The tokens still open when the piece ends."""
-        if state.tail is None:
-            ids, k = [], len(state.open)
-            while k > 0:
-                token = state.lasts[k]
-                ids.append(self.tokens[token])
-                k -= len(token)
-            state.tail = tuple(reversed(ids))
-        return state.tail
-
     def run(self, piece: bytes) -> list[int]:
         state, out = self.start, []
-        for byte in piece:
+        for at, byte in enumerate(piece):
             move = state.moves.get(byte)
             if move is None:
+                state.misses += 1
+                if state.misses < MISSES and len(piece) <= LONG_PIECE:
+                    text, lasts = state.open + piece[at:], state.lasts.copy()
+                    self.read(text, lasts, state.starts)
+                    out += self.back(lasts, len(text))
+                    return out
                 move = self.extend(state, byte)
             state, emitted = move
             if emitted:
                 out += emitted
-        out += self.finish(state)
+        if state.tail is None:
+            state.tail = self.back(state.lasts, len(state.open))
+        out += state.tail
         return out
 
     def encode_piece(self, piece: bytes) -> tuple[int, ...]:
-        found = self.pieces.get(piece)
-        if found is None:
-            whole = self.ranks.get(piece)
-            found = (whole,) if whole is not None else tuple(self.run(piece))
-            if len(piece) <= 64:
-                if len(self.pieces) >= MAX_PIECES:
-                    self.pieces.clear()
-                self.pieces[piece] = found
-        return found
+        whole = self.ranks.get(piece)
+        return (whole,) if whole is not None else tuple(self.run(piece))
+
+
+class Pieces(dict):
+    """Ids of the pieces met lately: a piece that comes again is one step from the start state."""
+
+    def __init__(self, transducer: Transducer) -> None:
+        super().__init__()
+        self.transducer = transducer
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        ids = self.transducer.encode_piece(piece.encode("utf-8", "surrogatepass"))
+        if len(piece) <= 32:
+            if len(self) >= MAX_PIECES:
+                self.clear()
+            self[piece] = ids
+        return ids
 
 
 class Utf8Stream:
@@ -261,25 +307,16 @@ class Codec:
         self.transducer = Transducer(ranks)
         self.names = {rank: token for token, rank in ranks.items()}
         self.split = regex.compile(pattern)
+        self.pieces = Pieces(self.transducer)
 
     def encode(self, text: str) -> array:
-        ids = array("I")
-        piece_ids = self.transducer.encode_piece
-        for match in self.split.finditer(text):
-            ids.extend(piece_ids(match.group().encode("utf-8", "surrogatepass")))
-        return ids
+        return array("I", itertools.chain.from_iterable(map(self.pieces.__getitem__, self.split.findall(text))))
+
+    def decode(self, ids: Sequence[int]) -> Iterator[bytes]:
+        for k in range(0, len(ids), DECODE_CHUNK):
+            yield b"".join(map(self.names.__getitem__, ids[k : k + DECODE_CHUNK]))
 
-    def decode(self, ids: Iterable[int]) -> Iterator[bytes]:
-        names, chunk = self.names, []
-        for i in ids:
-            chunk.append(names[i])
-            if len(chunk) == DECODE_CHUNK:
-                yield b"".join(chunk)
-                chunk = []
-        if chunk:
-            yield b"".join(chunk)
-
-    def decode_text(self, ids: Iterable[int]) -> Iterator[str]:
+    def decode_text(self, ids: Sequence[int]) -> Iterator[str]:
         stream = Utf8Stream()
         for data in self.decode(ids):
             yield stream.feed(data)
@@ -326,23 +363,29 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return only(encoded, "doc_id", "ids").mapInArrow(decode, "doc_id long, text string")
 
 
-def round_trip_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Encode every whole text, decode the ids again, and return counts and digests of both."""
+def round_trip_digests(docs: DataFrame, path: str, pattern: str, keep_ids: bool = False) -> DataFrame:
+    """Encode every whole text, decode the ids again, and return counts and digests of both, with the ids if wanted."""
 
     def digest(batches):
         own = codec(path, pattern)
         for batch in batches:
-            rows = []
-            for text in batch.column(1):
-                ids = own.encode(text.as_py() or "")
-                decoded, stream = hashlib.sha256(), Utf8Stream()
-                for data in own.decode(ids):
-                    decoded.update(stream.feed(data).encode("utf-8"))
-                decoded.update(stream.close().encode("utf-8"))
-                rows.append((len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), decoded.hexdigest()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    return only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(digest, DIGEST_SCHEMA)
+            for k in range(0, batch.num_rows, 256):
+                part, rows, kept = batch.slice(k, 256), [], []
+                for text in part.column(1):
+                    ids = own.encode(text.as_py() or "")
+                    decoded, stream = hashlib.sha256(), Utf8Stream()
+                    for data in own.decode(ids):
+                        decoded.update(stream.feed(data).encode("utf-8"))
+                    decoded.update(stream.close().encode("utf-8"))
+                    rows.append((len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), decoded.hexdigest()))
+                    if keep_ids:
+                        kept.append(np.frombuffer(ids, dtype=np.int32))
+                columns = [part.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.string()), strict=True))]
+                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+                if keep_ids:
+                    columns.append(pa.array(kept, pa.list_(pa.int32())))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    schema = DIGEST_SCHEMA + (", ids array<int>" if keep_ids else "")
+    return only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(digest, schema)
