@@ -27,10 +27,10 @@ import itertools
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeline.llm.common import Scratch, bytes_of, only, shuffle_width
+from gaugeline.llm.common import Scratch, bytes_of, shuffle_width
 from gaugeline.llm.components import components
 
 BITS = 64
@@ -97,16 +97,21 @@ def fingerprint(data: bytes, width: int = 3) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
+def row_key() -> Column:
+    """A hash of a row's id and text; the sign of a missing id keeps it apart from others."""
+    return F.xxhash64(F.col("doc_id").isNull(), F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """doc_id and the fingerprint as a signed long, one row per row of ``docs``."""
+    """doc_id, the key of the row and the fingerprint as a signed long, one row per row of ``docs``."""
 
     def make(batches):
         for batch in batches:
-            prints = np.array([fingerprint(t, width) for t in bytes_of(batch.column(1))], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64), pa.int64())], ["doc_id", "print"])
+            prints = np.array([fingerprint(t, width) for t in bytes_of(batch.column(2))], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints.view(np.int64), pa.int64())], ["doc_id", "row", "print"])
 
-    rows = only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    return rows.mapInArrow(make, "doc_id long, print long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(make, "doc_id long, row long, print long")
 
 
 def within(left: np.ndarray, right: np.ndarray, left_table: np.ndarray, right_table: np.ndarray, radius: int) -> np.ndarray:
@@ -202,16 +207,30 @@ def near_links(prints: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
     return bucketed.groupBy("bucket").applyInArrow(link_cells(radius), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id of every row of ``docs``."""
+def grouped(docs: DataFrame, radius: int, width: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with their fingerprints, and the root fingerprint of each distinct one."""
     if not 0 <= radius < GROUPS:
         raise ValueError(f"radius must be below {GROUPS}")
     scratch = Scratch(docs.sparkSession, "simhash")
     prints = scratch.settle(fingerprints(docs, width), "prints")
-    nodes = prints.groupBy("print").agg(F.min("doc_id").alias("first"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+    nodes = prints.groupBy("print").agg(first)
     found = components(near_links(nodes.select("print"), radius, scratch), scratch)
     scratch.drop("cells")
     rooted = nodes.join(found.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
-    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    return prints, rooted
+
+
+def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id of every row of ``docs``."""
+    prints, rooted = grouped(docs, radius, width)
+    smallest = rooted.groupBy("root").agg(F.min("first.doc_id").alias("component_id"))
     of_print = rooted.select("print", "root").join(smallest, "root").select("print", "component_id")
     return prints.join(of_print, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFrame:
+    """The row of the smallest doc_id of every component (rows without an id come last), one row of repeated ones."""
+    _, rooted = grouped(docs, radius, width)
+    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("__row"))
+    return docs.withColumn("__row", row_key()).join(kept, "__row", "left_semi").dropDuplicates(["__row"]).drop("__row")
