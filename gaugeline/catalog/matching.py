@@ -179,7 +179,7 @@ def suggested_columns(spark, folder):
     "grm AS (SELECT rule_id, CAST(i AS INTEGER) AS start, n AS n_words, array_to_string(t[i:i + n - 1], ' ') AS phrase FROM tok, (SELECT unnest([1, 2, 3, 4]) AS n) g, (SELECT unnest(range(1, 30)) AS i) s WHERE i + n - 1 <= len(t))",
     f"key AS (SELECT {_tokens(_norm('column_name'))} AS tc, min(position) AS position, arg_min(column_name, position) AS col FROM cat GROUP BY 1)",
     f"phr AS (SELECT DISTINCT phrase, {_tokens(_norm('phrase'))} AS tk FROM grm)",
-    "bst AS (SELECT phrase, arg_min(col, position) AS col FROM phr, key WHERE len(tk) > 0 AND len(tc) > 0 AND (list_has_all(tk, tc) OR list_has_all(tc, tk)) GROUP BY phrase)",
+    "bst AS (SELECT phrase, arg_min(col, position) AS col FROM phr, key WHERE len(tk) > 0 AND len(tc) > 0 AND list_has_all(tc, tk) GROUP BY phrase)",
     "lst AS (SELECT rule_id, list([{'start': start, 'n_words': n_words, 'phrase': phrase, 'col': col}] ORDER BY n_words DESC, start) AS hits FROM grm JOIN bst USING (phrase) GROUP BY 1)",
     """fre AS (SELECT rule_id, unnest(list_reduce(hits, lambda acc, h: CASE WHEN len(list_filter(acc, lambda k: k.start < h[1].start + h[1].n_words AND h[1].start < k.start + k.n_words)) > 0
  THEN acc ELSE list_concat(acc, h) END)) AS h FROM lst)"""]) + """

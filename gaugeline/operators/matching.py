@@ -210,10 +210,11 @@ def phrases(texts: DataFrame, id_column: str, text: str, longest: int = MAX_PHRA
 def extract_entities(texts: DataFrame, id_column: str, text: str, columns: DataFrame, threshold: float = 1.0, longest: int = MAX_PHRASE_WORDS) -> DataFrame:
     """Phrases of a text that name a column, kept in the text's own wording.
 
-    A phrase whose tokens are all in a column's name, or hold all of them, scores 1: such pairs
-    meet by an equi-join on single tokens and a count of the shared ones, at any threshold.
-    Below 1 the distinct phrases are scored against the packed pool as well. Of equal scores
-    the first column counts. Of overlapping phrases the longest stays, then the earliest.
+    A phrase whose tokens are all in a column's name scores 1: such pairs meet by an equi-join
+    on single tokens and a count of the shared ones, at any threshold. Below 1 the other
+    distinct phrases are scored against the packed pool as well. A phrase that holds a whole name
+    and further words is none: its part that is the name counts. Of equal scores the first
+    column counts. Of overlapping phrases the longest stays, then the earliest.
     """
     # Rule texts are few bytes but much work each: every word starts several phrases.
     spread = spread_rows(texts.select(id_column, text))
@@ -222,14 +223,16 @@ def extract_entities(texts: DataFrame, id_column: str, text: str, columns: DataF
     if threshold < 1.0:
         rest = found.select(F.col("phrase").alias("entity"), "key").join(best, "key", "left_anti").select("entity")
         scored = resolve(rest, columns.select("position", "column"), None, {"llm": 0, "cosine": 0, "fuzzy": 100}).filter(F.col("score") >= threshold)
-        near = found.join(scored.select(F.col("entity").alias("phrase"), "column", "score"), "phrase")
+        near = found.join(scored.select(F.col("entity").alias("phrase"), "column", "score"), "phrase").filter(
+            F.size(F.array_except(F.split(token_key(normalized_name(F.col("column"))), " "), F.split("key", " "))) > 0
+        )
         exact = found.join(best, "key")
         return _non_overlapping(exact.unionByName(near), id_column)
     return _non_overlapping(found.join(best, "key"), id_column)
 
 
 def contained_names(keys: DataFrame, columns: DataFrame) -> DataFrame:
-    """(key, column): the first column whose name tokens contain, or are contained in, those of a key."""
+    """(key, column): the first column whose name tokens contain those of a key."""
     names = columns.select(token_key(normalized_name(F.col("column"))).alias("name"), "column", "position").filter(F.col("name") != "")
     first = names.groupBy("name").agg(F.min_by("column", "position").alias("column"), F.min("position").alias("position"))
 
@@ -238,7 +241,7 @@ def contained_names(keys: DataFrame, columns: DataFrame) -> DataFrame:
         return df.select("*", F.size(parts).alias(f"n_{key}"), F.explode(parts).alias("token"))
 
     shared = tokens(keys, "key").join(tokens(first, "name"), "token").groupBy("key", "name", "n_key", "n_name", "column", "position").agg(F.count("*").alias("n"))
-    return shared.filter(F.col("n") == F.least("n_key", "n_name")).groupBy("key").agg(F.min_by("column", "position").alias("column"))
+    return shared.filter(F.col("n") == F.col("n_key")).groupBy("key").agg(F.min_by("column", "position").alias("column"))
 
 
 def _non_overlapping(hits: DataFrame, id_column: str) -> DataFrame:

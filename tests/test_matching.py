@@ -79,6 +79,10 @@ def test_entities_are_the_longest_phrases_in_the_texts_wording(spark):
     texts = spark.createDataFrame([(1, "Performance Date must be before Period End Date"), (2, "the Net_Return, the net"), (3, "")], "id int, t string")
     columns = spark.createDataFrame([(1, "period_end_date"), (2, "end_date"), (3, "performance_date"), (4, "net_return"), (5, "the")], "position int, column string")
     got = sorted((r.id, r.start, r.phrase, r.column) for r in mt.extract_entities(texts, "id", "t", columns).collect())
-    assert got == [(1, 1, "Performance Date", "performance_date"), (1, 6, "Period End Date", "period_end_date"), (2, 1, "the", "the"), (2, 2, "Net_Return,", "net_return"), (2, 3, "the", "the")]
+    assert got == [(1, 1, "Performance Date", "performance_date"), (1, 6, "Period End Date", "period_end_date"), (2, 1, "the", "the"), (2, 2, "Net_Return,", "net_return"), (2, 3, "the", "the"), (2, 4, "net", "net_return")]
     loose = {(r.id, r.column) for r in mt.extract_entities(texts, "id", "t", columns.filter("position = 3"), threshold=0.9).collect()}
     assert (1, "performance_date") in loose
+    balance = spark.createDataFrame([(1, "closing_balance")], "position int, column string")
+    said = spark.createDataFrame([(1, "check balance value")], "id int, t string")
+    both = [[(r.phrase, r.column, r.score) for r in mt.extract_entities(said, "id", "t", balance, threshold=t).collect()] for t in (0.99, 1.0)]
+    assert both == [[("balance", "closing_balance", 1.0)]] * 2
