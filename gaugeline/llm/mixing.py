@@ -63,10 +63,14 @@ def with_topics(docs: DataFrame, topics: int = TOPICS, sample: int = TOPIC_SAMPL
     def features(rows: DataFrame) -> DataFrame:
         return unit.transform(counts.transform(words.transform(rows)))
 
-    picked = docs.select(text.alias("__filled"), F.xxhash64(F.lit(seed), "doc_id", text).alias("__by")).orderBy("__by", "__filled").limit(sample)
-    fitted = KMeans(k=topics, featuresCol="__unit", predictionCol="topic", seed=seed, maxIter=10, solver="row").fit(features(picked).repartition(8, "__by")) if picked.take(2)[1:] else None
-    if fitted is None:
+    # First the hashes alone, then the texts they belong to: no text is sorted or shuffled but the sample's.
+    keyed = docs.select(text.alias("__filled"), F.xxhash64(F.lit(seed), "doc_id", text).alias("__by"))
+    last = keyed.select("__by").distinct().orderBy("__by").limit(sample).agg(F.max("__by")).first()[0]
+    picked = keyed.where(F.col("__by") <= F.lit(last)).groupBy("__by").agg(F.min("__filled").alias("__filled"))
+    picked = Scratch(docs.sparkSession, "topics").settle(picked.repartition(8, "__by"), "sample")
+    if len(picked.take(2)) < 2:
         return docs.withColumn("topic", F.lit(0))
+    fitted = KMeans(k=topics, featuresCol="__unit", predictionCol="topic", seed=seed, maxIter=10, solver="row").fit(features(picked))
     return fitted.transform(features(docs.withColumn("__filled", text))).drop("__filled", "__words", "__counts", "__unit")
 
 
