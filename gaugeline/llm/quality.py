@@ -8,11 +8,15 @@ beside log-probabilities. The number of slots is fixed, so the arrays that go to
 have a proven bound (2^SLOT_BITS entries an order) however much text was counted; n-grams
 that share a slot share its count.
 
+The model is trained on distinct texts of a language and bands come from distinct texts that
+pass the base rules: however many copies a text has, it weighs one.
+
 A document passes if its mean negative log-probability per character lies in the band of
-its language: the median of all documents of the language that pass the base rules, plus or
-minus ``width`` robust deviations. Short texts scatter more, so the band has a second
-part that shrinks with the root of the length. Languages of which fewer than ``least``
-documents pass the base rules have no band and reject nothing by it.
+its language: the median of the language, plus or minus ``width`` robust deviations. Short
+texts scatter more, so the band has a second part that shrinks with the root of the length.
+A language's deviation is shrunk to the common one, that of all texts from their own
+language's median, as if ``least`` texts more had the common one, and is never less than
+``FLOOR`` of it. Medians are not shrunk: a model of little text has another level.
 
 Null texts have no words and fail the base rules. A null language is one language of its own;
 so is any text in the column. Repeated rows give a row each. An empty table gives no rows.
@@ -25,7 +29,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeline.llm.common import Scratch, tidy
@@ -34,7 +38,10 @@ ORDER = 4
 SLOT_BITS = 22
 #: Width of a band in robust deviations, and its part for short texts in nats times root characters.
 WIDTH, SHORT = 3.0, 2.0
-LEAST = 20
+#: Weight of the common deviation in texts, and the least part of it that a language's own may have.
+LEAST, FLOOR = 20, 0.5
+#: Marks of text hashes that occur more than once: a bound on what the driver and the tasks hold.
+MARKS = 1 << 24
 #: Characters whose n-grams are counted together.
 CHARS_AT_ONCE = 1 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -43,7 +50,7 @@ _SYMBOLS = "#*$%&|<>"
 
 COUNT_SCHEMA = "slot int, lang string, gram string, n long"
 SCORE_SCHEMA = (
-    "row long, doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
+    "row long, doc_id long, lang string, same long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
     "n_scored long, nll double"
 )
 
@@ -96,6 +103,37 @@ def batches_of(batches, text: int, lang: int, limit: int = CHARS_AT_ONCE):
             start += len(texts)
 
 
+def text_key() -> Column:
+    """Hash of a text and its language."""
+    return F.xxhash64(F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit("")), F.coalesce(F.col("text"), F.lit("")))
+
+
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """text and lang of ``docs``, each text of a language once.
+
+    Hashes that occur more than once set a mark. Only texts under a mark are shuffled, one of each hash
+    a task; two hashes with one mark cost a shuffle, not a wrong result.
+    """
+    keyed = docs.select("text", "lang", text_key().alias("same"))
+    copied = keyed.groupBy("same").agg(F.count("*").alias("n")).where("n > 1").select(F.col("same").bitwiseAND(F.lit(MARKS - 1)).alias("mark"))
+    found = copied.groupBy(F.expr("cast(mark div 64 AS int)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(mark % 64 AS int)))").alias("bits")).toArrow()
+    if not found.num_rows:
+        return docs.select("text", "lang")
+    marks = np.zeros(MARKS // 64, dtype=np.int64)
+    marks[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(marks)
+
+    def under(mark: int) -> DataFrame:
+        def run(batches):
+            for batch in batches:
+                at = batch.column(2).to_numpy() & (MARKS - 1)
+                yield batch.filter(pa.array((shared.value[at >> 6] >> (at & 63)) & 1 == mark))
+
+        return keyed.mapInArrow(tidy(run), keyed.schema)
+
+    return under(0).union(under(1).dropDuplicates(["same"])).select("text", "lang")
+
+
 def count_grams(docs: DataFrame, order: int, bits: int) -> DataFrame:
     """lang, gram and count of the n-grams of the highest order, one row per hash slot."""
 
@@ -213,9 +251,9 @@ class Model:
 
 
 def train(docs: DataFrame, order: int = ORDER, bits: int = SLOT_BITS, scratch: Scratch | None = None) -> Model:
-    """Count all ``docs`` (text, lang) and build the arrays; at most 2^bits entries for each order and its contexts."""
+    """Count the distinct texts of ``docs`` (text, lang) and build the arrays; at most 2^bits entries for each order and its contexts."""
     scratch = scratch or Scratch(docs.sparkSession, "language-model")
-    grams = scratch.settle(count_grams(docs, order, bits), "grams")
+    grams = scratch.settle(count_grams(distinct_texts(docs), order, bits), "grams")
 
     def slot(batches):
         for batch in batches:
@@ -274,7 +312,7 @@ def base_counts(text: str) -> tuple[int, int, int, int, int]:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """Base counts and mean negative log-probability of every row of ``docs`` (row, doc_id, text, lang)."""
+    """Base counts and mean negative log-probability of every row of ``docs`` (row, doc_id, text, lang, same)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -287,19 +325,30 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             base = np.array([base_counts(t) for t in texts], dtype=np.int64).reshape(len(texts), 5)
             yield pa.RecordBatch.from_arrays(
                 [
-                    part.column(0), part.column(1), part.column(3), *[pa.array(base[:, k], pa.int64()) for k in range(5)],
+                    part.column(0), part.column(1), part.column(3), part.column(4), *[pa.array(base[:, k], pa.int64()) for k in range(5)],
                     pa.array(scored, pa.int64()), pa.array(total / np.maximum(scored, 1), pa.float64()),
                 ],
-                ["row", "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_scored", "nll"],
+                ["row", "doc_id", "lang", "same", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_scored", "nll"],
             )
 
     return docs.mapInArrow(tidy(run), SCORE_SCHEMA)
 
 
 def bands(scored: DataFrame, least: int = LEAST) -> DataFrame:
-    """lang, median and robust deviation of the documents that pass the base rules."""
-    quartiles = scored.where("not base_failed").groupBy("lang").agg(F.percentile_approx("nll", [0.25, 0.5, 0.75], 10_000).alias("q"), F.count("*").alias("n"))
-    return quartiles.where(F.col("n") >= least).select("lang", F.col("q")[1].alias("middle"), ((F.col("q")[2] - F.col("q")[0]) / 1.349).alias("spread"))
+    """lang, median and robust deviation of the distinct texts that pass the base rules."""
+    texts = scored.where("not base_failed").groupBy("lang", "same").agg(F.min("nll").alias("nll"))
+
+    def quartiles(value: str) -> Column:
+        return F.percentile_approx(value, [0.25, 0.5, 0.75], 10_000)
+
+    own = texts.groupBy("lang").agg(quartiles("nll").alias("q"), F.count("*").alias("n")).select(
+        "lang", "n", F.col("q")[1].alias("middle"), ((F.col("q")[2] - F.col("q")[0]) / 1.349).alias("own")
+    )
+    off = texts.join(own.select(F.col("lang").alias("band_lang"), "middle"), F.col("lang").eqNullSafe(F.col("band_lang"))).select((F.col("nll") - F.col("middle")).alias("off"))
+    q = off.agg(quartiles("off").alias("q")).first()["q"]
+    common = F.lit((q[2] - q[0]) / 1.349 if q else 0.0)
+    shrunk = (F.col("n") * F.col("own") + F.lit(float(least)) * common) / (F.col("n") + F.lit(float(least)))
+    return own.select("lang", "middle", F.greatest(shrunk, F.lit(FLOOR) * common).alias("spread"))
 
 
 def judge(docs: DataFrame, order: int = ORDER, bits: int = SLOT_BITS, width: float = WIDTH, short: float = SHORT, least: int = LEAST) -> DataFrame:
@@ -309,7 +358,7 @@ def judge(docs: DataFrame, order: int = ORDER, bits: int = SLOT_BITS, width: flo
     """
     scratch = Scratch(docs.sparkSession, "quality")
     texts = F.col("text").cast("string")
-    rows = docs.select(F.xxhash64(F.col("doc_id").cast("long"), texts).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), texts.alias("text"), F.col("lang").cast("string").alias("lang"))
+    rows = docs.select(F.xxhash64(F.col("doc_id").cast("long"), texts).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), texts.alias("text"), F.col("lang").cast("string").alias("lang")).withColumn("same", text_key())
     model = train(rows, order, bits, scratch)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     scored = scratch.settle(score(rows, model), "scores").withColumn("base_failed", failed)

@@ -109,5 +109,28 @@ def test_bands_reject_what_stands_out_and_keep_the_rest(spark):
     assert got[2000]
 
 
+def test_copies_of_one_text_do_not_make_the_band(spark):
+    rng = random.Random(9)
+    texts = {lang: [" ".join(sample(rng, 6, letters) for _ in range(300)) for _ in range(40)] for lang, letters in (("en", "aeiounrst"), ("de", "bcdfgaeiou"))}
+    rows = [(k, t, lang) for lang, own in texts.items() for k, t in enumerate(own, 100 if lang == "de" else 0)]
+    rows += [(1000 + k, texts["de"][0], "de") for k in range(400)]
+    got = {r.doc_id: r for r in Q.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert len(got) == len(rows)
+    assert sum(got[100 + k].kept for k in range(40)) >= 38
+    alone = {r.doc_id: r for r in Q.judge(spark.createDataFrame(rows[:80], "doc_id long, text string, lang string")).collect()}
+    for k in alone:
+        assert got[k].perplexity == pytest.approx(alone[k].perplexity, rel=1e-2)
+        assert (got[k].lower, got[k].upper) == pytest.approx((alone[k].lower, alone[k].upper), rel=1e-2)
+
+
+def test_deviation_of_a_language_is_shrunk_to_the_common_one(spark):
+    rows = [("a", k, (k % 101) / 100) for k in range(2020)] + [("b", k, 5.0) for k in range(400)] + [("c", 1, 9.0), (None, 2, 3.0)]
+    rows += [("b", 7, 5.0)] * 50
+    got = {r.lang: r for r in Q.bands(spark.createDataFrame([(*r, False) for r in rows], "lang string, same long, nll double, base_failed boolean")).collect()}
+    common = got["c"].spread * 21 / 20
+    assert got["a"].spread > 0 and got["b"].spread == pytest.approx(common * Q.FLOOR) and got[None].spread == pytest.approx(got["c"].spread)
+    assert got["b"].middle == 5.0 and got["c"].middle == 9.0
+
+
 def test_empty_table(spark):
     assert Q.judge(spark.createDataFrame([], "doc_id long, text string, lang string")).collect() == []
