@@ -1,12 +1,14 @@
 """Quality rules: base rules and n-gram perplexity with bands per language (operator 5).
 
 The language model is a modified Kneser-Ney model of characters, one per language, counted by
-Spark over all documents. A map task adds up its n-grams in hash slots; the slots of all
-tasks are summed, and discounts, back-off weights and interpolated probabilities are joins and
-aggregates on the slot table. The model is a set of sorted hash arrays: slot numbers in order
-beside log-probabilities. The number of slots is fixed, so the arrays that go to the tasks
-have a proven bound (2^SLOT_BITS entries an order) however much text was counted; n-grams
-that share a slot share its count.
+Spark over all documents. A map task adds up its n-grams under their language and characters,
+in a table whose slots hold one n-gram each; those that find their slot taken go out batch by
+batch. Spark sums the exact keys, and discounts, back-off weights and interpolated probabilities
+are joins and aggregates on them. The model is a set of sorted hash arrays: 64-bit hashes in
+order beside log-probabilities; a slot table found by the first bits of a hash holds the whole
+hash as a check. The arrays grow with the number of n-grams. A task holds at most
+``PART_ENTRIES`` of them at a time: beyond that the n-grams are split into parts by their hash,
+and a document's sum is added up over the parts.
 
 The model is trained on distinct texts of a language and bands come from distinct texts that
 pass the base rules: however many copies a text has, it weighs one.
@@ -25,6 +27,7 @@ so is any text in the column. Repeated rows give a row each. An empty table give
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +38,10 @@ from pyspark.sql import functions as F
 from gaugeline.llm.common import Scratch, tidy
 
 ORDER = 4
+#: Slots of a map task's table of counts; n-grams without a slot are counted too.
 SLOT_BITS = 22
+#: N-grams of the model that a task holds at a time.
+PART_ENTRIES = 1 << 21
 #: Width of a band in robust deviations, and its part for short texts in nats times root characters.
 WIDTH, SHORT = 3.0, 2.0
 #: Weight of the common deviation in texts, and the least part of it that a language's own may have.
@@ -48,7 +54,7 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SPACES = " \t\n\v\f\r"
 _SYMBOLS = "#*$%&|<>"
 
-COUNT_SCHEMA = "slot int, lang string, gram string, n long"
+COUNT_SCHEMA = "lang string, gram string, n long"
 SCORE_SCHEMA = (
     "row long, doc_id long, lang string, same long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
     "n_scored long, nll double"
@@ -59,15 +65,20 @@ def lang_seed(lang: str | None) -> int:
     return xxhash.xxh64_intdigest("" if lang is None else "=" + lang, 1)
 
 
-def slots_of(seeds: np.ndarray, grams: list[np.ndarray], bits: int) -> np.ndarray:
-    """Slot of each n-gram: a hash of its language and characters, cut to ``bits`` bits."""
+def hashes_of(seeds: np.ndarray, grams: list[np.ndarray]) -> np.ndarray:
+    """64-bit hash of each n-gram's language and characters."""
     h = seeds.copy()
     for column in grams:
         h ^= column
         h *= _ODD
         h ^= h >> np.uint64(32)
     h *= _ODD
-    return (h >> np.uint64(64 - bits)).astype(np.int64)
+    return h
+
+
+def slots_of(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """The first ``bits`` bits of each hash."""
+    return (hashes >> np.uint64(64 - bits)).astype(np.int64)
 
 
 class Batch:
@@ -86,7 +97,7 @@ class Batch:
         self.order, self.bits, self.seeds, self.n = order, bits, seeds, max(0, n)
         self.columns = [points[k : k + self.n] for k in range(order)]
         self.valid = self.columns[-1] != 0
-        self.slots = slots_of(seeds, self.columns, bits)
+        self.hashes = hashes_of(seeds, self.columns)
 
 
 def batches_of(batches, text: int, lang: int, limit: int = CHARS_AT_ONCE):
@@ -135,37 +146,59 @@ def distinct_texts(docs: DataFrame) -> DataFrame:
 
 
 def count_grams(docs: DataFrame, order: int, bits: int) -> DataFrame:
-    """lang, gram and count of the n-grams of the highest order, one row per hash slot."""
+    """lang, gram and count of the n-grams of the highest order; a null language is "", others follow a "="."""
 
     def count(batches):
         total = np.zeros(1 << bits, dtype=np.int64)
         sample = np.zeros((order, 1 << bits), dtype=np.uint32)
-        named = np.zeros(1 << bits, dtype=np.int32)
+        named = np.full(1 << bits, -1, dtype=np.int32)
+        first = np.zeros(1 << bits, dtype=np.int32)
         names: dict[str | None, int] = {}
+
+        def rows(grams, langs, n):
+            of = ["" if x is None else "=" + x for x in names]
+            for a in range(0, len(n), 50_000):
+                b = min(len(n), a + 50_000)
+                text = np.ascontiguousarray(grams[:, a:b].T).tobytes().decode("utf-32-le", "surrogatepass")
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([of[k] for k in langs[a:b]], pa.string()),
+                        pa.array([text[k : k + order] for k in range(0, len(text), order)], pa.string()), pa.array(n[a:b], pa.int64()),
+                    ],
+                    ["lang", "gram", "n"],
+                )
+
         for _, texts, langs in batches_of(batches, 0, 1):
             batch = Batch(texts, langs, order, bits)
             at = np.flatnonzero(batch.valid)
-            slots = batch.slots[at]
-            total += np.bincount(slots, minlength=1 << bits)
+            hashes = batch.hashes[at]
+            slots = slots_of(hashes, bits)
+            owner = np.array([names.setdefault(x, len(names)) for x in langs], dtype=np.int32)[batch.owner[at]]
+            # Of the n-grams that meet in a free slot one takes it.
+            free = np.flatnonzero(named[slots] < 0)
+            first[slots[free]] = free
+            takes = free[first[slots[free]] == free]
+            named[slots[takes]] = owner[takes]
             for k in range(order):
-                sample[k, slots] = batch.points[at + k]
-            named[slots] = np.array([names.setdefault(x, len(names)) for x in langs], dtype=np.int32)[batch.owner[at]]
+                sample[k, slots[takes]] = batch.points[at[takes] + k]
+            own = named[slots] == owner
+            for k in range(order):
+                own &= sample[k, slots] == batch.points[at + k]
+            total += np.bincount(slots[own], minlength=1 << bits)
+            rest = np.flatnonzero(~own)
+            if len(rest):
+                rest = rest[np.argsort(hashes[rest], kind="stable")]
+                grams = np.stack([batch.points[at[rest] + k] for k in range(order)])
+                differs = (owner[rest][1:] != owner[rest][:-1]) | (grams[:, 1:] != grams[:, :-1]).any(axis=0)
+                starts = np.flatnonzero(np.concatenate([[True], differs]))
+                yield from rows(grams[:, starts], owner[rest][starts], np.diff(np.append(starts, len(rest))))
         used = np.flatnonzero(total)
-        of = list(names)
         for a in range(0, len(used), 50_000):
             part = used[a : a + 50_000]
-            grams = np.ascontiguousarray(sample[:, part].T).tobytes().decode("utf-32-le", "surrogatepass")
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(part, pa.int32()), pa.array([of[k] for k in named[part]], pa.string()),
-                    pa.array([grams[k : k + order] for k in range(0, len(grams), order)], pa.string()), pa.array(total[part], pa.int64()),
-                ],
-                ["slot", "lang", "gram", "n"],
-            )
+            yield from rows(sample[:, part], named[part], total[part])
 
     rows = docs.select("text", "lang").mapInArrow(tidy(count), COUNT_SCHEMA)
-    summed = rows.groupBy("slot").agg(F.min(F.struct(F.coalesce(F.concat(F.lit("="), "lang"), F.lit("")).alias("lang"), "gram")).alias("g"), F.sum("n").alias("c"))
-    return summed.select("g.lang", "g.gram", "c")
+    return rows.groupBy("lang", "gram").agg(F.sum("n").alias("c"))
 
 
 def discounts(counts: DataFrame) -> list[float]:
@@ -209,28 +242,61 @@ def model_tables(grams: DataFrame, order: int, scratch: Scratch) -> DataFrame:
     return whole
 
 
+class Index:
+    """Values by 64-bit hash: a table of slots for most, sorted arrays for those whose slot is taken."""
+
+    def __init__(self, hashes: np.ndarray, values: np.ndarray) -> None:
+        self.bits = max(1, (2 * len(hashes)).bit_length())
+        self.held = np.zeros(1 << self.bits, dtype=np.uint64)
+        self.value = np.full(1 << self.bits, np.nan, dtype=np.float32)
+        slots, at = np.unique(slots_of(hashes, self.bits), return_index=True)
+        self.held[slots], self.value[slots] = hashes[at], values[at]
+        rest = np.ones(len(hashes), dtype=bool)
+        rest[at] = False
+        self.hashes, self.values = hashes[rest], values[rest]
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The value of each hash, not a number where there is none."""
+        slots = slots_of(hashes, self.bits)
+        found = self.value[slots].astype(np.float64)
+        other = np.flatnonzero((self.held[slots] != hashes) & ~np.isnan(found))
+        found[other] = np.nan
+        if len(other) and len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, hashes[other]), len(self.hashes) - 1)
+            found[other] = np.where(self.hashes[at] == hashes[other], self.values[at], np.nan)
+        return found
+
+
 class Model:
-    """Sorted hash arrays: by part, slots in order and the value of each."""
+    """By order (contexts: minus order) the hashes of n-grams in order and the value of each.
+
+    A model of several parts holds the n-grams of the highest order whose hash, modulo ``parts``, is ``part``, and
+    gives 0 for others. Its texts must be among those it was trained on: it has no lower orders.
+    """
 
-    def __init__(self, order: int, bits: int, arrays: dict[int, tuple[np.ndarray, np.ndarray]]) -> None:
-        self.order, self.bits, self.arrays = order, bits, arrays
+    def __init__(self, order: int, bits: int, arrays: dict[int, tuple[np.ndarray, np.ndarray]], part: int = 0, parts: int = 1) -> None:
+        self.order, self.bits, self.arrays, self.part, self.parts = order, bits, arrays, part, parts
+        self.indexes: dict[int, Index] = {}
 
-    def find(self, part: int, slots: np.ndarray, missing: float) -> np.ndarray:
-        keys, values = self.arrays.get(part, (np.zeros(0, np.int32), np.zeros(0, np.float32)))
-        if not len(keys):
-            return np.full(len(slots), missing)
-        at = np.minimum(np.searchsorted(keys, slots), len(keys) - 1)
-        return np.where(keys[at] == slots, values[at], missing)
+    def __getstate__(self):
+        return self.__dict__ | {"indexes": {}}
+
+    def find(self, part: int, hashes: np.ndarray, missing: float) -> np.ndarray:
+        if part not in self.indexes:
+            self.indexes[part] = Index(*self.arrays.get(part, (np.zeros(0, np.uint64), np.zeros(0, np.float32))))
+        found = self.indexes[part].find(hashes)
+        return found if math.isnan(missing) else np.where(np.isnan(found), missing, found)
 
     def log_probabilities(self, batch: Batch) -> np.ndarray:
-        """Of each character that is predicted; each slot is looked up once."""
+        """Of each character that is predicted."""
         at = np.flatnonzero(batch.valid)
-        present = np.zeros(1 << self.bits, dtype=bool)
-        present[batch.slots[at]] = True
-        distinct = np.flatnonzero(present)
-        value = np.zeros(1 << self.bits, dtype=np.float64)
-        value[distinct] = self.find(self.order, distinct, np.nan)
-        found = value[batch.slots[at]]
+        hashes = batch.hashes[at]
+        if self.parts > 1:
+            own = np.flatnonzero(hashes % np.uint64(self.parts) == self.part)
+            found = np.zeros(len(at))
+            found[own] = self.find(self.order, hashes[own], 0.0)
+            return found
+        found = self.find(self.order, hashes, np.nan)
         todo = np.flatnonzero(np.isnan(found))
         if len(todo):
             found[todo] = self.back_off(batch, at[todo])
@@ -242,40 +308,65 @@ class Model:
         total, answer = np.zeros(len(at)), np.full(len(at), np.nan)
         for k in range(self.order, 0, -1):
             own = columns[self.order - k :]
-            value = self.find(k, slots_of(seeds, own, self.bits), np.nan) if k < self.order else np.full(len(at), np.nan)
+            value = self.find(k, hashes_of(seeds, own), np.nan) if k < self.order else np.full(len(at), np.nan)
             answer = np.where(np.isnan(answer), total + value, answer)
-            total = total + self.find(-k, slots_of(seeds, own[:-1], self.bits), 0.0)
+            total = total + self.find(-k, hashes_of(seeds, own[:-1]), 0.0)
         # A character never seen in the language: what is left to it, or a fixed low value in an unknown language.
         kinds = max(1, len(self.arrays.get(1, ((), ()))[0]))
         return np.where(np.isnan(answer), total - math.log(kinds + 1), answer)
 
 
-def train(docs: DataFrame, order: int = ORDER, bits: int = SLOT_BITS, scratch: Scratch | None = None) -> Model:
-    """Count the distinct texts of ``docs`` (text, lang) and build the arrays; at most 2^bits entries for each order and its contexts."""
+def train_parts(docs: DataFrame, order: int = ORDER, bits: int = SLOT_BITS, scratch: Scratch | None = None) -> tuple[DataFrame, int]:
+    """(part, hash, value) of a model of the distinct texts of ``docs`` (text, lang), and its number of rows."""
     scratch = scratch or Scratch(docs.sparkSession, "language-model")
     grams = scratch.settle(count_grams(distinct_texts(docs), order, bits), "grams")
 
-    def slot(batches):
+    def hashed(batches):
         for batch in batches:
             part, lang, gram = (batch.column(k).to_pylist() for k in range(3))
             seed = {x: lang_seed(x[1:] if x else None) for x in set(lang)}
-            slots = np.zeros(len(gram), dtype=np.int64)
+            hashes = np.zeros(len(gram), dtype=np.uint64)
             for k in set(map(len, gram)):
                 rows = [i for i, g in enumerate(gram) if len(g) == k]
                 points = np.frombuffer("".join(gram[i] for i in rows).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64).reshape(len(rows), k)
-                slots[rows] = slots_of(np.array([seed[lang[i]] for i in rows], dtype=np.uint64), [points[:, c] for c in range(k)], bits)
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(slots, pa.int32()), batch.column(3)], ["part", "slot", "value"])
+                hashes[rows] = hashes_of(np.array([seed[lang[i]] for i in rows], dtype=np.uint64), [points[:, c] for c in range(k)])
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(hashes.view(np.int64), pa.int64()), batch.column(3)], ["part", "hash", "value"])
+
+    # Should two n-grams have all 64 bits in common, the larger value stays: one entry a hash.
+    table = model_tables(grams, order, scratch).mapInArrow(hashed, "part int, hash long, value double")
+    rows = scratch.settle(table.groupBy("part", "hash").agg(F.max("value").cast("float").alias("value")), "arrays")
+    return rows, rows.count()
+
 
-    # Slots hit by several n-grams of one order keep the larger value: one entry a slot.
-    table = model_tables(grams, order, scratch).mapInArrow(slot, "part int, slot int, value double")
-    rows = scratch.settle(table.groupBy("part", "slot").agg(F.max("value").cast("float").alias("value")), "arrays")
-    arrays = {}
-    for k in [*range(1, order + 1), *range(-order, 0)]:
-        columns = rows.where(F.col("part") == k).select("slot", "value").toArrow()
-        slots, values = columns.column("slot").to_numpy(), columns.column("value").to_numpy()
-        by = np.argsort(slots, kind="stable")
-        arrays[k] = (slots[by], values[by])
-    return Model(order, bits, arrays)
+def array_of(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    columns = rows.select("hash", "value").toArrow()
+    hashes, values = columns.column("hash").to_numpy().view(np.uint64), columns.column("value").to_numpy()
+    by = np.argsort(hashes, kind="stable")
+    return hashes[by], values[by]
+
+
+def whole_model(rows: DataFrame, order: int, bits: int) -> Model:
+    return Model(order, bits, {k: array_of(rows.where(F.col("part") == k)) for k in [*range(1, order + 1), *range(-order, 0)]})
+
+
+def train(docs: DataFrame, order: int = ORDER, bits: int = SLOT_BITS, scratch: Scratch | None = None) -> Model:
+    """A model of the distinct texts of ``docs`` (text, lang) for any text, with all orders in one piece."""
+    return whole_model(train_parts(docs, order, bits, scratch)[0], order, bits)
+
+
+def models(docs: DataFrame, order: int, bits: int, scratch: Scratch, entries: int) -> Iterator[Model]:
+    """The model of ``docs`` for scoring these same texts, in parts of about ``entries`` n-grams."""
+    rows, n = train_parts(docs, order, bits, scratch)
+    if n <= entries:
+        yield whole_model(rows, order, bits)
+        return
+    top = rows.where(F.col("part") == order)
+    parts = max(2, -(-top.count() // entries))
+    for k in range(parts):
+        # The hash as an unsigned number: its upper and lower half, each modulo the number of parts.
+        upper, lower = F.shiftrightunsigned("hash", 32), F.col("hash").bitwiseAND(F.lit(0xFFFFFFFF))
+        share = (upper % parts * F.lit((1 << 32) % parts) + lower) % parts
+        yield Model(order, bits, {order: array_of(top.where(share == k))}, k, parts)
 
 
 def repeat_words(words: list[bytes], window: int = 5) -> int:
@@ -334,6 +425,33 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(tidy(run), SCORE_SCHEMA)
 
 
+def score_parts(docs: DataFrame, parts: Iterable[Model], scratch: Scratch) -> DataFrame:
+    """``score`` with a model in parts: the sums of each row over the parts."""
+    scored = None
+    for k, model in enumerate(parts):
+        if scored is None:
+            scored = scratch.settle(score(docs, model), "scores")
+            continue
+        shared = docs.sparkSession.sparkContext.broadcast(model)
+
+        def run(batches, shared=shared):
+            own = shared.value
+            for part, texts, langs in batches_of(batches, 1, 2):
+                batch = Batch(texts, langs, own.order, own.bits)
+                owner = batch.owner[batch.valid]
+                total = np.bincount(owner, weights=-own.log_probabilities(batch), minlength=len(texts))
+                mean = total / np.maximum(np.bincount(owner, minlength=len(texts)), 1)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(mean, pa.float64())], ["row", "more"])
+
+        # Repeated rows have the same sum.
+        more = docs.select("row", "text", "lang").mapInArrow(tidy(run), "row long, more double").groupBy("row").agg(F.max("more").alias("more"))
+        scored = scratch.settle(scored.join(more, "row").withColumn("nll", F.col("nll") + F.col("more")).select(scored.columns), f"scores{k}")
+        shared.destroy()
+        if k > 1:
+            scratch.drop(f"scores{k - 1}")
+    return scored
+
+
 def bands(scored: DataFrame, least: int = LEAST) -> DataFrame:
     """lang, median and robust deviation of the distinct texts that pass the base rules."""
     texts = scored.where("not base_failed").groupBy("lang", "same").agg(F.min("nll").alias("nll"))
@@ -351,7 +469,7 @@ def bands(scored: DataFrame, least: int = LEAST) -> DataFrame:
     return own.select("lang", "middle", F.greatest(shrunk, F.lit(FLOOR) * common).alias("spread"))
 
 
-def judge(docs: DataFrame, order: int = ORDER, bits: int = SLOT_BITS, width: float = WIDTH, short: float = SHORT, least: int = LEAST) -> DataFrame:
+def judge(docs: DataFrame, order: int = ORDER, bits: int = SLOT_BITS, width: float = WIDTH, short: float = SHORT, least: int = LEAST, entries: int = PART_ENTRIES) -> DataFrame:
     """The counts, base_failed, perplexity, its band and ``kept`` for every row of ``docs``.
 
     ``row`` is a hash of doc_id and text by which a caller finds the row again.
@@ -359,9 +477,8 @@ def judge(docs: DataFrame, order: int = ORDER, bits: int = SLOT_BITS, width: flo
     scratch = Scratch(docs.sparkSession, "quality")
     texts = F.col("text").cast("string")
     rows = docs.select(F.xxhash64(F.col("doc_id").cast("long"), texts).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), texts.alias("text"), F.col("lang").cast("string").alias("lang")).withColumn("same", text_key())
-    model = train(rows, order, bits, scratch)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    scored = scratch.settle(score(rows, model), "scores").withColumn("base_failed", failed)
+    scored = score_parts(rows, models(rows, order, bits, scratch, entries), scratch).withColumn("base_failed", failed)
     banded = scored.join(bands(scored, least).withColumnRenamed("lang", "band_lang"), F.col("lang").eqNullSafe(F.col("band_lang")), "left").drop("band_lang")
     room = F.lit(width) * F.col("spread") + F.lit(short) / F.sqrt(F.greatest("n_scored", F.lit(1)))
     inside = F.coalesce(F.abs(F.col("nll") - F.col("middle")) <= room, F.lit(True))

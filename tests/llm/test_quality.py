@@ -86,6 +86,20 @@ def test_perplexity(spark, order):
         assert not (r.base_failed and r.kept)
 
 
+def test_counts_are_exact_and_parts_add_up(spark):
+    rng = random.Random(6)
+    rows = [(k, sample(rng, 200, "abcdefgh\u4e00\u4e01\U0001f600 "), rng.choice(["en", "de", None, ""])) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    want = Counter()
+    for _, text, lang in rows:
+        padded = "\0" * 3 + text
+        want.update(("" if lang is None else "=" + lang, padded[k : k + 4]) for k in range(len(text)))
+    for bits in (4, 22):
+        assert {(r.lang, r.gram): r.c for r in Q.count_grams(docs, 4, bits).collect()} == want
+    whole, parts = ({r.doc_id: r.perplexity for r in Q.judge(docs, entries=n).collect()} for n in (1 << 21, 3000))
+    assert parts == pytest.approx(whole, rel=1e-9)
+
+
 def test_unseen_characters_back_off(spark):
     import numpy as np
 
@@ -119,8 +133,8 @@ def test_copies_of_one_text_do_not_make_the_band(spark):
     assert sum(got[100 + k].kept for k in range(40)) >= 38
     alone = {r.doc_id: r for r in Q.judge(spark.createDataFrame(rows[:80], "doc_id long, text string, lang string")).collect()}
     for k in alone:
-        assert got[k].perplexity == pytest.approx(alone[k].perplexity, rel=1e-2)
-        assert (got[k].lower, got[k].upper) == pytest.approx((alone[k].lower, alone[k].upper), rel=1e-2)
+        assert got[k].perplexity == pytest.approx(alone[k].perplexity, rel=1e-9)
+        assert (got[k].lower, got[k].upper) == pytest.approx((alone[k].lower, alone[k].upper), rel=1e-9)
 
 
 def test_deviation_of_a_language_is_shrunk_to_the_common_one(spark):
