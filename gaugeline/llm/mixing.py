@@ -7,8 +7,9 @@ is the probability with which its documents are sampled, so the expected tokens
 have the target marginals. A document's draw is a hash of its id and text: the same on every run and in
 every retry.
 
-Topics are the clusters of hashed word counts; the clusters are fitted on a sample of bounded size,
-every document is assigned. A table with a topic column of its own may be given instead.
+Topics are the clusters of hashed word counts of all documents. The counts are written once; each
+sweep of the fit adds up the centroids over all of them, in whole numbers, so that no order of
+addition shows in the result. A table with a topic column of its own may be given instead.
 
 Only cells are swept, and a dimension's sums are partial aggregates joined back, so a source
 that holds a third of all rows is one more row. Null sources and languages are a category of their
@@ -22,18 +23,22 @@ from __future__ import annotations
 import warnings
 from collections.abc import Mapping
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.feature import HashingTF, RegexTokenizer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeline.llm.common import Scratch
+from gaugeline.llm.common import Scratch, tidy
 
 DIMENSIONS = ("source", "lang", "topic")
 TOPICS = 8
 TOPIC_FEATURES = 256
-#: Documents the topic clusters are fitted on, those with the smallest hash of id and text.
-TOPIC_SAMPLE = 2000
+#: Sweeps of the fit at most, and the squared move of a centroid that ends it.
+TOPIC_SWEEPS, TOPIC_MOVE = 10, 1e-8
+#: Unit vectors are added up as multiples of 2^-30.
+_UNIT = float(1 << 30)
 #: Share of a category in the mixture grows with this power of its share of the tokens.
 TEMPERATURE = 0.7
 SWEEPS = 40
@@ -53,26 +58,102 @@ def draw(row_key: Column, seed: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), row_key), 11).cast("double") / F.lit(float(1 << 53))
 
 
-def with_topics(docs: DataFrame, topics: int = TOPICS, sample: int = TOPIC_SAMPLE, seed: int = SEED) -> DataFrame:
-    """``docs`` with the column ``topic``, the number of the nearest cluster of hashed word counts."""
+def with_counts(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__counts``, an array of hashed word counts, in place of the text."""
     words = RegexTokenizer(inputCol="__filled", outputCol="__words", pattern=_WORD, gaps=False)
-    counts = HashingTF(inputCol="__words", outputCol="__counts", numFeatures=TOPIC_FEATURES)
-    unit = Normalizer(inputCol="__counts", outputCol="__unit")
-    # HashingTF counts every word: lengths are evened out by the norm, and empty texts stay at zero.
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    counts = HashingTF(inputCol="__words", outputCol="__vector", numFeatures=TOPIC_FEATURES)
+    filled = docs.withColumn("__filled", F.coalesce(F.col("text").cast("string"), F.lit("")))
+    made = counts.transform(words.transform(filled)).withColumn("__counts", vector_to_array("__vector", "float32"))
+    return made.drop("text", "__filled", "__words", "__vector")
 
-    def features(rows: DataFrame) -> DataFrame:
-        return unit.transform(counts.transform(words.transform(rows)))
 
-    # First the hashes alone, then the texts they belong to: no text is sorted or shuffled but the sample's.
-    keyed = docs.select(text.alias("__filled"), F.xxhash64(F.lit(seed), "doc_id", text).alias("__by"))
-    last = keyed.select("__by").distinct().orderBy("__by").limit(sample).agg(F.max("__by")).first()[0]
-    picked = keyed.where(F.col("__by") <= F.lit(last)).groupBy("__by").agg(F.min("__filled").alias("__filled"))
-    picked = Scratch(docs.sparkSession, "topics").settle(picked.repartition(8, "__by"), "sample")
-    if len(picked.take(2)) < 2:
-        return docs.withColumn("topic", F.lit(0))
-    fitted = KMeans(k=topics, featuresCol="__unit", predictionCol="topic", seed=seed, maxIter=10, solver="row").fit(features(picked))
-    return fitted.transform(features(docs.withColumn("__filled", text))).drop("__filled", "__words", "__counts", "__unit")
+def units_of(column: pa.Array) -> np.ndarray:
+    """Rows of counts as unit vectors: lengths are evened out, and empty texts stay at zero."""
+    counts = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), TOPIC_FEATURES)
+    return counts / np.maximum(np.sqrt((counts * counts).sum(axis=1)), 1e-300)[:, None]
+
+
+def distances(units: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """Squared distances of rows to centers."""
+    return np.maximum((units * units).sum(axis=1)[:, None] - 2.0 * units @ centers.T + (centers * centers).sum(axis=1)[None, :], 0.0)
+
+
+def next_center(rows: DataFrame, centers: np.ndarray, seed: int) -> np.ndarray | None:
+    """A document drawn with the square of its distance to the nearest center as its weight; none if all are at a center.
+
+    The draw is a race by a hash of the counts, so copies run as one and every run picks the same.
+    """
+
+    def race(batches):
+        best: tuple[float, list[float]] | None = None
+        for batch in batches:
+            units = units_of(batch.column(0))
+            weight = distances(units, centers).min(axis=1) if len(centers) else np.ones(len(units))
+            luck = (batch.column(1).to_numpy().view(np.uint64) >> np.uint64(11)).astype(np.float64) / float(1 << 53)
+            with np.errstate(divide="ignore"):
+                time = np.where(weight > 1e-9, -np.log1p(-luck) / weight, np.inf)
+            if len(time) and np.isfinite(time).any():
+                k = int(time.argmin())
+                if best is None or time[k] < best[0]:
+                    best = float(time[k]), units[k].tolist()
+        if best is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([best[0]], pa.float64()), pa.array([best[1]], pa.list_(pa.float64()))], ["time", "unit"])
+
+    keyed = rows.select("__counts", F.xxhash64(F.lit(seed + len(centers)), "__counts").alias("luck"))
+    first = keyed.mapInArrow(tidy(race), "time double, unit array<double>").orderBy("time", "unit").first()
+    return None if first is None else np.array(first["unit"])
+
+
+def fit_topics(rows: DataFrame, topics: int, seed: int) -> np.ndarray:
+    """Centers of k-means over the counts of all ``rows``; fewer than ``topics`` if there are fewer different ones."""
+    centers = np.zeros((0, TOPIC_FEATURES))
+    while len(centers) < topics and (more := next_center(rows, centers, seed)) is not None:
+        centers = np.vstack([centers, more])
+    if len(centers) < 2:
+        return centers
+    for _ in range(TOPIC_SWEEPS):
+
+        def add(batches, centers=centers):
+            sums = np.zeros((len(centers), TOPIC_FEATURES + 1), dtype=np.int64)
+            for batch in batches:
+                units = units_of(batch.column(0))
+                if len(units):
+                    nearest = distances(units, centers).argmin(axis=1)
+                    whole = np.rint(units * _UNIT).astype(np.int64)
+                    for k in np.unique(nearest):
+                        sums[k, :-1] += whole[nearest == k].sum(axis=0)
+                        sums[k, -1] += (nearest == k).sum()
+            at = np.flatnonzero(sums)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(sums.ravel()[at], pa.int64())], ["at", "sum"])
+
+        added = rows.select("__counts").mapInArrow(tidy(add), "at long, sum long").groupBy("at").agg(F.sum("sum").alias("sum")).toArrow()
+        sums = np.zeros(len(centers) * (TOPIC_FEATURES + 1))
+        sums[added.column("at").to_numpy()] = added.column("sum").to_numpy()
+        sums = sums.reshape(len(centers), TOPIC_FEATURES + 1)
+        n = sums[:, -1:]
+        moved = np.where(n > 0, sums[:, :-1] / _UNIT / np.maximum(n, 1), centers)
+        move, centers = ((moved - centers) ** 2).sum(axis=1).max(), moved
+        if move <= TOPIC_MOVE:
+            break
+    return centers
+
+
+def with_topics(docs: DataFrame, topics: int = TOPICS, seed: int = SEED) -> DataFrame:
+    """``docs`` without the text, with the column ``topic``, the number of the nearest cluster of hashed word counts."""
+    rows = Scratch(docs.sparkSession, "topics").settle(with_counts(docs), "counts")
+    centers = fit_topics(rows, topics, seed)
+    if len(centers) < 2:
+        return rows.withColumn("topic", F.lit(0)).drop("__counts")
+    at = rows.columns.index("__counts")
+    others = [k for k in range(len(rows.columns)) if k != at]
+
+    def assign(batches):
+        for batch in batches:
+            nearest = distances(units_of(batch.column(at)), centers).argmin(axis=1)
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in others], pa.array(nearest, pa.int32())], [*[batch.schema.names[k] for k in others], "topic"])
+
+    schema = rows.drop("__counts").withColumn("topic", F.lit(0)).schema
+    return rows.mapInArrow(tidy(assign), schema)
 
 
 def target_weights(cells: DataFrame, dimension: str, targets: Mapping[str, float] | None, temperature: float) -> DataFrame:
@@ -142,12 +223,13 @@ def mix(docs: DataFrame, topics: DataFrame | None = None, seed: int = SEED, row:
 
     ``row`` is a hash of doc_id and text by which a caller finds the row again.
     """
-    own = topics if topics is not None else with_topics(docs)
     key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")) if row is None else row
-    rows = own.select(
-        key.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), *[F.coalesce(F.col(d).cast("string"), F.lit(_NONE)).alias(d) for d in DIMENSIONS],
-        token_count(F.col("text").cast("string")).alias("n_tokens"), draw(key, seed).alias("draw"),
-    )
+    own = topics if topics is not None else docs
+    named = [F.coalesce(F.col(d).cast("string"), F.lit(_NONE)).alias(d) for d in DIMENSIONS if d != "topic" or topics is not None]
+    text = [] if topics is not None else ["text"]
+    rows = own.select(key.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), *named, token_count(F.col("text").cast("string")).alias("n_tokens"), draw(key, seed).alias("draw"), *text)
+    if topics is None:
+        rows = with_topics(rows).withColumn("topic", F.col("topic").cast("string"))
     keyed, cells = sampling_plan(rows, **options)
     joined = keyed.join(cells.select(*DIMENSIONS, "probability"), list(DIMENSIONS))
     named = [F.when(F.col(d) != _NONE, F.col(d)).alias(d) for d in ("source", "lang")]

@@ -75,6 +75,17 @@ def test_sample_has_the_target_marginals(spark):
         assert np.allclose(sampled / sampled.sum(), want, atol=0.03)
 
 
+def test_topics_are_fitted_on_all_documents(spark):
+    """The second kind of text is in none of the 2,000 documents of smallest hash, and has a cluster of its own."""
+    kinds = [(k, f"{rng.choice(['alpha beta', 'gamma delta'])} common words") for rng in [random.Random(4)] for k in range(3000)]
+    docs = spark.createDataFrame(kinds, "doc_id long, text string")
+    by = docs.withColumn("by", F.xxhash64(F.lit(M.SEED), "doc_id", F.lit("omega psi chi"))).orderBy(F.desc("by")).limit(40).select("doc_id")
+    rare = by.withColumn("rare", F.lit(True))
+    made = docs.join(rare, "doc_id", "left").select("doc_id", F.when(F.col("rare"), "omega psi chi").otherwise(F.col("text")).alias("text"), F.coalesce("rare", F.lit(False)).alias("rare"))
+    rows = M.with_topics(made, topics=3).collect()
+    assert len({r.topic for r in rows if r.rare}) == 1 and not {r.topic for r in rows if r.rare} & {r.topic for r in rows if not r.rare}
+
+
 def test_topics_cover_all_rows_and_repeat(spark):
     docs = corpus(spark, 300).drop("topic")
     a, b = (sorted(map(tuple, M.mix(docs).collect()), key=repr) for _ in range(2))
