@@ -5,7 +5,9 @@ page headers and footers, side bars, notices, adverts, forms, comments, scripts,
 out. Every other node gets its composite text density: characters per tag, adjusted by the share
 of characters and tags that are links. A node's density sum is the sum over its children. The
 node of the largest sum leads to the article; the smallest density on its path to the body is
-the threshold for other parts of the page.
+the threshold for other parts of the page. An article or main element is a hint: if it holds that
+node or its sum reaches the largest, it is the main text, with others above the threshold;
+if not, parts are chosen by density alone.
 
 Blocks are joined by one line feed in page order; white space inside a block becomes one
 space. Null pages are empty; a page without any text gives an empty text. Nothing is cut off, so
@@ -250,13 +252,17 @@ def select(root: Node) -> list[Node]:
     articles = [n for n in inner if is_article(n) and n.chars]
     nested = below(inner, {id(n) for n in articles})
     outer = [n for n in articles if id(n) not in nested]
-    if outer:
-        # The article that holds the densest part, and others as dense.
-        chief = max(outer, key=lambda n: n.best.total)
-        return [n for n in outer if n is chief or n.density >= max(threshold, chief.density)]
+    up, above = best, set()
+    while up is not None:
+        above.add(id(up))
+        up = up.parent
+    chiefs = [n for n in outer if id(n) in above or n.best.total >= best.total or (len(outer) == 1 and n.chars - n.link_chars > (body.chars - body.link_chars) / 2)]
+    if chiefs:
+        kept = {id(n) for n in chiefs}
+        return [n for n in outer if id(n) in kept or n.density >= threshold]
     if best is body:
         return [body]
-    # Without such an element: from the body down, what is as dense as the path to the best node.
+    # Without such a hint: from the body down, what is as dense as the path to the best node.
     marked, stack = {id(best)}, [body]
     while stack:
         node = stack.pop()

@@ -39,6 +39,21 @@ def test_article_among_furniture(open_tag, close_tag):
         assert M.main_text(page) == "\n".join(parts)
 
 
+def test_a_short_article_does_not_hide_the_long_text():
+    rng = random.Random(7)
+    long = [prose(rng, 40) for _ in range(6)]
+    body = "".join(f"<p>{p}</p>" for p in long)
+    quote = "<article><p>Short words of another page.</p></article>"
+    assert "\n".join(long) in M.main_text(f"<body><div id=content>{body}</div>{quote}</body>")
+    assert M.main_text(f"<body><div id=content>{body}{quote}</div></body>").startswith("\n".join(long))
+
+
+def test_a_text_over_several_articles_is_whole():
+    rng = random.Random(8)
+    parts = [prose(rng, n) for n in (60, 50, 40, 30)]
+    assert M.main_text("<body><div>" + "".join(f"<article><p>{p}</p></article>" for p in parts) + "</div></body>") == "\n".join(parts)
+
+
 def test_text_of_blocks():
     assert M.main_text("<article><p>a&amp;b &lt;i&gt;\n\t c&nbsp;&#233;<br>next <i>word</i>s</p><ul><li>one<li>two</ul></article>") == "a&b <i> c é\nnext words\none\ntwo"
 
