@@ -2,7 +2,8 @@
 
 A page is parsed to a tree. Elements that are furniture by their tag, role, class or id (menus,
 page headers and footers, side bars, notices, adverts, forms, comments, scripts, styles) are left
-out. Every other node gets its composite text density: characters per tag, adjusted by the share
+out; a name in a class or id, or a form, is no reason to leave out what holds most of the page's text.
+Every other node gets its composite text density: characters per tag, adjusted by the share
 of characters and tags that are links. A node's density sum is the sum over its children. The
 node of the largest sum leads to the article; the smallest density on its path to the body is
 the threshold for other parts of the page. An article or main element is a hint: if it holds that
@@ -163,20 +164,50 @@ def is_furniture(node: Node) -> bool:
     return node.tag in _FURNITURE or node.hidden or node.role in _ROLES or not _NAMES.isdisjoint(node.names)
 
 
+def named_only(node: Node) -> bool:
+    """Furniture by no more than a class, an id, or being a form."""
+    return node.tag not in _FURNITURE - {"form"} and not node.hidden and node.role not in _ROLES and not is_comment(node)
+
+
+def wrappers(nodes: list[Node]) -> set[int]:
+    """Nodes (parents first) that hold more than half of the page's text outside links and other furniture.
+
+    On a page with an article a longer advert is none: there they must hold two paragraphs at least.
+    """
+    own: dict[int, int] = {}
+    paragraphs: dict[int, int] = {}
+    for node in reversed(nodes):
+        n = 0
+        if node.tag not in ("a", "label") and (not is_furniture(node) or named_only(node)):
+            n = sum(len("".join(c.split())) if isinstance(c, str) else own[id(c)] for c in node.children)
+        own[id(node)] = n
+        paragraphs[id(node)] = sum(paragraphs[id(c)] + (c.tag == "p") for c in node.children if isinstance(c, Node))
+    whole = own[id(nodes[0])]
+    least = 2 if any(is_article(n) and not is_comment(n) and own[id(n)] for n in nodes) else 0
+    return {id(n) for n in nodes if 2 * own[id(n)] > whole and paragraphs[id(n)] >= least}
+
+
 def prune(root: Node) -> None:
-    """Take furniture out of the tree. Elements that hold the article stay whatever their name; headings of an article's own header stay."""
+    """Take furniture out of the tree. Elements that hold the article, or most of the text, stay whatever their name; a form's controls go.
+
+    Headings of an article's own header stay.
+    """
     nodes = in_order(root)
     holders = set()
     for node in nodes:
-        if is_article(node):
+        if is_article(node) and not is_comment(node):
             up = node
             while up is not None and id(up) not in holders:
                 holders.add(id(up))
                 up = up.parent
+    most = wrappers(nodes)
     for node in nodes:
         kept = []
         for child in node.children:
-            if isinstance(child, str) or child.tag in ("html", "body") or (not is_furniture(child)) or (id(child) in holders and child.tag not in _FURNITURE and not is_comment(child)):
+            spared = not isinstance(child, str) and (
+                (id(child) in holders and (child.tag not in _FURNITURE or child.tag == "form") and not is_comment(child)) or (id(child) in most and named_only(child))
+            )
+            if isinstance(child, str) or child.tag in ("html", "body") or not is_furniture(child) or spared:
                 kept.append(child)
             elif child.tag == "header":
                 up = node

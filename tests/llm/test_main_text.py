@@ -54,6 +54,27 @@ def test_a_text_over_several_articles_is_whole():
     assert M.main_text("<body><div>" + "".join(f"<article><p>{p}</p></article>" for p in parts) + "</div></body>") == "\n".join(parts)
 
 
+@pytest.mark.parametrize(
+    "wrapper",
+    ['<div class="content with-sidebar">{}</div>', '<div id="social-history">{}</div>', '<form id="aspnetForm"><input name="state">{}</form>', '<form id="aspnetForm"><article>{}</article><select><option>No</select></form>'],
+)
+def test_a_name_or_a_form_does_not_take_the_text_away(wrapper):
+    rng = random.Random(wrapper)
+    parts = [prose(rng, 40) for _ in range(5)]
+    inner = "".join(f"<p>{p}</p>" for p in parts) + '<div id="sidebar"><p>Our weekly letter brings all of it to you.</p></div>'
+    assert M.main_text(f"<body><nav>{MENU}</nav>{wrapper.format(inner)}<footer>Copyright</footer></body>") == "\n".join(parts)
+
+
+def test_long_comments_are_left_out():
+    rng = random.Random(9)
+    comments = "".join(f'<div class="comment"><p>{prose(rng, 50)}</p></div>' for _ in range(9))
+    assert M.main_text(f'<body><article><p>{WORDS[0]} {WORDS[1]}</p></article><section class="comments">{comments}</section></body>') == "lorem ipsum"
+
+
+def test_an_advert_longer_than_the_article_is_left_out():
+    assert M.main_text('<body><div class="ad">Buy this thing now, it is the best of all things.</div><article><p>Short.</p></article></body>') == "Short."
+
+
 def test_text_of_blocks():
     assert M.main_text("<article><p>a&amp;b &lt;i&gt;\n\t c&nbsp;&#233;<br>next <i>word</i>s</p><ul><li>one<li>two</ul></article>") == "a&b <i> c é\nnext words\none\ntwo"
 
