@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeline.llm import bpe_codec, main_text, mixing, nearest, quality, simhash_pivots, suffix_dedup, token_counts, toxicity, warc_audit
+from gaugeline.llm import bpe_codec, main_text, mixing, nearest, quality, simhash_pivots, suffix_dedup, token_counts, toxicity, vector_codes, warc_audit, whitening
 from gaugeline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,3 +119,56 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_mixing")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents")).drop("row")
+
+
+def codes_sql(parts: int, entries: int, rounds: int, scale: int) -> str:
+    """The rounds of operator 12 one after another, on one row per vector, dimension and entry."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""
+    far{k} AS (
+        SELECT c.row, c.part, b.entry, CAST(sum((c.x - b.y) * (c.x - b.y)) AS BIGINT) AS distance
+        FROM cells c JOIN book{k} b ON c.part = b.part AND c.position = b.position GROUP BY c.row, c.part, b.entry
+    ), near{k} AS (
+        SELECT row, part, entry, distance FROM far{k} QUALIFY row_number() OVER (PARTITION BY row, part ORDER BY distance, entry) = 1
+    )""")
+        if k < rounds:
+            steps.append(f"""
+    mean{k} AS (
+        SELECT n.part, n.entry, c.position, CAST(count(*) AS BIGINT) AS n, CAST(sum(c.x) AS BIGINT) AS total
+        FROM near{k} n JOIN cells c ON n.row = c.row AND n.part = c.part GROUP BY n.part, n.entry, c.position
+    ), book{k + 1} AS (
+        SELECT b.part, b.entry, b.position, coalesce((m.total - ((m.total % m.n) + m.n) % m.n) // m.n, b.y) AS y
+        FROM book{k} b LEFT JOIN mean{k} m ON b.part = m.part AND b.entry = m.entry AND b.position = m.position
+    )""")
+    return f"""
+    WITH kept AS (
+        SELECT vec_id, label, list_transform(CAST(embedding AS DOUBLE[]), lambda x: CAST(floor({scale} * x) AS BIGINT)) AS v FROM embeddings
+        WHERE len(embedding) > 0 AND len(embedding) % {parts} = 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    ), numbered AS (
+        SELECT *, row_number() OVER (ORDER BY vec_id NULLS LAST, v) AS row, len(v) // {parts} AS width FROM kept
+    ), opened AS (
+        SELECT row, width, unnest(v) AS x, unnest(range(len(v))) AS d FROM numbered
+    ), cells AS (
+        SELECT row, d // width AS part, d % width AS position, x FROM opened
+    ), book0 AS (
+        SELECT part, row - 1 AS entry, position, x AS y FROM cells WHERE row <= {entries}
+    ),{",".join(steps)},
+    coded AS (
+        SELECT row, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(distance) AS BIGINT) AS error FROM near{rounds} GROUP BY row
+    ), digest AS (
+        SELECT sha256(string_agg(CAST(y AS VARCHAR), ',' ORDER BY part, entry, position)) AS codebooks_sha256 FROM book{rounds}
+    )
+    SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+    FROM coded JOIN numbered USING (row) CROSS JOIN digest
+    """
+
+
+@query("op12_vector_codes", codes_sql(vector_codes.PARTS, vector_codes.ENTRIES, vector_codes.ROUNDS, vector_codes.SCALE))
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_codes.with_label_errors(vector_codes.compress(table(spark, folder, "embeddings")))
+
+
+@query("op13_whitening")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"))
