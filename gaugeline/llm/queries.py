@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeline.llm import bpe_codec, main_text, mixing, nearest, quality, simhash_pivots, suffix_dedup, token_counts, toxicity, vector_codes, warc_audit, whitening
+from gaugeline.llm import bpe_codec, main_text, mixing, nearest, pii, quality, simhash_pivots, suffix_dedup, token_counts, toxicity, vector_codes, warc_audit, whitening
 from gaugeline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -172,3 +172,8 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
 @query("op13_whitening")
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whiten(table(spark, folder, "embeddings"))
+
+
+@query("op11_pii")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.find(table(spark, folder, "documents"))
