@@ -2,9 +2,9 @@
 
 Documents are added up to cells of source, language and topic. The cells' token weights are raked:
 sweep after sweep, each dimension's cells are scaled so that its marginal weights meet
-their targets, until all marginals hold at once. A cell's factor, divided by the largest one,
-is the probability with which its documents are sampled, so the expected tokens of the sample
-have the target marginals. A document's draw is a hash of its id and text: the same on every run and in
+their targets, until all marginals hold at once. Factors are scaled to the wanted size of the sample and cut at
+one, the other cells raked on, and are then the probabilities with which documents are sampled: the
+expected tokens of the sample have the target marginals. A document's draw is a hash of its id and text: the same on every run and in
 every retry.
 
 Topics are the clusters of hashed word counts of all documents. The counts are written once; each
@@ -20,6 +20,7 @@ their draw. An empty table gives no rows.
 
 from __future__ import annotations
 
+import uuid
 import warnings
 from collections.abc import Mapping
 
@@ -41,8 +42,12 @@ TOPIC_SWEEPS, TOPIC_MOVE = 10, 1e-8
 _UNIT = float(1 << 30)
 #: Share of a category in the mixture grows with this power of its share of the tokens.
 TEMPERATURE = 0.7
-SWEEPS = 40
+SWEEPS = 1000
 TOLERANCE = 1e-6
+#: Cells that are swept as arrays in the driver: a bound on what it holds (some 20 MB).
+LOCAL_CELLS = 1 << 18
+#: Part of the largest possible sample that is taken unless told otherwise.
+FULL = 0.99
 SEED = 42
 _NONE = "\u0000none"
 _WORD = "[^ \\t-\\r]+"
@@ -182,23 +187,69 @@ def rake(
     with a larger miss is reported by a warning.
     """
     scratch = scratch or Scratch(cells.sparkSession, "raking")
+    now, miss = fit_factors(with_targets(cells, dimensions, targets, temperature, scratch), dimensions, sweeps, tolerance, scratch)
+    if miss > tolerance:
+        warnings.warn(f"raking ended after {sweeps} sweeps with a marginal {miss:.3g} off its target (tolerance {tolerance:.3g})", RuntimeWarning, stacklevel=2)
+    return now
+
+
+def with_targets(cells: DataFrame, dimensions: tuple[str, ...], targets: Mapping[str, Mapping[str, float]] | None, temperature: float, scratch: Scratch) -> DataFrame:
+    """``cells`` with the target of each of their categories and a factor of one."""
     now = cells
     for d in dimensions:
         now = now.join(target_weights(cells, d, (targets or {}).get(d), temperature), d, "left")
-    now = scratch.settle(now.fillna(0.0, [f"{d}_target" for d in dimensions]).withColumn("factor", F.lit(1.0)), "cells")
-    columns, miss = now.columns, 0.0
+    return scratch.settle(now.fillna(0.0, [f"{d}_target" for d in dimensions]).withColumn("factor", F.lit(1.0)), "cells")
+
+
+def fit_factors(cells: DataFrame, dimensions: tuple[str, ...], sweeps: int, tolerance: float, scratch: Scratch, size: float | None = None) -> tuple[DataFrame, float]:
+    """``cells`` with raked factors, and the worst miss of a marginal.
+
+    With ``size`` (tokens) factors are probabilities: a cell weighs its tokens times its factor, cut at one, and the
+    marginals are those of ``size`` tokens. Up to LOCAL_CELLS cells, counted first, are swept as arrays in
+    the driver; more cells are swept by joins and aggregates. Both do the same sums.
+    """
+    columns = cells.columns
+    if cells.count() <= LOCAL_CELLS:
+        table = cells.toArrow()
+        codes = [table.column(d).combine_chunks().dictionary_encode() for d in dimensions]
+        codes = [(c.indices.to_numpy(), len(c.dictionary)) for c in codes]
+        goals = [table.column(f"{d}_target").to_numpy() for d in dimensions]
+        factor, miss = sweep_arrays(table.column("tokens").to_numpy().astype(np.float64), codes, goals, sweeps, tolerance, size)
+        table = table.set_column(columns.index("factor"), "factor", pa.array(factor))
+        local = cells.sparkSession.createDataFrame(table, cells.schema)
+        return scratch.settle(local, f"factors-{uuid.uuid4().hex}"), miss
+    now, miss, name = cells, 0.0, f"sweep-{uuid.uuid4().hex}-"
+    held = F.col("factor") if size is None else F.least(F.col("factor"), F.lit(1.0))
     for sweep in range(sweeps):
         for d in dimensions:
-            sums = now.groupBy(d).agg(F.sum(F.col("factor") * F.col("tokens")).alias("__sum"))
+            sums = now.groupBy(d).agg((F.sum(held * F.col("tokens")) / F.lit(size or 1.0)).alias("__sum"))
             scaled = F.col("factor") * F.coalesce(F.col(f"{d}_target") / F.when(F.col("__sum") > 0, F.col("__sum")), F.lit(0.0))
             now = now.join(sums, d).withColumn("factor", scaled).drop("__sum")
-        now = scratch.settle(now.select(columns), f"sweep{sweep}")
-        miss = worst_miss(now, dimensions)
+        now = scratch.settle(now.select(columns), f"{name}{sweep}")
+        if sweep:
+            scratch.drop(f"{name}{sweep - 1}")
+        miss = worst_miss(now.withColumn("factor", held / F.lit(size or 1.0)), dimensions)
         if miss <= tolerance:
             break
-    if miss > tolerance:
-        warnings.warn(f"raking ended after {sweeps} sweeps with a marginal {miss:.3g} off its target (tolerance {tolerance:.3g})", RuntimeWarning, stacklevel=2)
-    return now
+    return now, miss
+
+
+def sweep_arrays(tokens: np.ndarray, codes: list[tuple[np.ndarray, int]], goals: list[np.ndarray], sweeps: int, tolerance: float, size: float | None) -> tuple[np.ndarray, float]:
+    """Factors of cells given as arrays, and the worst miss; ``codes`` number each cell's category of a dimension."""
+    factor, miss = np.ones(len(tokens)), 0.0
+
+    def sums(code: np.ndarray, kinds: int) -> np.ndarray:
+        held = factor if size is None else np.minimum(factor, 1.0)
+        return np.bincount(code, weights=held * tokens, minlength=kinds)[code] / (size or 1.0)
+
+    for _ in range(sweeps if len(tokens) else 0):
+        for (code, kinds), goal in zip(codes, goals, strict=True):
+            own = sums(code, kinds)
+            factor = factor * np.divide(goal, own, out=np.zeros_like(goal), where=own > 0)
+        miss = max(float(np.abs(sums(code, kinds) - goal).max()) for (code, kinds), goal in zip(codes, goals, strict=True))
+        if miss <= tolerance:
+            break
+    return factor, miss
 
 
 def worst_miss(cells: DataFrame, dimensions: tuple[str, ...]) -> float:
@@ -208,14 +259,42 @@ def worst_miss(cells: DataFrame, dimensions: tuple[str, ...]) -> float:
     return sums.agg(F.abs(F.sum("weight") - F.max("m.target")).alias("miss")).agg(F.max("miss")).first()[0] or 0.0
 
 
-def sampling_plan(docs: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS, **options) -> tuple[DataFrame, DataFrame]:
-    """Every document's category columns, tokens and draw; and the cells with their probability."""
+def sampling_plan(
+    docs: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS, targets: Mapping[str, Mapping[str, float]] | None = None, temperature: float = TEMPERATURE,
+    sweeps: int = SWEEPS, tolerance: float = TOLERANCE, share: float | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Every document's category columns, tokens and draw; and the cells with their probability.
+
+    ``share`` is the wanted part of all tokens. Probabilities are cut at one and the other cells raked again, so the
+    marginals hold. The largest part possible is set by the category that is scarcest for its target; by default the
+    sample is ``FULL`` of that. Where cells of several categories stand in each other's way, the part is halved until
+    the marginals hold as well as without a bound; at last the factors are scaled to a largest one of one.
+    """
     scratch = Scratch(docs.sparkSession, "mixing")
     keyed = scratch.settle(docs, "documents")
-    cells = keyed.groupBy(*dimensions).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n_docs"))
-    raked = rake(scratch.settle(cells, "sums"), dimensions, scratch=scratch, **options)
-    top = raked.agg(F.max("factor")).first()[0] or 1.0
-    return keyed, raked.withColumn("probability", F.least(F.col("factor") / F.lit(top or 1.0), F.lit(1.0)))
+    cells = scratch.settle(keyed.groupBy(*dimensions).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n_docs")), "sums")
+    start = with_targets(cells, dimensions, targets, temperature, scratch)
+    raked, miss = fit_factors(start, dimensions, sweeps, tolerance, scratch)
+    if miss > tolerance:
+        warnings.warn(f"raking ended after {sweeps} sweeps with a marginal {miss:.3g} off its target (tolerance {tolerance:.3g})", RuntimeWarning, stacklevel=2)
+    top, total = raked.agg(F.max("factor"), F.sum("tokens")).first()
+    if not top or not total:
+        return keyed, raked.withColumn("probability", F.lit(1.0))
+    scarcest = 1.0
+    for d in dimensions:
+        least = cells.groupBy(d).agg(F.sum("tokens").alias("n")).join(start.select(d, f"{d}_target").distinct(), d).where(F.col(f"{d}_target") > 0)
+        scarcest = min(scarcest, least.agg(F.min(F.col("n") / F.lit(float(total)) / F.col(f"{d}_target"))).first()[0] or 1.0)
+    part = FULL * scarcest if share is None else min(share, FULL * scarcest)
+    # The least part comes from scaling alone: the largest factor becomes one.
+    while part * total > 1.0 / top:
+        bounded, off = fit_factors(start, dimensions, sweeps, tolerance, scratch, part * total)
+        if off <= max(tolerance, miss):
+            held = bounded.withColumn("factor", F.least("factor", F.lit(1.0)))
+            most = 1.0 if share is not None else held.agg(F.max("factor")).first()[0]
+            return keyed, held.withColumn("probability", F.col("factor") / F.lit(most))
+        part /= 2
+    scale = 1.0 / top if share is None else min(share * total, 1.0 / top)
+    return keyed, raked.withColumn("probability", F.least(F.col("factor") * F.lit(scale), F.lit(1.0)))
 
 
 def mix(docs: DataFrame, topics: DataFrame | None = None, seed: int = SEED, row: Column | None = None, **options) -> DataFrame:

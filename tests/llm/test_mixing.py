@@ -100,3 +100,34 @@ def test_edges(spark):
     assert sorted(r.n_tokens for r in got) == [0, 0, 2, 2, 300_000]
     assert M.mix(docs.limit(0)).collect() == []
     assert M.mix(docs.where(F.col("doc_id") == 1)).count() == 2
+
+
+def test_joins_and_arrays_give_the_same_factors(spark, monkeypatch):
+    rng = random.Random(7)
+    cells = spark.createDataFrame([(s, x, t, rng.randrange(1, 900)) for s in "abcd" for x in ("en", "de") for t in "01"], "source string, lang string, topic string, tokens long")
+    for size in (None, 2000.0):
+        start = M.with_targets(cells, M.DIMENSIONS, None, 0.7, M.Scratch(spark, "test"))
+        found = []
+        for most in (1 << 18, 0):
+            monkeypatch.setattr(M, "LOCAL_CELLS", most)
+            rows, miss = M.fit_factors(start, M.DIMENSIONS, 30, 1e-9, M.Scratch(spark, "test"), size)
+            assert miss <= 1e-9
+            found.append({(r.source, r.lang, r.topic): r.factor for r in rows.collect()})
+        assert found[0] == pytest.approx(found[1], rel=1e-9)
+
+
+def test_a_rare_cell_does_not_set_the_size(spark):
+    """One cell of a single document with four tokens: the sample stays as large as the categories allow."""
+    rng = random.Random(8)
+    rows = [(k, "w " * rng.randrange(10, 40), rng.choice(["a", "a", "b"]), rng.choice(["en", "en", "de"]), rng.randrange(2)) for k in range(2000)]
+    rows += [(5000, "one two three four", "a", "de", 2)] + [(6000 + k, "w " * 30, "b", "en", 2) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, topic int")
+    got = M.mix(docs, topics=docs).toPandas()
+    share = (got.n_tokens * got.probability).sum() / got.n_tokens.sum()
+    assert share > 0.4 and got.probability.max() == 1.0
+    for d in ("source", "lang", "topic"):
+        tokens = got.groupby(d).n_tokens.sum().astype(float) ** M.TEMPERATURE
+        expected = (got.n_tokens * got.probability).groupby(got[d]).sum()
+        assert np.allclose(expected / expected.sum(), tokens / tokens.sum(), atol=1e-5)
+    half = M.mix(docs, topics=docs, share=0.2).toPandas()
+    assert (half.n_tokens * half.probability).sum() / half.n_tokens.sum() == pytest.approx(0.2, rel=1e-4)
