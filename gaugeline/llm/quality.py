@@ -10,7 +10,9 @@ hash as a check. The arrays grow with the number of n-grams. A task holds at mos
 ``PART_ENTRIES`` of them at a time: beyond that the n-grams are split into parts by their hash,
 and a document's sum is added up over the parts.
 
-The model is trained on distinct texts of a language and bands come from distinct texts that
+The model is trained on the distinct sentences of a language (a sentence ends behind a full stop or an
+exclamation or question mark, and the next begins without context): copies, near copies and passages that
+texts share weigh one, so that they do not become too predictable. Bands come from distinct texts that
 pass the base rules: however many copies a text has, it weighs one.
 
 A document passes if its mean negative log-probability per character lies in the band of
@@ -46,13 +48,13 @@ PART_ENTRIES = 1 << 21
 WIDTH, SHORT = 3.0, 2.0
 #: Weight of the common deviation in texts, and the least part of it that a language's own may have.
 LEAST, FLOOR = 20, 0.5
-#: Marks of text hashes that occur more than once: a bound on what the driver and the tasks hold.
-MARKS = 1 << 24
 #: Characters whose n-grams are counted together.
 CHARS_AT_ONCE = 1 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SPACES = " \t\n\v\f\r"
 _SYMBOLS = "#*$%&|<>"
+#: A sentence ends behind one of these; the next one has no context.
+_ENDS = ".!?"
 
 COUNT_SCHEMA = "lang string, gram string, n long"
 SCORE_SCHEMA = (
@@ -82,10 +84,12 @@ def slots_of(hashes: np.ndarray, bits: int) -> np.ndarray:
 
 
 class Batch:
-    """Texts laid end to end as code points, ``order - 1`` zeros before each; zeros are never predicted."""
+    """Texts laid end to end as code points, ``order - 1`` zeros before each sentence; zeros are never predicted."""
 
     def __init__(self, texts: list[str], langs: list[str | None], order: int, bits: int) -> None:
         pad = "\0" * (order - 1)
+        for end in _ENDS:
+            texts = [t.replace(end, end + pad) for t in texts]
         data = (pad + pad.join(texts)).encode("utf-32-le", "surrogatepass")
         self.points = np.frombuffer(data, dtype=np.uint32)
         lengths = np.array([len(t) for t in texts], dtype=np.int64) + order - 1
@@ -119,30 +123,10 @@ def text_key() -> Column:
     return F.xxhash64(F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit("")), F.coalesce(F.col("text"), F.lit("")))
 
 
-def distinct_texts(docs: DataFrame) -> DataFrame:
-    """text and lang of ``docs``, each text of a language once.
-
-    Hashes that occur more than once set a mark. Only texts under a mark are shuffled, one of each hash
-    a task; two hashes with one mark cost a shuffle, not a wrong result.
-    """
-    keyed = docs.select("text", "lang", text_key().alias("same"))
-    copied = keyed.groupBy("same").agg(F.count("*").alias("n")).where("n > 1").select(F.col("same").bitwiseAND(F.lit(MARKS - 1)).alias("mark"))
-    found = copied.groupBy(F.expr("cast(mark div 64 AS int)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(mark % 64 AS int)))").alias("bits")).toArrow()
-    if not found.num_rows:
-        return docs.select("text", "lang")
-    marks = np.zeros(MARKS // 64, dtype=np.int64)
-    marks[found.column("word").to_numpy()] = found.column("bits").to_numpy()
-    shared = docs.sparkSession.sparkContext.broadcast(marks)
-
-    def under(mark: int) -> DataFrame:
-        def run(batches):
-            for batch in batches:
-                at = batch.column(2).to_numpy() & (MARKS - 1)
-                yield batch.filter(pa.array((shared.value[at >> 6] >> (at & 63)) & 1 == mark))
-
-        return keyed.mapInArrow(tidy(run), keyed.schema)
-
-    return under(0).union(under(1).dropDuplicates(["same"])).select("text", "lang")
+def distinct_sentences(docs: DataFrame) -> DataFrame:
+    """text and lang: each sentence of a language once, however many texts hold it."""
+    parts = F.split(F.coalesce(F.col("text"), F.lit("")), f"(?<=[{_ENDS}])", -1)
+    return docs.select("lang", F.explode(parts).alias("text")).where("text != ''").distinct().select("text", "lang")
 
 
 def count_grams(docs: DataFrame, order: int, bits: int) -> DataFrame:
@@ -317,9 +301,9 @@ class Model:
 
 
 def train_parts(docs: DataFrame, order: int = ORDER, bits: int = SLOT_BITS, scratch: Scratch | None = None) -> tuple[DataFrame, int]:
-    """(part, hash, value) of a model of the distinct texts of ``docs`` (text, lang), and its number of rows."""
+    """(part, hash, value) of a model of the distinct sentences of ``docs`` (text, lang), and its number of rows."""
     scratch = scratch or Scratch(docs.sparkSession, "language-model")
-    grams = scratch.settle(count_grams(distinct_texts(docs), order, bits), "grams")
+    grams = scratch.settle(count_grams(distinct_sentences(docs), order, bits), "grams")
 
     def hashed(batches):
         for batch in batches:
@@ -350,7 +334,7 @@ def whole_model(rows: DataFrame, order: int, bits: int) -> Model:
 
 
 def train(docs: DataFrame, order: int = ORDER, bits: int = SLOT_BITS, scratch: Scratch | None = None) -> Model:
-    """A model of the distinct texts of ``docs`` (text, lang) for any text, with all orders in one piece."""
+    """A model of the distinct sentences of ``docs`` (text, lang) for any text, with all orders in one piece."""
     return whole_model(train_parts(docs, order, bits, scratch)[0], order, bits)
 
 
