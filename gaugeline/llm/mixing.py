@@ -46,8 +46,12 @@ SWEEPS = 1000
 TOLERANCE = 1e-6
 #: Cells that are swept as arrays in the driver: a bound on what it holds (some 20 MB).
 LOCAL_CELLS = 1 << 18
+#: Factors of cells that are cut at one may grow with every sweep, to this at most.
+LARGEST = 1e100
 #: Part of the largest possible sample that is taken unless told otherwise.
 FULL = 0.99
+#: Half the sample must lower the worst miss to this part of itself to be taken.
+GAIN = 0.9
 SEED = 42
 _NONE = "\u0000none"
 _WORD = "[^ \\t-\\r]+"
@@ -224,7 +228,7 @@ def fit_factors(cells: DataFrame, dimensions: tuple[str, ...], sweeps: int, tole
         for d in dimensions:
             sums = now.groupBy(d).agg((F.sum(held * F.col("tokens")) / F.lit(size or 1.0)).alias("__sum"))
             scaled = F.col("factor") * F.coalesce(F.col(f"{d}_target") / F.when(F.col("__sum") > 0, F.col("__sum")), F.lit(0.0))
-            now = now.join(sums, d).withColumn("factor", scaled).drop("__sum")
+            now = now.join(sums, d).withColumn("factor", F.least(scaled, F.lit(LARGEST))).drop("__sum")
         now = scratch.settle(now.select(columns), f"{name}{sweep}")
         if sweep:
             scratch.drop(f"{name}{sweep - 1}")
@@ -245,7 +249,7 @@ def sweep_arrays(tokens: np.ndarray, codes: list[tuple[np.ndarray, int]], goals:
     for _ in range(sweeps if len(tokens) else 0):
         for (code, kinds), goal in zip(codes, goals, strict=True):
             own = sums(code, kinds)
-            factor = factor * np.divide(goal, own, out=np.zeros_like(goal), where=own > 0)
+            factor = np.minimum(factor * np.divide(goal, own, out=np.zeros_like(goal), where=own > 0), LARGEST)
         miss = max(float(np.abs(sums(code, kinds) - goal).max()) for (code, kinds), goal in zip(codes, goals, strict=True))
         if miss <= tolerance:
             break
@@ -267,8 +271,10 @@ def sampling_plan(
 
     ``share`` is the wanted part of all tokens. Probabilities are cut at one and the other cells raked again, so the
     marginals hold. The largest part possible is set by the category that is scarcest for its target; by default the
-    sample is ``FULL`` of that. Where cells of several categories stand in each other's way, the part is halved until
-    the marginals hold as well as without a bound; at last the factors are scaled to a largest one of one.
+    sample is ``FULL`` of that. Categories may also stand in each other's way (a topic that only one language has): without
+    drawing a document twice their targets then hold together in no sample, or only in a handful of documents.
+    The part is halved as long as that lowers the worst miss to ``GAIN`` of what it was, and what is
+    left of the miss is reported by a warning. At last the factors are scaled to a largest one of one.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
     keyed = scratch.settle(docs, "documents")
@@ -285,16 +291,18 @@ def sampling_plan(
         least = cells.groupBy(d).agg(F.sum("tokens").alias("n")).join(start.select(d, f"{d}_target").distinct(), d).where(F.col(f"{d}_target") > 0)
         scarcest = min(scarcest, least.agg(F.min(F.col("n") / F.lit(float(total)) / F.col(f"{d}_target"))).first()[0] or 1.0)
     part = FULL * scarcest if share is None else min(share, FULL * scarcest)
-    # The least part comes from scaling alone: the largest factor becomes one.
-    while part * total > 1.0 / top:
-        bounded, off = fit_factors(start, dimensions, sweeps, tolerance, scratch, part * total)
-        if off <= max(tolerance, miss):
-            held = bounded.withColumn("factor", F.least("factor", F.lit(1.0)))
-            most = 1.0 if share is not None else held.agg(F.max("factor")).first()[0]
-            return keyed, held.withColumn("probability", F.col("factor") / F.lit(most))
-        part /= 2
-    scale = 1.0 / top if share is None else min(share * total, 1.0 / top)
-    return keyed, raked.withColumn("probability", F.least(F.col("factor") * F.lit(scale), F.lit(1.0)))
+    best, least = fit_factors(start, dimensions, sweeps, tolerance, scratch, part * total)
+    # Half the sample as long as that brings the marginals nearer to their targets.
+    while least > tolerance and part * total > 1.0 / top:
+        smaller, off = fit_factors(start, dimensions, sweeps, tolerance, scratch, part / 2 * total)
+        if off > GAIN * least:
+            break
+        best, least, part = smaller, off, part / 2
+    if least > tolerance:
+        warnings.warn(f"a sample of {part:.3g} of the tokens has a marginal {least:.3g} off its target (tolerance {tolerance:.3g})", RuntimeWarning, stacklevel=2)
+    held = best.withColumn("factor", F.least("factor", F.lit(1.0)))
+    most = 1.0 if share is not None else held.agg(F.max("factor")).first()[0]
+    return keyed, held.withColumn("probability", F.col("factor") / F.lit(most or 1.0))
 
 
 def mix(docs: DataFrame, topics: DataFrame | None = None, seed: int = SEED, row: Column | None = None, **options) -> DataFrame:

@@ -131,3 +131,13 @@ def test_a_rare_cell_does_not_set_the_size(spark):
         assert np.allclose(expected / expected.sum(), tokens / tokens.sum(), atol=1e-5)
     half = M.mix(docs, topics=docs, share=0.2).toPandas()
     assert (half.n_tokens * half.probability).sum() / half.n_tokens.sum() == pytest.approx(0.2, rel=1e-4)
+
+
+def test_targets_in_conflict_keep_a_sample_and_are_reported(spark):
+    """Topic 1 stands in English only, but for one word: the targets of languages and topics hold together in a handful of tokens."""
+    rows = [(k, "w " * 20, "a", "en", 0) for k in range(100)] + [(1000 + k, "w " * 20, "a", "en", 1) for k in range(900)]
+    rows += [(3000 + k, "w " * 20, "a", "de", 0) for k in range(100)] + [(4000, "w", "a", "de", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, topic int")
+    with pytest.warns(RuntimeWarning, match="off its target"):
+        got = M.mix(docs, topics=docs, targets={"lang": {"en": 0.5, "de": 0.5}, "topic": {"0": 0.2, "1": 0.8}}).toPandas()
+    assert (got.n_tokens * got.probability).sum() / got.n_tokens.sum() > 0.05
