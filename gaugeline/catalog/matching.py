@@ -162,6 +162,43 @@ def two_hop_scoped(spark, folder):
     return found.select("rule_id", "entity", "schema_col", "table_name", "dataset_col")
 
 
+# Rules of orders: every seventh names a table that does not exist, every seventh none.
+SCOPES_SQL = ", ".join([
+    d.COLUMNS_SQL, d.ENTITIES_SQL, d.RULE_TABLES_SQL,
+    "giv AS (SELECT rule_id, CASE WHEN rule_id % 7 = 0 THEN 'ghost' ELSE table_name END AS table_name FROM rtb WHERE rule_id % 7 <> 1)",
+    """sco AS (SELECT r.rule_id, CASE WHEN count(table_name) = 0 THEN '*' ELSE '["' || string_agg(DISTINCT table_name, '","' ORDER BY table_name) || '"]' END AS scope
+ FROM (SELECT DISTINCT rule_id FROM ent) r LEFT JOIN (SELECT rule_id, table_name FROM giv WHERE table_name IN (SELECT table_name FROM cat)) g ON g.rule_id = r.rule_id GROUP BY 1)""",
+    """stb AS (SELECT DISTINCT scope, table_name FROM sco JOIN giv USING (rule_id) WHERE scope <> '*' UNION SELECT '*', table_name FROM cat),
+ rpl AS (SELECT scope, column_name AS col, min(position) AS position FROM stb JOIN cat USING (table_name) GROUP BY 1, 2)""",
+])
+
+
+def _rule_tables(spark, folder):
+    name = F.when(F.col("rule_id") % 7 == 0, "ghost").otherwise(F.col("table_name"))
+    return d.rule_tables(spark, folder).filter("rule_id % 7 <> 1").select("rule_id", name.alias("table_name"))
+
+
+def _positions(spark, folder):
+    return d.columns(spark, folder).select("table_name", F.col("column_name").alias("column"), "position")
+
+
+@query("rule_pools", "WITH " + SCOPES_SQL + """
+SELECT scope, count(*) AS n_rules, min(n) AS n_columns, min(best) AS first_column FROM sco JOIN (SELECT scope, count(*) AS n, arg_min(col, position) AS best FROM rpl GROUP BY 1) USING (scope) GROUP BY 1""")
+def rule_pools(spark, folder):
+    columns = _positions(spark, folder)
+    scopes = mt.rule_scopes(d.entities(spark, folder), _rule_tables(spark, folder), columns)
+    pool = mt.pools(mt.scope_columns(scopes, columns)).select("scope", F.size("pool").cast("bigint").alias("n_columns"), F.get("pool", F.lit(0))["column"].alias("first_column"))
+    return scopes.groupBy("scope").agg(F.count("*").alias("n_rules")).join(pool, "scope")
+
+
+@query("rule_pool_match", "WITH " + SCOPES_SQL + ", e1 AS (SELECT DISTINCT scope, entity FROM ent JOIN sco USING (rule_id)), " + _best_sql("e1", "rpl", "hop") + """
+SELECT DISTINCT rule_id, entity, sco.scope, col AS "column", round(sim, 6) AS score FROM ent JOIN sco USING (rule_id) JOIN hop USING (scope, entity)""")
+def rule_pool_match(spark, folder):
+    entities = d.entities(spark, folder).select("rule_id", "entity")
+    found = mt.resolve_for_rules(entities, _rule_tables(spark, folder), _positions(spark, folder), None, FUZZY)
+    return found.withColumn("score", F.round("score", 6))
+
+
 @query("suggested_columns", "WITH " + ", ".join([
     d.SCHEMA_SQL, d.ENTITIES_SQL, d.COLUMNS_SQL,
     "tpool AS (SELECT 'all' AS scope, name AS col, position FROM fld WHERE type = 'int')",

@@ -59,6 +59,7 @@ def _token_set(name: str) -> frozenset[str]:
     return frozenset(name.split())
 
 
+@lru_cache(maxsize=1 << 18)
 def token_set_similarity(a: str, b: str) -> float:
     """M1: token-set similarity, 0 to 1, of two names given as tokens joined by spaces.
 

@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 from gaugeline.functions.similarity import dot, pool_similarities, token_key, unit
 from gaugeline.functions.text import normalized_name, words
 from gaugeline.operators.ranking import first_per_key, top_per_group
-from gaugeline.operators.skew import spread_rows
+from gaugeline.operators.skew import spread_join, spread_rows
 from gaugeline.session import settle
 
 # Weights of the external, vector and name scores, in percent.
 DEFAULT_WEIGHTS = {"llm": 50, "cosine": 30, "fuzzy": 20}
 SHORT_LIST = 3
 MAX_PHRASE_WORDS = 4
+#: The scope of all tables; no set of tables is written so.
+ALL_TABLES = "*"
 
 
 def pools(columns: DataFrame) -> DataFrame:
@@ -117,7 +119,7 @@ def two_hops(first: DataFrame, second: DataFrame) -> DataFrame:
 
 
 def resolve(entities: DataFrame, columns: DataFrame, scores: DataFrame | None = None, weights: Mapping[str, float] = DEFAULT_WEIGHTS) -> DataFrame:
-    """M5/M8: entity to dataset column in one hop, within each scope."""
+    """M5: entity to dataset column in one hop, within each scope."""
     return best_columns(ranked_candidates(entities, pools(columns), scores, weights))
 
 
@@ -129,29 +131,73 @@ def resolve_two_hop(entities: DataFrame, schema_columns: DataFrame, dataset_colu
     return two_hops(first, second)
 
 
+def rule_scopes(rules: DataFrame, rule_tables: DataFrame, columns: DataFrame) -> DataFrame:
+    """(rule_id, scope, tables): the set of known tables a rule involves, as one key.
+
+    ``rules`` has rule_id, ``rule_tables`` (rule_id, table_name), ``columns`` (table_name, ...). Rules of one set share a
+    scope, whatever the order in which they name its tables. A rule none of whose tables is known, or that
+    names none, has the scope of all tables.
+    """
+    known = columns.select("table_name").distinct()
+    named = rule_tables.select("rule_id", "table_name").join(known, "table_name", "left_semi")
+    sets = named.groupBy("rule_id").agg(F.array_sort(F.collect_set("table_name")).alias("tables"))
+    every = F.array().cast("array<string>")
+    placed = rules.select("rule_id").distinct().join(sets, "rule_id", "left").withColumn("tables", F.coalesce("tables", every))
+    return placed.select("rule_id", F.when(F.size("tables") > 0, F.to_json("tables")).otherwise(ALL_TABLES).alias("scope"), "tables")
+
+
+def scope_columns(scopes: DataFrame, columns: DataFrame) -> DataFrame:
+    """(scope, position, column, ...) of the scopes in use; the scope of all tables holds every column once.
+
+    The pool of a set of tables is made once for all its rules, that of all tables once altogether.
+    """
+    used = scopes.select("scope", "tables").distinct()
+    own = used.select("scope", F.explode("tables").alias("table_name")).join(columns, "table_name").drop("table_name")
+    every = columns.drop("table_name").withColumn("scope", F.lit(ALL_TABLES)).select(own.columns)
+    return own.unionByName(every)
+
+
+def resolve_for_rules(
+    entities: DataFrame, rule_tables: DataFrame, columns: DataFrame, scores: DataFrame | None = None, weights: Mapping[str, float] = DEFAULT_WEIGHTS,
+) -> DataFrame:
+    """M8: (rule_id, entity, scope, column, score): every entity of a rule against the columns of the rule's tables.
+
+    ``entities`` has (rule_id, entity) and may have ``vector``; ``columns`` (table_name, position, column) in the
+    order in which ties are settled. ``scores`` are those of ``score_maps`` with scopes as ``rule_scopes``
+    writes them. No entity is lost: rules without a known table search all columns. An entity is scored once per scope, not once per rule.
+    """
+    scopes = settle(rule_scopes(entities, rule_tables, columns))
+    placed = entities.filter(F.coalesce(F.col("entity"), F.lit("")) != "").join(scopes.select("rule_id", "scope"), "rule_id")
+    best = best_columns(ranked_candidates(placed.drop("rule_id"), pools(scope_columns(scopes, columns)), scores, weights))
+    return spread_join(placed.select("rule_id", "entity", "scope").distinct(), best, ["scope", "entity"]).select("rule_id", "entity", "scope", "column", "score")
+
+
 def resolve_scoped(entities: DataFrame, schema_columns: DataFrame, schema_tables: DataFrame, dataset_columns: DataFrame, rule_scope: DataFrame, weights: Mapping[str, float] = DEFAULT_WEIGHTS) -> DataFrame:
-    """M7: the second hop searches the table a schema column declares, else the rule's table.
+    """M7: the second hop searches the table a schema column declares, else the rule's table, else all tables.
 
     ``entities`` has (rule_id, entity), ``schema_columns`` (position, column), ``schema_tables``
     (column, table_name), ``dataset_columns`` (scope = table, position, column) and
-    ``rule_scope`` (rule_id, table_name). A declared table that does not exist counts as
-    not declared.
+    ``rule_scope`` (rule_id, table_name). A table that does not exist counts as not given; found in all
+    tables, an entity has no table name.
     """
     first = resolve(entities.select("entity"), schema_columns, None, weights).select("entity", "column")
     per_rule = entities.select("rule_id", "entity").distinct().join(first, "entity")
     known = dataset_columns.select(F.col("scope").alias("table_name")).distinct()
     declared = schema_tables.join(known, "table_name", "left_semi").select("column", F.col("table_name").alias("declared"))
+    own = rule_scope.join(known, "table_name", "left_semi").select("rule_id", F.col("table_name").alias("own"))
     # Both the second hop and the result read these rows; scoring them once is enough.
     placed = settle(
-        per_rule.join(declared, "column", "left")
-        .join(rule_scope.withColumnRenamed("table_name", "own"), "rule_id", "left")
-        .select("rule_id", "entity", "column", F.coalesce("declared", "own").alias("table_name"))
+        per_rule.join(declared, "column", "left").join(own, "rule_id", "left")
+        .select("rule_id", "entity", "column", F.coalesce("declared", "own", F.lit(ALL_TABLES)).alias("scope"))
     )
-    needed = placed.select(F.col("table_name").alias("scope"), F.col("column").alias("entity")).distinct()
-    second = resolve(needed, dataset_columns, None, weights).select(
-        F.col("scope").alias("table_name"), F.col("entity").alias("schema_col"), F.col("column").alias("dataset_col"),
+    needed = placed.select("scope", F.col("column").alias("entity")).distinct()
+    every = dataset_columns.withColumn("scope", F.lit(ALL_TABLES)).select(dataset_columns.columns)
+    second = resolve(needed, dataset_columns.unionByName(every), None, weights).select(
+        "scope", F.col("entity").alias("schema_col"), F.col("column").alias("dataset_col"),
     )
-    return placed.select("rule_id", "entity", F.col("column").alias("schema_col"), "table_name").join(second, ["table_name", "schema_col"])
+    found = placed.withColumnRenamed("column", "schema_col").join(second, ["scope", "schema_col"])
+    table_name = F.when(F.col("scope") != ALL_TABLES, F.col("scope")).alias("table_name")
+    return found.select("rule_id", "entity", "schema_col", table_name, "dataset_col")
 
 
 def suggested_columns(rule_entities: DataFrame, resolved: DataFrame) -> DataFrame:

@@ -86,3 +86,39 @@ def test_entities_are_the_longest_phrases_in_the_texts_wording(spark):
     said = spark.createDataFrame([(1, "check balance value")], "id int, t string")
     both = [[(r.phrase, r.column, r.score) for r in mt.extract_entities(said, "id", "t", balance, threshold=t).collect()] for t in (0.99, 1.0)]
     assert both == [[("balance", "closing_balance", 1.0)]] * 2
+
+
+def test_rules_search_the_columns_of_their_tables(spark):
+    columns = spark.createDataFrame(
+        [("t1", 1, "acct_number"), ("t1", 2, "balance"), ("t2", 3, "amount"), ("t2", 4, "balance"), ("t3", 5, "perf_date")], "table_name string, position int, column string"
+    )
+    entities = spark.createDataFrame(
+        [(1, "balance"), (1, "perf date"), (2, "amount"), (3, "perf date"), (4, "amount"), (4, "amount"), (5, "balance"), (5, ""), (5, None)], "rule_id int, entity string"
+    )
+    # 1: two tables; 2: the same two in another order; 3: an unknown table; 4: none; 5: a known and an unknown one.
+    given = spark.createDataFrame([(1, "t1"), (1, "t2"), (2, "t2"), (2, "t1"), (3, "ghost"), (5, "t2"), (5, "ghost"), (1, "t1")], "rule_id int, table_name string")
+    scopes = {r.rule_id: r.scope for r in mt.rule_scopes(entities, given, columns).collect()}
+    assert scopes == {1: '["t1","t2"]', 2: '["t1","t2"]', 3: "*", 4: "*", 5: '["t2"]'}
+    pool = {r.scope: [c.column for c in r.pool] for r in mt.pools(mt.scope_columns(mt.rule_scopes(entities, given, columns), columns)).collect()}
+    assert pool == {'["t1","t2"]': ["acct_number", "balance", "amount"], "*": ["acct_number", "balance", "amount", "perf_date"], '["t2"]': ["amount", "balance"]}
+    got = sorted((r.rule_id, r.entity, r.column, r.score == 1) for r in mt.resolve_for_rules(entities, given, columns, None, FUZZY).collect())
+    assert [g[:2] for g in got] == [(1, "balance"), (1, "perf date"), (2, "amount"), (3, "perf date"), (4, "amount"), (5, "balance")]
+    assert [g[2] for g in got if g[3]] == ["balance", "amount", "perf_date", "amount", "balance"]
+    assert mt.resolve_for_rules(entities.limit(0), given, columns, None, FUZZY).collect() == []
+
+
+def test_table_names_that_look_like_lists_are_kept_apart(spark):
+    columns = spark.createDataFrame([('a","b', 1, "x"), ("a", 2, "y"), ("b", 3, "z"), ("*", 4, "w")], "table_name string, position int, column string")
+    given = spark.createDataFrame([(1, 'a","b'), (2, "a"), (2, "b"), (3, "*")], "rule_id int, table_name string")
+    scopes = {r.rule_id: r.scope for r in mt.rule_scopes(given, given, columns).collect()}
+    assert len(set(scopes.values())) == 3 and mt.ALL_TABLES not in scopes.values()
+
+
+def test_scoped_second_hop_falls_back_to_all_tables(spark):
+    entities = spark.createDataFrame([(1, "balance"), (2, "amount"), (3, "amount")], "rule_id int, entity string")
+    schema = spark.createDataFrame([(1, "balance"), (2, "amount")], "position int, column string")
+    declared = spark.createDataFrame([], "column string, table_name string")
+    dataset = spark.createDataFrame([("t1", 1, "balance_eur"), ("t2", 2, "amount_eur")], "scope string, position int, column string")
+    own = spark.createDataFrame([(1, "t1"), (2, "ghost")], "rule_id int, table_name string")
+    got = sorted(tuple(r) for r in mt.resolve_scoped(entities, schema, declared, dataset, own, FUZZY).collect())
+    assert got == [(1, "balance", "balance", "t1", "balance_eur"), (2, "amount", "amount", None, "amount_eur"), (3, "amount", "amount", None, "amount_eur")]
