@@ -216,3 +216,134 @@ def test_documents_of_a_small_session(spark, runs):
     assert "No mappings" in dc.mapping_documents(rules, entities, mapping.filter("false"), hops).first().text
     many = spark.range(1, 121).select(F.col("id").alias("rule_index"), F.col("id").cast("string").alias("rule_name"), F.lit("c").alias("category"))
     assert [len(r.text.split("\n")) for r in dc.rule_summaries(many).orderBy("batch").collect()] == [51, 51, 21]
+
+
+# ---- bounds, statistics and vectors ---------------------------------------------------
+
+
+def test_top_documents_by_bounds_are_those_of_full_scores(spark, monkeypatch):
+    from gaugeline.plans import bm25
+
+    rng = random.Random(5)
+    rare = [f"r{i}" for i in range(60)]
+    common = ["the", "of", "and", "to"]
+    docs = [(i, " ".join(rng.choices(common, k=rng.randint(1, 20)) + rng.choices(rare, k=rng.randint(0, 4)))) for i in range(200)]
+    docs += [(1000 + i, docs[i % 7][1]) for i in range(20)] + [(2000, ""), (2001, None)]
+    asked = [(1, "the of and to"), (2, "r1 r2 the of"), (3, "r3"), (4, "r4 r4 r5 r6 and"), (5, "unseen the"), (6, ""), (7, "r7 r8 r9 r10 r11 the of and to")]
+    documents = spark.createDataFrame(docs, "doc_id int, text string")
+    queries = spark.createDataFrame(asked, "query_id int, question string")
+    full = rt.bm25_scores(documents, queries, "doc_id", "text", "query_id", "question").collect()
+    for k in (1, 3, 10):
+        want = set()
+        for q, _ in asked:
+            own = sorted((-round(r.score, 9), r.doc_id) for r in full if r.query_id == q)
+            want |= {(q, d, rank) for rank, (_, d) in enumerate(own[:k], 1)}
+        for share in (0.0, 0.02, 0.2, 1.0):
+            monkeypatch.setattr(bm25, "COMMON_SHARE", share)
+            assert {(r.query_id, r.doc_id, r["rank"]) for r in rt.bm25_topk(documents, queries, k).collect()} == want, (k, share)
+
+
+def test_common_words_bring_in_no_documents(spark):
+    """A question with rare words: no row for each of the documents that only share a stop word."""
+    from gaugeline.plans import bm25
+
+    docs = [(i, "the of and " + " ".join(f"w{i}_{j}" for j in range(3))) for i in range(300)] + [(500 + i, "needle the of " + "x " * i) for i in range(5)]
+    documents = spark.createDataFrame(docs, "doc_id int, text string")
+    asked = bm25.asked_terms(spark.createDataFrame([(1, "needle of the and")], "query_id int, question string"), "query_id", "question")
+    found = bm25.postings(documents, asked, "doc_id", "text")
+    weights = bm25.Weights.of(bm25.corpus_statistics(documents, "text"), asked)
+    assert found.count() == 300 * 3 + 15
+    top = bm25.best_documents(found, weights, asked, 3, "doc_id", "query_id")
+    assert [r.doc_id for r in top.orderBy("rank").collect()] == [500, 501, 502]
+    gains = weights.gains(found, "doc_id")
+    rare = gains.join(asked.filter("term = 'needle'"), "term")
+    assert rare.count() == 5
+
+
+def test_negative_weights_are_scored_in_full(spark):
+    """Every word is in most documents: the floor of the weights is below zero."""
+    docs = [(i, "a b" + (" c" if i % 3 else "") + (" d" if i == 7 else "")) for i in range(12)]
+    documents = spark.createDataFrame(docs, "doc_id int, text string")
+    queries = spark.createDataFrame([(1, "a b c d"), (2, "c"), (3, "a a")], "query_id int, question string")
+    full = rt.bm25_scores(documents, queries, "doc_id", "text", "query_id", "question").collect()
+    assert min(r.score for r in full) < 0
+    got = {(r.query_id, r.doc_id, r["rank"]) for r in rt.bm25_topk(documents, queries, 4).collect()}
+    want = set()
+    for q in (1, 2, 3):
+        own = sorted((-round(r.score, 9), r.doc_id) for r in full if r.query_id == q)
+        want |= {(q, d, rank) for rank, (_, d) in enumerate(own[:4], 1)}
+    assert got == want
+
+
+def test_intents_without_questions_or_documents(spark):
+    documents = spark.createDataFrame([(1, "a b", "rule"), (2, "a", None)], "doc_id int, text string, type string")
+    asked = spark.createDataFrame([(7, "b", "rule_query"), (8, "a", "general")], "query_id int, question string, intent string")
+    vectors = spark.createDataFrame([(1, [1.0]), (2, [2.0])], "doc_id int, vector array<double>")
+    question_vectors = spark.createDataFrame([(7, [1.0])], "query_id int, vector array<double>")
+    for docs, questions in ((documents, asked.limit(0)), (documents.limit(0), asked), (documents.limit(0), asked.limit(0))):
+        top = rt.intent_topk(docs, questions)
+        assert top.columns == ["query_id", "doc_id", "score", "rank"] and top.collect() == []
+        assert rt.intent_retrieval(docs, questions, vectors.limit(0), question_vectors).collect() == []
+    assert {(r.query_id, r.doc_id) for r in rt.intent_topk(documents, asked).collect()} == {(7, 1), (8, 1), (8, 2)}
+    assert {(r.query_id, r.doc_id) for r in rt.intent_retrieval(documents, asked, vectors, question_vectors).collect()} == {(7, 1), (8, 1), (8, 2)}
+
+
+def test_types_are_read_twice_whatever_the_number_of_intents(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(rt, "postings", lambda *a, _own=rt.postings: seen.append("postings") or _own(*a))
+    monkeypatch.setattr(rt, "corpus_statistics", lambda *a, _own=rt.corpus_statistics: seen.append("statistics") or _own(*a))
+    documents = spark.createDataFrame([(i, f"a b w{i}", t) for i, t in enumerate(["rule", "entity_mappings", "target_schema", "generated_code", None])], "doc_id int, text string, type string")
+    asked = spark.createDataFrame([(k, "a b", i) for k, i in enumerate(["rule_query", "mapping_query", "schema_query", "code_query", "general"])], "query_id int, question string, intent string")
+    assert rt.intent_topk(documents, asked).count() == 1 + 2 + 1 + 1 + 5
+    assert sorted(seen) == ["postings", "statistics"]
+
+
+def test_vectors_of_unequal_lengths_have_no_distance(spark):
+    docs = spark.createDataFrame(
+        [(1, [1.0, 2.0]), (2, [1.0]), (3, [1.0, None]), (4, [float("nan"), 1.0]), (5, None), (6, []), (7, [float("inf"), 1.0]), (None, [1.0, 2.0]), (8, [4.0])],
+        "doc_id int, v array<double>",
+    )
+    queries = spark.createDataFrame([(100 + i, [0.0, float(i)]) for i in range(20)] + [(200, [3.0]), (201, None), (202, [None]), (203, [])], "query_id int, vector array<double>")
+    got = sorted((r.query_id, r.doc_id, r["rank"]) for r in rt.vector_topk(docs.coalesce(1), queries, 2, "doc_id", "v").collect())
+    assert got == [(100 + i, 1, 1) for i in range(20)] + [(200, 2, 2), (200, 8, 1)]
+    assert rt.vector_topk(docs, queries.limit(0), 2, "doc_id", "v").collect() == []
+    assert rt.vector_topk(docs.limit(0), queries, 2, "doc_id", "v").collect() == []
+
+
+def test_equal_vectors_send_k_rows_per_question_and_task():
+    import numpy as np
+    import pyarrow as pa
+
+    from gaugeline.operators import nearest_rows as nr
+
+    class Shared:
+        value = (pa.array(np.arange(20)), nr.by_length(pa.array([[0.0, 0.0]] * 20)))
+
+    ids = np.random.default_rng(1).permutation(20_000)
+    batches = [pa.RecordBatch.from_arrays([pa.array(ids[a : a + 10_000]), pa.array([[1.0, 1.0]] * 10_000)], ["d", "v"]) for a in (0, 10_000)]
+    rows = list(nr.nearest_of(Shared, 5, "l2")(iter(batches)))
+    assert sum(b.num_rows for b in rows) == 100
+    assert {(q, d) for b in rows for q, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)} == {(q, d) for q in range(20) for d in range(5)}
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+def test_tiles_against_brute_force(spark, monkeypatch, metric):
+    from gaugeline.operators import nearest_rows as nr
+
+    rng = random.Random(9)
+    monkeypatch.setattr(nr, "TILE_ROWS", 7)
+    monkeypatch.setattr(nr, "TILE_QUESTIONS", 3)
+    vectors = [(f"d{rng.randrange(10**6)}ß" if i % 3 else f"Z{i}", [float(rng.randrange(4)) for _ in range(3)]) for i in range(80)]
+    docs = spark.createDataFrame(vectors, "doc_id string, v array<double>")
+    asked = [(i, [float(rng.randrange(4)) for _ in range(3)]) for i in range(10)]
+    got = {(r.query_id, r["rank"]): (r.doc_id, r.distance) for r in rt.vector_topk(docs, spark.createDataFrame(asked, "query_id int, vector array<double>"), 6, "doc_id", "v", metric=metric).collect()}
+
+    def distance(a, b):
+        if metric == "l2":
+            return sum((x - y) ** 2 for x, y in zip(a, b, strict=True))
+        norms = math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b))
+        return -sum(x * y for x, y in zip(a, b, strict=True)) / norms if norms else 0.0
+
+    for q, v in asked:
+        want = sorted((round(distance(w, v), 9), i.encode()) for i, w in vectors)[:6]
+        assert [(got[q, r][1], got[q, r][0].encode()) for r in range(1, 7)] == [(pytest.approx(x, abs=1e-9), i) for x, i in want]
