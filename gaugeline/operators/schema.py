@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeline.operators.names import names_in_texts
+from gaugeline.operators.skew import spread_join
+from gaugeline.session import settle
+
 # Declared types understood as numbers or times, and batch sizes of listings.
 NUMBER_TYPES = ("int", "integer", "double", "float", "decimal", "number")
 TIME_TYPES = ("date", "timestamp")
@@ -43,64 +47,42 @@ def suggested_schema(columns: DataFrame, single_table: bool) -> DataFrame:
     return columns.select(F.col("column_name").alias("name"), F.lit("string").alias("type"), category.alias("category"))
 
 
-def rule_columns(rules: DataFrame, entities: DataFrame, mapping: DataFrame, columns: DataFrame) -> DataFrame:
-    """Columns a rule checks, in order and without repeats.
+#: The group of all mapped columns; groups of single rules are written otherwise.
+ALL_COLUMNS = "*"
+
+
+def rule_column_groups(rules: DataFrame, entities: DataFrame, mapping: DataFrame, columns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """P9 as (rule_id, grp) and (grp, column, pos): columns a rule checks, the list of all columns held once.
 
     ``rules`` has (rule_id, text), ``entities`` (rule_id, pos, entity), ``mapping``
     (entity, column, map_pos), ``columns`` (column). Mapped entities come first; a rule
     without any takes the mapped columns whose entity or column name its text contains;
-    a rule without those takes all mapped columns.
+    a rule without those takes all mapped columns. The two frames grow with rules plus columns.
     """
     mapped = entities.join(mapping, "entity").select("rule_id", "column", "pos")
     without = rules.join(mapped.select("rule_id").distinct(), "rule_id", "left_anti")
-    from_text = _columns_in_text(without, mapping)
-    bare = without.select("rule_id").join(from_text.select("rule_id").distinct(), "rule_id", "left_anti")
-    listed = F.array_sort(F.collect_list(F.struct(F.col("map_pos").alias("pos"), "column")))
-    from_all = bare.select("rule_id", F.inline(mapping.agg(listed.alias("all")).scalar())).select("rule_id", "column", "pos")
-    chosen = mapped.unionByName(from_text).unionByName(from_all)
-    found = chosen.groupBy("rule_id", "column").agg(F.min("pos").alias("pos"))
-    return found.join(columns.select("column").distinct(), "column", "left_semi").select("rule_id", "column", "pos")
+    own = settle(mapped.unionByName(_columns_in_text(without, mapping).withColumn("pos", F.col("pos").cast(mapped.schema["pos"].dataType))))
+    group = F.concat(F.lit("rule/"), F.col("rule_id").cast("string")).alias("grp")
+    members = own.select(group, "column", "pos").unionByName(mapping.select(F.lit(ALL_COLUMNS).alias("grp"), "column", F.col("map_pos").alias("pos")))
+    found = members.groupBy("grp", "column").agg(F.min("pos").alias("pos")).join(columns.select("column").distinct(), "column", "left_semi")
+    having = own.select("rule_id").distinct()
+    bare = rules.select("rule_id").distinct().join(having, "rule_id", "left_anti")
+    return having.select("rule_id", group).unionByName(bare.select("rule_id", F.lit(ALL_COLUMNS).alias("grp"))), found.select("grp", "column", "pos")
 
 
-def _columns_in_text(rules: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Mapped columns whose entity or own name occurs in the rule's text.
+def rule_columns(rules: DataFrame, entities: DataFrame, mapping: DataFrame, columns: DataFrame) -> DataFrame:
+    """P9 unfolded: (rule_id, column, pos), without repeats."""
+    placed, members = rule_column_groups(rules, entities, mapping, columns)
+    return spread_join(placed, members, ["grp"]).select("rule_id", "column", "pos")
 
-    Text and names meet on their words: a name can only occur where its first word does
-    (as the end of a word), so the words of the text, cut to all their endings, are joined
-    with the first word of each name and the full ``contains`` test runs on those rows only.
-    """
-    names = mapping.select(
+
+def _columns_in_text(rules: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Mapped columns whose entity or own name occurs in the rule's text: an automaton reads every text once."""
+    names = settle(mapping.select(
         "column", F.col("map_pos").alias("pos"), F.explode(F.array_distinct(F.array(F.lower("entity"), F.lower("column")))).alias("name")
-    ).filter(F.trim("name") != "")
-    spaced = names.withColumn("lead", F.split(F.col("name"), " ")[0])
-    lowered = rules.select("rule_id", F.lower("text").alias("text"))
-    inner = spaced.filter(F.contains("name", F.lit(" ")))
-    whole = spaced.filter(~F.contains("name", F.lit(" ")))
-    ends = lowered.select("rule_id", "text", F.explode_outer(_word_endings(F.col("text"))).alias("lead"))
-    by_end = ends.join(inner, "lead").filter(F.contains("text", F.col("name")))
-    parts = lowered.select("rule_id", F.explode_outer(_word_pieces(F.col("text"))).alias("name"))
-    by_piece = parts.join(whole, "name")
-    return by_end.select("rule_id", "column", "pos").unionByName(by_piece.select("rule_id", "column", "pos")).distinct()
-
-
-def _word_endings(text: Column) -> Column:
-    """All distinct endings of the words of a text (words as between single spaces)."""
-    tokens = F.array_distinct(F.split(text, " "))
-    return F.array_distinct(F.flatten(F.transform(
-        tokens, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substr(w, i)),
-    )))
-
-
-def _word_pieces(text: Column) -> Column:
-    """All distinct pieces of the words of a text."""
-    tokens = F.filter(F.array_distinct(F.split(text, " ")), lambda w: w != "")
-    return F.array_distinct(F.flatten(F.flatten(F.transform(
-        tokens,
-        lambda w: F.transform(
-            F.sequence(F.lit(1), F.length(w)),
-            lambda i: F.transform(F.sequence(F.lit(1), F.length(w) - i + 1), lambda n: F.substr(w, i, n)),
-        ),
-    ))))
+    ).filter(F.trim("name") != ""))
+    met = names_in_texts(rules.select("rule_id", F.lower("text").alias("text")), "rule_id", "text", names, "name")
+    return met.join(names, "name").select("rule_id", "column", "pos").distinct()
 
 
 def column_types(mapping: DataFrame, schema_to_dataset: DataFrame, target: DataFrame) -> DataFrame:

@@ -112,23 +112,32 @@ def tables_of_qualified(names: DataFrame, tables: DataFrame, first_table) -> Dat
     return found.unionByName(missing)
 
 
-def involved_tables(rules: DataFrame, given: DataFrame, stored: DataFrame, all_tables: DataFrame) -> DataFrame:
-    """(rule_id, table_name) from the given list, else the stored map, else all tables.
+#: The group of all tables; groups of single rules are written otherwise.
+EVERY_TABLE = "*"
+
 
-    ``given`` and ``stored`` hold (rule_id, table_name). Unknown tables are dropped from
-    the stored map; a rule left without any gets every table, by a list kept as one array.
+def involved_groups(rules: DataFrame, given: DataFrame, stored: DataFrame, all_tables: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """J5 as (rule_id, grp) and (grp, table_name): tables from the given list, else the stored map, else all of them.
+
+    ``given`` and ``stored`` hold (rule_id, table_name). Unknown tables are dropped from the stored map; a rule
+    left without any has the group of all tables, which is held once. The frames grow with rules plus tables.
     """
     known = all_tables.select("table_name").distinct()
     given = given.select("rule_id", "table_name").distinct()
     valid = stored.select("rule_id", "table_name").distinct().join(known, "table_name", "left_semi")
-    from_stored = valid.join(given.select("rule_id").distinct(), "rule_id", "left_anti")
-    covered = given.select("rule_id").union(from_stored.select("rule_id")).distinct()
-    every_table = known.agg(F.array_sort(F.collect_list("table_name")).alias("t")).scalar()
-    fallback = (
-        rules.select("rule_id").distinct().join(covered, "rule_id", "left_anti")
-        .select("rule_id", F.explode(every_table).alias("table_name"))
-    )
-    return given.select("rule_id", "table_name").unionByName(from_stored.select("rule_id", "table_name")).unionByName(fallback)
+    from_stored = valid.join(given.select("rule_id").distinct(), "rule_id", "left_anti").select("rule_id", "table_name")
+    own = given.unionByName(from_stored)
+    group = F.concat(F.lit("rule/"), F.col("rule_id").cast("string")).alias("grp")
+    having = own.select("rule_id").distinct()
+    bare = rules.select("rule_id").distinct().join(having, "rule_id", "left_anti")
+    placed = having.select("rule_id", group).unionByName(bare.select("rule_id", F.lit(EVERY_TABLE).alias("grp")))
+    return placed, own.select(group, "table_name").unionByName(known.select(F.lit(EVERY_TABLE).alias("grp"), "table_name"))
+
+
+def involved_tables(rules: DataFrame, given: DataFrame, stored: DataFrame, all_tables: DataFrame) -> DataFrame:
+    """J5 unfolded: (rule_id, table_name)."""
+    placed, members = involved_groups(rules, given, stored, all_tables)
+    return spread_join(placed, members, ["grp"]).select("rule_id", "table_name")
 
 
 def rows_with_ids(df: DataFrame, id_column: str, ids: Sequence | DataFrame) -> DataFrame:

@@ -7,7 +7,6 @@ for the postings of the terms that are asked for. Everything after that works on
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,11 +40,6 @@ def corpus_statistics(documents: DataFrame, text: str, kind: str | None = None)
     return settle(counted)
 
 
-def added_up(statistics: DataFrame) -> DataFrame:
-    """Counts of several types as those of one corpus: a document has one type, so they add up."""
-    return statistics.groupBy("term").agg(F.sum("df").alias("df"), F.sum("words").alias("words"))
-
-
 def _raw_idf(total: Column) -> Column:
     return F.log(total - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
 
@@ -76,76 +70,80 @@ def postings(documents: DataFrame, asked: DataFrame, id_column: str, text: str,
     return settle(hits.groupBy(id_column, *keep, "length", "term").agg(F.count("*").alias("tf")))
 
 
-@dataclass
-class Weights:
-    """What a group of documents gives every term: one row of figures and (term, idf) of the terms asked for."""
+def group_weights(statistics: DataFrame, asked: DataFrame) -> DataFrame:
+    """(grp, term, idf, mean_length, documents) of the terms asked for, from (grp, kind..., term, df, words).
+
+    A group is the documents that some questions read. A document has one type, so the counts of a group's types add up.
+    """
+    counts = settle(statistics.groupBy("grp", "term").agg(F.sum("df").alias("df"), F.sum("words").alias("words")))
+    # One row per group: groups are as few as the intents.
+    whole = counts.filter(F.col("term").isNull()).select("grp", F.col("df").alias("documents"), (F.col("words") / F.col("df")).alias("mean_length"))
+    terms = counts.filter(F.col("term").isNotNull()).join(whole, "grp").withColumn("raw", _raw_idf(F.col("documents")))
+    floor = terms.groupBy("grp").agg((F.avg("raw") * EPSILON).alias("floor"))
+    wanted = terms.join(asked.select("grp", "term").distinct(), ["grp", "term"], "left_semi").join(floor, "grp")
+    idf = F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw"))
+    return wanted.select("grp", "term", idf.alias("idf"), "mean_length", "documents")
+
 
-    documents: int
-    mean_length: float
-    idf: DataFrame
+def term_gains(found: DataFrame, weights: DataFrame) -> DataFrame:
+    """(grp, term, documents, gain, ...): what a term adds to the score of a document per time it is asked for."""
+    mean = F.when(F.col("mean_length") > 0, F.col("mean_length")).otherwise(1.0)
+    part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean))
+    return found.join(weights, ["grp", "term"]).withColumn("gain", F.col("idf") * part).drop("tf", "length", "idf", "mean_length")
 
-    @classmethod
-    def of(cls, statistics: DataFrame, asked: DataFrame) -> Weights:
-        whole = statistics.filter(F.col("term").isNull()).first()
-        terms = statistics.filter(F.col("term").isNotNull())
-        documents = whole["df"] if whole else 0
-        raw = _raw_idf(F.lit(documents))
-        floor = (terms.agg(F.avg(raw)).first()[0] or 0.0) * EPSILON
-        wanted = terms.join(asked.select("term").distinct(), "term", "left_semi")
-        idf = wanted.select("term", F.when(raw < 0, F.lit(floor)).otherwise(raw).alias("idf"))
-        return cls(documents, (whole["words"] or 0) / documents if documents else 0.0, idf)
 
-    def gains(self, found: DataFrame, id_column: str, keep: Sequence[str] = ()) -> DataFrame:
-        """(id, keep..., term, gain): what a term adds to the score of a document per time it is asked for."""
-        mean = self.mean_length or 1.0
-        part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(mean)))
-        return found.join(self.idf, "term").select(id_column, *keep, "term", (F.col("idf") * part).alias("gain"))
+def summed(gains: DataFrame, asked: DataFrame, columns: Sequence[str]) -> DataFrame:
+    return gains.join(asked, ["grp", "term"]).groupBy(*columns).agg(F.sum(F.col("times") * F.col("gain")).alias("score"))
 
 
-def summed(gains: DataFrame, asked: DataFrame, query_id: str, document: Sequence[str]) -> DataFrame:
-    return gains.join(asked, "term").groupBy(query_id, *document).agg(F.sum(F.col("times") * F.col("gain")).alias("score"))
+def _one_group(df: DataFrame) -> DataFrame:
+    return df.withColumn("grp", F.lit(0))
 
 
 def bm25_scores(documents: DataFrame, queries: DataFrame, id_column: str, text: str, query_id: str, question: str, keep: Sequence[str] = ()) -> DataFrame:
     """(query_id, id, keep..., score) of all documents that share a token with the query; a token asked for twice counts twice."""
-    asked = asked_terms(queries, query_id, question)
-    found = postings(documents, asked, id_column, text, keep)
-    weights = Weights.of(corpus_statistics(documents, text), asked)
-    return summed(weights.gains(found, id_column, keep), asked, query_id, [id_column, *keep])
+    asked = _one_group(asked_terms(queries, query_id, question))
+    found = _one_group(postings(documents, asked, id_column, text, keep))
+    weights = group_weights(_one_group(corpus_statistics(documents, text)), asked)
+    return summed(term_gains(found, weights), asked, [query_id, id_column, *keep])
+
 
+def best_documents(found: DataFrame, weights: DataFrame, asked: DataFrame, deepest: int, id_column: str, query_id: str) -> DataFrame:
+    """The best documents of each query, without a row for every document that shares a common word with it.
 
-def best_documents(found: DataFrame, weights: Weights, asked: DataFrame, k: int, id_column: str, query_id: str) -> DataFrame:
-    """The k best documents of each query, without a row for every document that shares a common word with it.
+    ``found`` are postings with their group, ``asked`` has (query_id, grp, depth, term, times); ``deepest`` is the largest depth.
 
-    Every term has a bound: the most it adds to any document. Documents are scored by the rare terms of a
+    Every term has a bound: the most it adds to any document of the group. Documents are scored by the rare terms of a
     query first. Its k-th best such score is a bound from below; a document without a rare term cannot pass
     the sum of the common terms' bounds. Where the first is above the second, the k best are among the documents
     already met, and only those that can still reach the k-th get the common terms added. Other
     queries (few rare terms, or less than k documents with one) are scored in full. Results are those of full scores.
     """
-    gains = weights.gains(found, id_column)
-    bounds = gains.groupBy("term").agg(F.max("gain").alias("most"), F.count("*").alias("df"))
+    own, group = [query_id, "depth"], ["grp", "term"]
+    gains = term_gains(found, weights)
+    bounds = gains.groupBy(*group).agg(F.max("gain").alias("most"), F.count("*").alias("df"), F.max("documents").alias("documents"))
     # A term that lowers scores is taken at once: what is left out of a first score may only add to it.
-    common = (F.col("df") > COMMON_SHARE * weights.documents) & (F.col("most") > 0)
-    parts = settle(asked.select(query_id, "term", "times").join(bounds.select("term", "most", common.alias("common")), "term"))
+    common = (F.col("df") > COMMON_SHARE * F.col("documents")) & (F.col("most") > 0)
+    parts = settle(asked.select(*own, *group, "times").join(bounds.select(*group, "most", common.alias("common")), group))
     rare, rest = parts.filter(~F.col("common")), parts.filter("common")
-    first = settle(summed(gains, rare.select(query_id, "term", "times"), query_id, [id_column]))
+    first = settle(summed(gains, rare, [*own, id_column]))
     left = rest.groupBy(query_id).agg(F.sum(F.col("times") * F.col("most")).alias("left"))
-    kth = top_per_group(first, [query_id], [F.col("score").desc(), F.col(id_column)], k).filter(F.col("rank") == k)
+    kth = top_per_group(first, [query_id], [F.col("score").desc(), F.col(id_column)], deepest).filter(F.col("rank") == F.col("depth"))
     limits = kth.select(query_id, F.col("score").alias("reach")).join(left, query_id, "left").select(query_id, "reach", F.coalesce("left", F.lit(0.0)).alias("left"))
     # One row per question; read by both branches.
     closed = settle(limits.filter(F.col("reach") > F.col("left") + SLACK))
-    can = first.join(closed, query_id).filter(F.col("score") + F.col("left") >= F.col("reach") - SLACK).select(query_id, id_column, "score")
-    added = can.select(query_id, id_column).join(gains, id_column).join(rest.select(query_id, "term", "times"), [query_id, "term"])
+    can = first.join(closed, query_id).filter(F.col("score") + F.col("left") >= F.col("reach") - SLACK).select(*own, id_column, "score")
+    added = can.select(query_id, id_column).join(rest.select(query_id, *group, "times"), query_id).join(gains.select(id_column, *group, "gain"), [id_column, *group])
     more = added.groupBy(query_id, id_column).agg(F.sum(F.col("times") * F.col("gain")).alias("more"))
-    exact = can.join(more, [query_id, id_column], "left").select(query_id, id_column, (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"))
-    open_ = parts.join(closed, query_id, "left_anti").select(query_id, "term", "times")
-    scores = exact.unionByName(summed(gains, open_, query_id, [id_column]))
-    return top_per_group(scores.withColumn("score", F.round("score", 9)), [query_id], [F.col("score").desc(), F.col(id_column)], k)
+    exact = can.join(more, [query_id, id_column], "left").select(*own, id_column, (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"))
+    open_ = parts.join(closed, query_id, "left_anti")
+    scores = exact.unionByName(summed(gains, open_, [*own, id_column])).withColumn("score", F.round("score", 9))
+    best = top_per_group(scores, [query_id], [F.col("score").desc(), F.col(id_column)], deepest)
+    return best.filter(F.col("rank") <= F.col("depth")).select(query_id, id_column, "score", "rank")
 
 
 def bm25_topk(documents: DataFrame, queries: DataFrame, k: int, id_column: str = "doc_id", text: str = "text", query_id: str = "query_id", question: str = "question") -> DataFrame:
     """(query_id, id, score, rank) of the k best documents of each query; equal scores keep the smaller id."""
-    asked = settle(asked_terms(queries, query_id, question))
-    found = postings(documents, asked, id_column, text)
-    return best_documents(found, Weights.of(corpus_statistics(documents, text), asked), asked, k, id_column, query_id)
+    asked = settle(_one_group(asked_terms(queries, query_id, question)).withColumn("depth", F.lit(k)))
+    found = _one_group(postings(documents, asked, id_column, text))
+    return best_documents(found, group_weights(_one_group(corpus_statistics(documents, text)), asked), asked, k, id_column, query_id)

@@ -243,21 +243,23 @@ def test_top_documents_by_bounds_are_those_of_full_scores(spark, monkeypatch):
             assert {(r.query_id, r.doc_id, r["rank"]) for r in rt.bm25_topk(documents, queries, k).collect()} == want, (k, share)
 
 
-def test_common_words_bring_in_no_documents(spark):
+def test_common_words_bring_in_no_documents(spark, monkeypatch):
     """A question with rare words: no row for each of the documents that only share a stop word."""
     from gaugeline.plans import bm25
 
-    docs = [(i, "the of and " + " ".join(f"w{i}_{j}" for j in range(3))) for i in range(300)] + [(500 + i, "needle the of " + "x " * i) for i in range(5)]
+    docs = [(i, "the of and " + " ".join(f"w{i}_{j}" for j in range(3))) for i in range(300)] + [(500 + i, "needle pin thorn the of " + "x " * i) for i in range(5)]
     documents = spark.createDataFrame(docs, "doc_id int, text string")
-    asked = bm25.asked_terms(spark.createDataFrame([(1, "needle of the and")], "query_id int, question string"), "query_id", "question")
-    found = bm25.postings(documents, asked, "doc_id", "text")
-    weights = bm25.Weights.of(bm25.corpus_statistics(documents, "text"), asked)
-    assert found.count() == 300 * 3 + 15
+    asked = bm25.asked_terms(spark.createDataFrame([(1, "needle pin thorn of the and")], "query_id int, question string"), "query_id", "question")
+    asked = asked.withColumn("grp", F.lit(0)).withColumn("depth", F.lit(3))
+    found = bm25.postings(documents, asked, "doc_id", "text").withColumn("grp", F.lit(0))
+    weights = bm25.group_weights(bm25.corpus_statistics(documents, "text").withColumn("grp", F.lit(0)), asked)
+    assert found.count() == 300 * 3 + 25
+    summed = []
+    own = bm25.summed
+    monkeypatch.setattr(bm25, "summed", lambda *a: summed.append(own(*a)) or summed[-1])
     top = bm25.best_documents(found, weights, asked, 3, "doc_id", "query_id")
     assert [r.doc_id for r in top.orderBy("rank").collect()] == [500, 501, 502]
-    gains = weights.gains(found, "doc_id")
-    rare = gains.join(asked.filter("term = 'needle'"), "term")
-    assert rare.count() == 5
+    assert [df.count() for df in summed] == [5, 0]
 
 
 def test_negative_weights_are_scored_in_full(spark):
