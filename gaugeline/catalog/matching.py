@@ -50,8 +50,8 @@ def token_set_score(spark, folder):
     return pairs.select("a", "b", F.round(similarity, 6).alias("similarity"))
 
 
-# Entities of a brand: types and names of its large parts; candidates: the brand's columns.
-ENT_SQL = """ent AS (SELECT p_brand AS scope, lower(p_type) || ' ' || p_name AS entity, min(p_partkey) AS first_key FROM part WHERE p_size > 25 GROUP BY 1, 2)"""
+# Entities of a brand: types and names of its parts; candidates: the brand's columns.
+ENT_SQL = """ent AS (SELECT p_brand AS scope, lower(p_type) || ' ' || p_name AS entity, min(p_partkey) AS first_key FROM part GROUP BY 1, 2)"""
 DOT = "list_sum(list_transform(range(1, 65), lambda i: CAST({0}[i] AS DOUBLE) * CAST({1}[i] AS DOUBLE)))"
 WEIGHTED_SQL = "WITH " + ", ".join([
     d.COLUMNS_SQL, ENT_SQL,
@@ -72,7 +72,7 @@ def _part_name(prefix=True):
 def _weighted(spark, folder):
     part = table(spark, folder, "part")
     vectors = table(spark, folder, "embeddings").select(F.col("vec_id").alias("position"), F.col("embedding").alias("vector"))
-    entities = part.filter("p_size > 25").groupBy(F.col("p_brand").alias("scope"), _part_name().alias("entity")).agg(
+    entities = part.groupBy(F.col("p_brand").alias("scope"), _part_name().alias("entity")).agg(
         F.min("p_partkey").alias("position")
     ).join(vectors, "position", "left")
     columns = d.columns(spark, folder).select(F.col("table_name").alias("scope"), F.col("column_name").alias("column"), "position").join(vectors, "position", "left")
@@ -201,14 +201,13 @@ def rule_pool_match(spark, folder):
 
 @query("suggested_columns", "WITH " + ", ".join([
     d.SCHEMA_SQL, d.ENTITIES_SQL, d.COLUMNS_SQL,
-    "tpool AS (SELECT 'all' AS scope, name AS col, position FROM fld WHERE type = 'int')",
-    "e1 AS (SELECT DISTINCT 'all' AS scope, entity FROM ent WHERE contains(entity, 'o'))", _best_sql("e1", "tpool", "hop"),
+    "tpool AS (SELECT 'all' AS scope, name AS col, position FROM fld WHERE type IS NOT NULL)",
+    "e1 AS (SELECT DISTINCT 'all' AS scope, entity FROM ent)", _best_sql("e1", "tpool", "hop"),
 ]) + " SELECT rule_id, pos, ent.entity, coalesce(hop.col, '') AS \"column\" FROM ent LEFT JOIN hop ON hop.entity = ent.entity")
 def suggested_columns(spark, folder):
     entities = d.entities(spark, folder)
-    pool = d.target_schema(spark, folder).filter(F.col("type") == "int").select(F.col("name").alias("column"), "position")
-    asked = entities.filter(F.contains("entity", F.lit("o"))).select("entity")
-    return mt.suggested_columns(entities, mt.resolve(asked, pool, None, FUZZY)).select("rule_id", "pos", "entity", "column")
+    pool = d.target_schema(spark, folder).filter(F.col("type").isNotNull()).select(F.col("name").alias("column"), "position")
+    return mt.suggested_columns(entities, mt.resolve(entities.select("entity"), pool, None, FUZZY)).select("rule_id", "pos", "entity", "column")
 
 
 @query("entity_extract", "WITH " + ", ".join([d.RULES_SQL, d.COLUMNS_SQL,

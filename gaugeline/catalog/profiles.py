@@ -146,7 +146,7 @@ def preview_records(spark, folder):
     return preview(customers, ["c_custkey"])
 
 
-BASE_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents"]
+BASE_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
 @query("table_row_counts", "WITH c AS (" + " UNION ALL ".join(

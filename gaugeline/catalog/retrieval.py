@@ -9,6 +9,7 @@ from gaugeline.catalog.registry import query, table
 from gaugeline.functions import questions as qs
 from gaugeline.functions import replies as rp
 from gaugeline.functions import text as tx
+from gaugeline.operators.ranking import global_position
 from gaugeline.plans import documents as dc
 from gaugeline.plans import metrics as me
 from gaugeline.plans import retrieval as rt
@@ -228,6 +229,63 @@ def context_sources(spark, folder):
     return rt.distinct_sources(_hybrid(spark, folder), documents).select("query_id", "key", "rank", "snippet")
 
 
+# Documents by type, and questions of four kinds: code, all mappings, a rule by its number, and others.
+CONTEXT_SQL = f"""{HYBRID_SQL}, ask AS (SELECT item_id AS query_id, CASE item_id % 4 WHEN 0 THEN 'code_query' WHEN 1 THEN 'mapping_query' WHEN 2 THEN 'rule_query' ELSE 'general' END AS intent,
+ CASE item_id % 4 WHEN 1 THEN 'Show all mappings: ' || text WHEN 2 THEN 'Explain rule #' || item_id ELSE text END AS question FROM benchmark),
+ typ AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, doc_id AS n, CASE WHEN lang = 'en' AND doc_id % 2 = 0 THEN 'rule' WHEN lang IN ('en', 'fr') THEN 'generated_code' WHEN lang = 'de' THEN 'entity_mappings' ELSE 'execution_results' END AS type, text FROM documents
+  UNION ALL SELECT 'entity_mappings_hop1//' || row_number() OVER (ORDER BY source), NULL, 'entity_mappings_hop1', 'Mappings of ' || lang || ' ' || source FROM (SELECT source, min(lang) AS lang FROM documents GROUP BY 1)
+  UNION ALL SELECT 'entity_mappings_summary//' || row_number() OVER (ORDER BY lang), NULL, 'entity_mappings_summary', 'Mappings of ' || lang || ' src0' FROM (SELECT DISTINCT lang FROM documents)
+  UNION ALL SELECT 'generated_code_summary//' || (1 + k), NULL, 'generated_code_summary', 'Code of part ' || (1 + k) || ': ' || n FROM (SELECT doc_id % 2 AS k, count(*) AS n FROM documents GROUP BY 1)),
+ src AS (SELECT query_id, doc_id, 0 AS stage, (CASE type WHEN 'entity_mappings_summary' THEN 1 WHEN 'entity_mappings_hop1' THEN 2 ELSE 3 END, length(doc_id), doc_id) AS o, 'forced' AS source FROM ask, typ
+   WHERE intent = 'mapping_query' AND type IN ('entity_mappings_summary', 'entity_mappings_hop1', 'entity_mappings_hop2')
+  UNION ALL SELECT query_id, doc_id, 1, (0, length(doc_id), doc_id), 'looked up' FROM ask JOIN typ ON n = query_id WHERE intent = 'rule_query' AND type = 'rule'
+  UNION ALL SELECT query_id, CAST(doc_id AS VARCHAR), 2, (rank, length(CAST(doc_id AS VARCHAR)), CAST(doc_id AS VARCHAR)), 'ranked' FROM fus WHERE rank <= 5),
+ cho AS (SELECT query_id, doc_id, o, source FROM src QUALIFY stage = min(stage) OVER (PARTITION BY query_id)
+  UNION ALL SELECT query_id, doc_id, (0, length(doc_id), doc_id), 'summary' FROM ask, typ WHERE intent = 'code_query' AND type = 'generated_code_summary'),
+ pla AS (SELECT query_id, doc_id, o, source, type, text, intent = 'code_query' AS is_code, coalesce(bool_or(intent = 'code_query' AND type = 'generated_code') OVER (PARTITION BY query_id), false) AS has_code FROM cho JOIN typ USING (doc_id) JOIN ask USING (query_id)),
+ grp AS (SELECT *, CASE WHEN has_code THEN CASE type WHEN 'generated_code' THEN 1 WHEN 'generated_code_summary' THEN 2 END WHEN is_code AND type = 'generated_code_summary' THEN 0 ELSE 1 END AS g FROM pla),
+ one AS (SELECT * FROM grp WHERE g IS NOT NULL QUALIFY row_number() OVER (PARTITION BY query_id, text ORDER BY g, o, source) = 1),
+ fin AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY g, o, doc_id) AS place FROM one)"""
+
+
+def _context(spark, folder):
+    documents, asked = table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    kind, number, lang, even = F.col("item_id") % 4, F.col("item_id").cast("string"), F.col("lang"), F.col("doc_id") % 2 == 0
+    questions = asked.select(
+        F.col("item_id").alias("query_id"), F.when(kind == 0, "code_query").when(kind == 1, "mapping_query").when(kind == 2, "rule_query").otherwise("general").alias("intent"),
+        F.when(kind == 1, F.concat(F.lit("Show all mappings: "), "text")).when(kind == 2, F.concat(F.lit("Explain rule #"), number)).otherwise(F.col("text")).alias("question"),
+    )
+    doc_type = F.when((lang == "en") & even, "rule").when(lang.isin("en", "fr"), "generated_code").when(lang == "de", "entity_mappings").otherwise("execution_results")
+    own = documents.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("doc_id").alias("rule_number"), doc_type.alias("type"), "text")
+
+    def summary(groups, name, order, text):
+        place = global_position(groups, [order]).withColumn("doc_id", F.concat(F.lit(f"{name}//"), F.col("position").cast("string")))
+        return place.select("doc_id", F.lit(None).cast("bigint").alias("rule_number"), F.lit(name).alias("type"), text.alias("text"))
+
+    sources = documents.groupBy("source").agg(F.min("lang").alias("lang"))
+    halves = documents.groupBy((F.col("doc_id") % 2 + 1).alias("k")).agg(F.count("*").alias("n"))
+    every = own.unionByName(summary(sources, "entity_mappings_hop1", "source", F.concat(F.lit("Mappings of "), "lang", F.lit(" "), "source")))
+    every = every.unionByName(summary(documents.select("lang").distinct(), "entity_mappings_summary", "lang", F.concat(F.lit("Mappings of "), "lang", F.lit(" src0"))))
+    code = F.concat(F.lit("Code of part "), F.col("k").cast("string"), F.lit(": "), F.col("n").cast("string"))
+    every = every.unionByName(summary(halves, "generated_code_summary", "k", code))
+    ranked = _hybrid(spark, folder).select("query_id", F.col("doc_id").cast("string").alias("doc_id"), "rank")
+    rules = documents.select(F.col("doc_id").alias("rule_index"), F.lit("").alias("rule_name"))
+    looked_up = rt.direct_lookup(questions, rules, every)
+    return questions, every, rt.context_documents(questions, every, ranked, looked_up)
+
+
+@query("context_documents", CONTEXT_SQL + " SELECT query_id, CAST(place AS INTEGER) AS place, doc_id, type, source FROM fin WHERE place <= 5")
+def context_documents(spark, folder):
+    return _context(spark, folder)[2]
+
+
+@query("context_answers", CONTEXT_SQL + """ SELECT query_id, sha256(coalesce(c, 'No relevant documents found.')) AS context_hash FROM ask
+ LEFT JOIN (SELECT query_id, string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY place) AS c FROM fin WHERE place <= 5 GROUP BY 1) USING (query_id)""")
+def context_answers(spark, folder):
+    questions, every, placed = _context(spark, folder)
+    return rt.context_answers(questions, every, placed).select("query_id", F.sha2("context", 256).alias("context_hash"))
+
+
 TYPE_SQL = "CASE lang WHEN 'en' THEN 'rule' WHEN 'fr' THEN 'execution_results' WHEN 'de' THEN 'entity_mappings' ELSE 'generated_code' END"
 INTENT_SQL = "CASE WHEN length(text) < 150 THEN 'rule_query' WHEN length(text) < 200 THEN 'mapping_query' WHEN length(text) < 250 THEN 'schema_query' ELSE 'general' END"
 
@@ -284,11 +342,11 @@ def _run_log(spark, folder):
 
 
 @query("doc_executions", d.with_(d.RUNS_SQL, d.LATEST_SQL, d.RUN_RULES_SQL) + """
-SELECT 'execution_results/' || rule_index || '/1' AS doc_id, rule_index AS rule_number, 'Execution of rule ' || rule_index || ': ' || lat.rule_name || chr(10) || 'Passed: ' || passed_count || chr(10) || 'Failed: ' || failed_count AS text
+SELECT 'execution_results/' || rule_index || '/1' AS doc_id, rule_index AS rule_number, 'Execution of rule ' || rule_index || ': ' || lat.rule_name || chr(10) || 'Passed: ' || passed_count || chr(10) || 'Failed: ' || failed_count || chr(10) || 'Pass rate: ' || round(pass_rate, 4) AS text
 FROM lat JOIN rru ON lat.rule_name = rru.rule_name""")
 def doc_executions(spark, folder):
     documents = dc.execution_documents(_run_log(spark, folder)[1])
-    return documents.select("doc_id", "rule_number", F.regexp_replace("text", r"\nPass rate: [0-9.E-]+$", "").alias("text"))
+    return documents.select("doc_id", "rule_number", "text")
 
 
 DOC_RULES = d.with_(d.SCHEMA_SQL, d.MAPPING_SQL, d.S2D_SQL, d.RULES_SQL, d.ENTITIES_SQL, """

@@ -349,3 +349,57 @@ def test_tiles_against_brute_force(spark, monkeypatch, metric):
     for q, v in asked:
         want = sorted((round(distance(w, v), 9), i.encode()) for i, w in vectors)[:6]
         assert [(got[q, r][1], got[q, r][0].encode()) for r in range(1, 7)] == [(pytest.approx(x, abs=1e-9), i) for x, i in want]
+
+
+# ---- contexts -------------------------------------------------------------------------
+
+
+def context_of(spark, documents, questions, ranked, looked_up=()):
+    docs = spark.createDataFrame(documents, "doc_id string, type string, text string")
+    asked = spark.createDataFrame(questions, "query_id int, intent string, question string")
+    ranks = spark.createDataFrame(ranked, "query_id int, doc_id string, rank int")
+    found = spark.createDataFrame(list(looked_up), "query_id int, doc_id string")
+    placed = rt.context_documents(asked, docs, ranks, found)
+    rows = {}
+    for r in sorted(placed.collect(), key=lambda r: (r.query_id, r.place)):
+        rows.setdefault(r.query_id, []).append(r.doc_id)
+    return rows, {r.query_id: r.context for r in rt.context_answers(asked, docs, placed).collect()}
+
+
+DOCS = [
+    ("r1", "rule", "one"), ("r2", "rule", "two"), ("r3", "rule", "two"), ("c1", "generated_code", "code one"), ("c2", "generated_code", "code two"),
+    ("generated_code_summary//1", "generated_code_summary", "summary of code"), ("entity_mappings_hop2//1", "entity_mappings_hop2", "hop two"),
+    *[(f"entity_mappings_summary//{k}", "entity_mappings_summary", f"part {k}") for k in (1, 2, 10)], ("entity_mappings_hop1//1", "entity_mappings_hop1", "part 1"),
+]
+
+
+def test_one_source_answers_a_question(spark):
+    questions = [(1, "mapping_query", "show all mappings"), (2, "mapping_query", "mapping of x"), (3, "rule_query", "rule 1"), (4, "general", "?"), (5, "general", "none"), (6, "mapping_query", None)]
+    ranked = [(q, d, k) for q in (1, 2, 3, 4) for k, d in enumerate(["r2", "r3", "r1"], 1)]
+    rows, texts = context_of(spark, DOCS, questions, ranked, [(1, "r1"), (3, "r1"), (3, "r1")])
+    # Forced before looked up before ranked; equal texts once; parts in the order of their numbers.
+    assert rows[1] == ["entity_mappings_summary//1", "entity_mappings_summary//2", "entity_mappings_summary//10", "entity_mappings_hop2//1"]
+    assert rows[2] == ["r2", "r1"] and rows[3] == ["r1"] and rows[4] == ["r2", "r1"] and 5 not in rows
+    assert texts[4] == "two\n\n---\n\none" and texts[5] == texts[6] == rt.NO_DOCUMENTS
+
+
+def test_code_questions_get_the_summary(spark):
+    questions = [(1, "code_query", "code"), (2, "code_query", "code"), (3, "code_query", "code")]
+    ranked = [(1, "r1", 1), (1, "c2", 2), (1, "c1", 3), (2, "r1", 1), (2, "r2", 2)]
+    rows, _ = context_of(spark, DOCS, questions, ranked)
+    assert rows == {1: ["c2", "c1", "generated_code_summary//1"], 2: ["generated_code_summary//1", "r1", "r2"], 3: ["generated_code_summary//1"]}
+    rows, _ = context_of(spark, DOCS, questions, ranked, [(1, "c1")])
+    assert rows[1] == ["c1", "generated_code_summary//1"]
+
+
+def test_without_code_nothing_is_looked_at(spark):
+    documents = [("generated_code_summary//1", "generated_code_summary", "No PySpark code has been generated yet."), ("r1", "rule", "one")]
+    rows, texts = context_of(spark, documents, [(1, "code_query", "code"), (2, "general", "x")], [(1, "r1", 1), (2, "r1", 1)])
+    assert rows == {2: ["r1"]} and texts == {1: rt.NO_CODE_ANSWER, 2: "one"}
+
+
+def test_no_more_than_five_documents(spark):
+    documents = [(f"d{k}", "rule", f"text {k}") for k in range(9)] + [("generated_code_summary//1", "generated_code_summary", "s")]
+    rows, _ = context_of(spark, documents, [(1, "general", "x"), (2, "code_query", "x")], [(q, f"d{k}", k + 1) for q in (1, 2) for k in range(9)])
+    assert rows[1] == [f"d{k}" for k in range(5)] and rows[2] == ["generated_code_summary//1", "d0", "d1", "d2", "d3"]
+    assert context_of(spark, [], [], [])[0] == {}
