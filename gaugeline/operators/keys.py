@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,41 +32,48 @@ def _candidates(df: DataFrame) -> tuple[int, list[str]]:
     return total, names
 
 
+def _repeats(df: DataFrame, names: list[str]) -> DataFrame:
+    """(position, is_key) of the named columns, all in one pass and one shuffle.
+
+    Values go out as two 64-bit hashes, equal ones added up where they are read. Columns whose hash pairs
+    are all distinct have distinct values. (A column is wrongly ruled out if two of its values agree in all 128 bits.)
+    """
+    pairs = [
+        F.struct(F.lit(df.columns.index(c) + 1).alias("position"), F.xxhash64(column(c)).alias("h1"), F.xxhash64(F.lit(c), column(c)).alias("h2")) for c in names
+    ]
+    counted = df.select(F.inline(F.array(*pairs))).groupBy("position", "h1", "h2").agg(F.count("*").alias("n"))
+    return counted.groupBy("position").agg((F.max("n") == 1).alias("is_key"))
+
+
 def key_report(df: DataFrame) -> DataFrame:
     """A2 for all columns: (position, column_name, total, is_key, is_first_key).
 
-    One sketch pass rules out most columns; each of the rest is counted exactly per value.
-    NaN counts as a value, NULL disqualifies, and any column of an empty table qualifies.
+    Two jobs for any number of columns: a sketch pass rules out most of them, a narrow pass over
+    hashes settles all the others together. NaN counts as a value, NULL disqualifies, and any column of an empty table qualifies.
     """
     total, names = _candidates(df)
-    known = [
-        (i + 1, c, total, total == 0) for i, c in enumerate(df.columns) if c not in names or total == 0
-    ]
-    parts = [df.sparkSession.createDataFrame(known, "position int, column_name string, total long, is_key boolean")] if known else []
-    for name in names if total else []:
-        repeats = df.groupBy(column(name).alias("__v")).agg(F.count("*").alias("n"))
-        parts.append(repeats.agg((F.max("n") == 1).alias("is_key")).select(
-            F.lit(df.columns.index(name) + 1).alias("position"), F.lit(name).alias("column_name"), F.lit(total).cast("long").alias("total"), "is_key"
-        ))
-    report = reduce(DataFrame.unionByName, parts)
+    rows = [(i + 1, c, total, total == 0) for i, c in enumerate(df.columns)]
+    report = df.sparkSession.createDataFrame(rows, "position int, column_name string, total long, is_key boolean")
+    if names and total:
+        settled = _repeats(df, names).withColumnRenamed("is_key", "__key")
+        report = report.join(settled, "position", "left").withColumn("is_key", F.coalesce("__key", "is_key")).drop("__key")
+    # One row per column of the table.
     first = report.filter("is_key").agg(F.min("position").alias("p")).scalar()
-    return report.withColumn("is_first_key", F.coalesce(F.col("position") == first, F.lit(False)))
+    return report.select("position", "column_name", "total", "is_key", F.coalesce(F.col("position") == first, F.lit(False)).alias("is_first_key"))
 
 
 def find_key(df: DataFrame) -> str | None:
-    """A2: the first column, in order, whose values are all present and distinct.
+    """A2: the first column, in order, whose values are all present and distinct, by two jobs.
 
-    One job for the sketch, then one exact job per surviving column until one holds.
     An empty table's first column qualifies.
     """
     total, names = _candidates(df)
     if total == 0:
         return df.columns[0] if df.columns else None
-    for name in names:
-        repeated = df.groupBy(column(name)).agg(F.count("*").alias("n")).filter("n > 1")
-        if repeated.isEmpty():
-            return name
-    return None
+    if not names:
+        return None
+    first = _repeats(df, names).filter("is_key").agg(F.min("position")).first()[0]
+    return None if first is None else df.columns[first - 1]
 
 
 def with_generated_id(df: DataFrame, name: str = GENERATED_ID, stable: bool = False) -> DataFrame:

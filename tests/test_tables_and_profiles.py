@@ -269,3 +269,23 @@ def test_sample_rules_get_their_classes(spark):
         "1": ("simple", "completeness"), "2": ("simple", "validity"), "3": ("medium", "validity"), "4": ("medium", "consistency"),
         "6": ("medium", "consistency"), "7": ("complex", "business_logic"),
     }
+
+
+def test_all_columns_are_settled_in_two_jobs(spark):
+    """Thirty columns that a sketch cannot rule out: keys and near keys are told apart by one pass."""
+    df = spark.range(3000).select(*[(F.when((F.col("id") == 7) & F.lit(k % 3 == 1), 8).otherwise(F.col("id")) * (k + 1)).alias(f"c {k}.x") for k in range(30)])
+    tracker, group = spark.sparkContext.statusTracker(), "key-jobs"
+    spark.sparkContext.setJobGroup(group, "keys")
+    try:
+        report = {r.position: (r.is_key, r.is_first_key) for r in ky.key_report(df).collect()}
+        jobs = len(tracker.getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert report == {k + 1: (k % 3 != 1, k == 0) for k in range(30)}
+    assert jobs < 20  # stages of two queries and the scalar, not thirty queries
+    assert ky.find_key(df) == "c 0.x" and ky.find_key(df.select(*[f"`c {k}.x`" for k in (1, 4, 5)])) == "c 5.x"
+
+
+def test_zeros_of_either_sign_are_one_value(spark):
+    df = spark.createDataFrame([(0.0, "a"), (-0.0, "b")], "v double, s string")
+    assert ky.find_key(df) == "s"
