@@ -216,4 +216,4 @@ def check_summary(compiled: DataFrame) -> DataFrame:
     """How many rules have a compiled check, per check type, or a note that none has."""
     one = compiled.agg(F.count("*").alias("n"))
     told = _lines("Compiled checks", _labeled("Rules with a check", F.col("n")), _labeled("Check types", _breakdown(compiled, "check_type")))
-    return _document(one, "generated_code_summary", F.when(F.col("n") > 0, told).otherwise(F.lit("Compiled checks\nNo PySpark code has been generated yet.")))
+    return _document(one, "generated_code_summary", F.when(F.col("n") > 0, told).otherwise(F.lit("Compiled checks\nNo check has been compiled: no PySpark code has been generated yet.")))

@@ -403,3 +403,9 @@ def test_no_more_than_five_documents(spark):
     rows, _ = context_of(spark, documents, [(1, "general", "x"), (2, "code_query", "x")], [(q, f"d{k}", k + 1) for q in (1, 2) for k in range(9)])
     assert rows[1] == [f"d{k}" for k in range(5)] and rows[2] == ["generated_code_summary//1", "d0", "d1", "d2", "d3"]
     assert context_of(spark, [], [], [])[0] == {}
+
+
+def test_own_summary_says_that_there_is_no_code(spark):
+    summary = dc.check_summary(spark.createDataFrame([], "rule_name string, check_type string"))
+    asked = spark.createDataFrame([(1, "code_query", "code")], "query_id int, intent string, question string")
+    assert [tuple(r) for r in rt.without_code(asked, summary).collect()] == [(1, rt.NO_CODE_ANSWER)]
