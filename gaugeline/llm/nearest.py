@@ -2,11 +2,11 @@
 
 Queries go through in blocks of a fixed size. Each block meets every vector in one scan: a task
 cuts its vectors into tiles, quantises them to int8, and gets all products of a tile with the
-block by one matrix product of integers. The lengths of the quantisation residues bound the
+block by one matrix product of floats that hold these integers, exactly. The lengths of the quantisation residues bound the
 error of each product, hence each distance from both sides. A pair survives if its lower bound
 is not above the smallest k-th best known to the task; survivors are computed again from the
 original vectors in double precision and kept in a heap per query. A task sends at most k
-rows per query, and the final k are taken among those.
+rows per query, and the final k are taken among those. The table is read once per block of queries.
 
 Vectors that are null, empty, zero or hold null or non-finite components, and rows without an id,
 take no part. A query's own row is any row with its id. Queries that repeat are one; if rows

@@ -1,4 +1,4 @@
-"""Removal of repeated byte strings by blockwise suffix sorting (operator 1).
+"""Removal of repeated byte strings by blocks of hashed suffixes behind a cover-sample filter (operator 1).
 
 Every byte covered by a string of ``match`` bytes that also starts earlier (smaller doc_id, or
 the same document and an earlier start) is removed; strings never cross documents.
@@ -7,20 +7,20 @@ the same document and an earlier start) is removed; strings never cross document
 2. Cover samples: the places of a text whose offset modulo the period is in a difference
    cover. Any two places have a common distance below the period at which both meet a
    sample, so two equal strings hold two samples that agree on ``match - period + 1`` bytes.
-   The samples are ranked by that many bytes, one block of suffix buckets after another; the
-   ranks that only one sample holds are left out.
-3. A suffix is sorted only if a sample in its first ``period`` bytes shares its rank: all others
-   cannot tie for ``match`` bytes. Only the bytes of these suffixes are kept for the sort.
-4. The suffixes are sorted by their first ``match`` bytes, again one block of buckets after
-   another: each task sorts one bucket of 80-bit fingerprints of these bytes. In every tie
-   the first suffix stays and the others are marked.
-
-Memory and disk follow one block of buckets, not the corpus: a block's shuffle files go before
+   Hashes of that many bytes are grouped, one block of buckets after another; those that occur
+   twice or more are kept. They are a filter, not ranks.
+3. A suffix takes part only if a sample in its first ``period`` bytes has a hash that is kept: all others
+   cannot have an equal one. Only the bytes of these suffixes are kept.
+4. These suffixes are grouped by 80-bit hashes of their first ``match`` bytes, again one block of buckets
+   after another; no suffix is ordered against another, and equal hashes are not compared byte by byte. In
+   every group the first suffix stays and the others are marked.
+
+The number of blocks is fixed, so a block's memory and disk follow a fixed part of the corpus; its shuffle files go before
 the next begins. A block of text sends at most one suffix per tie, so a string that a third of
 all texts share puts one entry per block in its bucket.
 
 Null texts are empty; a null doc_id counts as smaller than any other. Rows with one doc_id
-are ordered by their text; of repeated rows one is the first. Texts shorter than ``match``
+are ordered by a hash of their text, then by the text; of repeated rows one is the first. Texts shorter than ``match``
 bytes stay as they are. An empty table gives no rows.
 """
 
