@@ -185,6 +185,34 @@ def bm25_terms(spark, folder):
     return rt.term_weights(statistics).withColumn("idf", F.round("idf", 6))
 
 
+# Windows of the documents ranked as documents of their own.
+CHUNK_SQL = f"""WITH win AS (SELECT doc_id, i + 1 AS chunk_no, substr(text, CAST(i * 520 + 1 AS BIGINT), 600) AS chunk FROM (
+ SELECT doc_id, text, unnest(range(0, CAST(greatest(ceil((length(text) - 80) / 520), 1) AS BIGINT))) AS i FROM documents WHERE length(text) > 0)),
+ doc AS (SELECT doc_id, chunk_no, {TOKENS.format('chunk')} AS t FROM win),
+ n AS (SELECT count(*) AS n, avg(len(t)) AS a FROM doc), df AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(t)) AS term FROM doc) GROUP BY 1),
+ raw AS (SELECT term, ln(n - df + 0.5) - ln(df + 0.5) AS r FROM df, n),
+ qt AS (SELECT item_id AS query_id, term, count(*) AS times FROM (SELECT item_id, unnest({TOKENS.format('text')}) AS term FROM benchmark) GROUP BY 1, 2),
+ idf AS (SELECT term, CASE WHEN r < 0 THEN 0.25 * (SELECT avg(r) FROM raw) ELSE r END AS idf FROM raw WHERE term IN (SELECT term FROM qt)),
+ tf AS (SELECT doc_id, chunk_no, l, term, count(*) AS tf FROM (SELECT doc_id, chunk_no, len(t) AS l, unnest(t) AS term FROM doc) WHERE term IN (SELECT term FROM qt) GROUP BY 1, 2, 3, 4),
+ sco AS (SELECT query_id, doc_id, chunk_no, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * l / a))), 9) AS score FROM qt JOIN tf USING (term) JOIN idf USING (term), n GROUP BY 1, 2, 3),
+ chk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, chunk_no) AS rank FROM sco QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, chunk_no) <= 12)"""
+
+
+@query("chunk_topk", CHUNK_SQL + " SELECT query_id, doc_id, CAST(chunk_no AS BIGINT) AS chunk_no, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM chk")
+def chunk_topk(spark, folder):
+    chunks = rt.stride_windows(table(spark, folder, "documents"), "doc_id", "text")
+    top = rt.rank_chunks(chunks, _benchmark(spark, folder), 12)
+    return top.select("query_id", "doc_id", F.col("chunk_no").cast("bigint").alias("chunk_no"), "rank", F.round("score", 6).alias("score"))
+
+
+@query("chunk_documents_topk", CHUNK_SQL + """ SELECT query_id, doc_id, CAST(chunk_no AS BIGINT) AS chunk_no, CAST(place AS INTEGER) AS rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place
+ FROM (SELECT * FROM chk QUALIFY row_number() OVER (PARTITION BY query_id, doc_id ORDER BY rank) = 1)) WHERE place <= 5""")
+def chunk_documents_topk(spark, folder):
+    chunks = rt.stride_windows(table(spark, folder, "documents"), "doc_id", "text")
+    top = rt.best_chunk_documents(rt.rank_chunks(chunks, _benchmark(spark, folder), 12), 5)
+    return top.select("query_id", "doc_id", F.col("chunk_no").cast("bigint").alias("chunk_no"), "rank", F.round("score", 6).alias("score"))
+
+
 VECTOR_SQL = """dis AS (SELECT q.vec_id AS query_id, v.vec_id AS doc_id, list_sum(list_transform(range(1, 65), lambda i: (CAST(v.embedding[i] AS DOUBLE) - CAST(q.embedding[i] AS DOUBLE)) * (CAST(v.embedding[i] AS DOUBLE) - CAST(q.embedding[i] AS DOUBLE)))) AS q
  FROM (SELECT * FROM embeddings WHERE vec_id IN (SELECT item_id FROM benchmark)) q JOIN embeddings v ON v.vec_id IN (SELECT doc_id FROM documents)),
  vec AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(q, 9), doc_id) AS rank FROM dis)"""

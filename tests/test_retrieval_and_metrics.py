@@ -409,3 +409,18 @@ def test_own_summary_says_that_there_is_no_code(spark):
     summary = dc.check_summary(spark.createDataFrame([], "rule_name string, check_type string"))
     asked = spark.createDataFrame([(1, "code_query", "code")], "query_id int, intent string, question string")
     assert [tuple(r) for r in rt.without_code(asked, summary).collect()] == [(1, rt.NO_CODE_ANSWER)]
+
+
+def test_chunks_are_ranked_as_documents(spark):
+    documents = spark.createDataFrame([(1, "a b c d"), (2, "x y z w"), (3, "a a x q"), (4, "")], "doc_id int, text string")
+    chunks = rt.chunk_documents(documents, "doc_id", "text", 4, 0)
+    held = {(r.doc_id, r.chunk_no): r.chunk for r in chunks.collect()}
+    asked = spark.createDataFrame([(1, "a x"), (2, "q"), (3, "none"), (4, "d d")], "query_id int, question string")
+    got = {(r.query_id, r["rank"]): (r.doc_id, r.chunk_no, r.score) for r in rt.rank_chunks(chunks, asked, 3).collect()}
+    for q, text in ((1, "a x"), (2, "q"), (4, "d d")):
+        scores = brute_bm25(held, text)
+        want = sorted((-round(s, 9), key) for key, s in scores.items())[:3]
+        assert [got[q, k] for k in range(1, len(want) + 1)] == [(*key, pytest.approx(-s, abs=1e-9)) for s, key in want]
+    assert not [k for k in got if k[0] == 3]
+    best = rt.best_chunk_documents(rt.rank_chunks(chunks, asked, 3), 2).collect()
+    assert all(len({r.doc_id for r in best if r.query_id == q}) == sum(r.query_id == q for r in best) <= 2 for q in (1, 2, 4))
