@@ -39,6 +39,18 @@ def global_position(df: DataFrame, order: Sequence[Column | str], name: str = "p
     )
 
 
+def position_in_group(df: DataFrame, group: Sequence[str], order: Sequence[Column | str], name: str = "place") -> DataFrame:
+    """Number the rows of each group from 1, a group of any size spread over all tasks.
+
+    Rows are placed in the order of group, then ``order``, over the whole table; the first place of a group is taken off. The
+    group's columns must not be NULL.
+    """
+    placed = global_position(df, [*group, *order], name="__at")
+    first = placed.groupBy(*group).agg(F.min("__at").alias("__first"))
+    joined = spread_join(placed, first, list(group))
+    return joined.withColumn(name, F.col("__at") - F.col("__first") + 1).drop("__at", "__first")
+
+
 def competition_rank(df: DataFrame, key: str, tie_break: Sequence[str], descending: bool = True, name: str = "rank") -> DataFrame:
     """``rank() over (order by key)`` for a whole table: equal keys share their first position."""
     ordering = F.col(key).desc() if descending else F.col(key).asc()

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeline.operators.names import names_in_texts
+from gaugeline.operators.ranking import position_in_group
 from gaugeline.operators.skew import spread_join
 from gaugeline.session import settle
 
@@ -141,7 +142,7 @@ def counts_by(target: DataFrame, name: str) -> DataFrame:
 def reference_lines(target: DataFrame, multi_table: bool) -> DataFrame:
     """Target-schema reference as lines: (table_name, category, line_no, line).
 
-    One row per line, so a large group is never held as one text; ``line_no`` 0 is the heading.
+    One row per line, so a large group is never held as one text nor ordered in one task; ``line_no`` 0 is the heading.
     """
     fields = target.select(
         F.coalesce("table_name", F.lit("")).alias("table_name") if multi_table else F.lit("").alias("table_name"),
@@ -149,8 +150,8 @@ def reference_lines(target: DataFrame, multi_table: bool) -> DataFrame:
         "position",
         F.concat(F.lit("  - "), F.col("name"), F.lit("  [type: "), F.coalesce("type", F.lit("string")), F.lit("]")).alias("line"),
     )
-    place = Window.partitionBy("table_name", "category").orderBy("position")
-    lines = fields.select("table_name", "category", F.row_number().over(place).alias("line_no"), "line")
+    numbered = position_in_group(fields, ["table_name", "category"], ["position", "line"], "line_no")
+    lines = numbered.select("table_name", "category", F.col("line_no").cast("int").alias("line_no"), "line")
     heads = fields.select("table_name", "category").distinct().select(
         "table_name", "category", F.lit(0).alias("line_no"), F.concat(F.lit("## Category: "), F.upper("category")).alias("line")
     )
@@ -171,9 +172,11 @@ def batches(columns: DataFrame, position: str, value: str, size: int) -> DataFra
 
 
 def table_lines(columns: DataFrame, width: int = COLUMN_BATCH) -> DataFrame:
-    """``[table]: c1, c2, ...`` per table; wide tables continue on further lines of ``width`` names."""
-    place = Window.partitionBy("table_name").orderBy("position")
-    numbered = columns.withColumn("__n", F.row_number().over(place))
+    """``[table]: c1, c2, ...`` per table; wide tables continue on further lines of ``width`` names.
+
+    A table of any width is numbered by all tasks; a line is a group of ``width`` rows.
+    """
+    numbered = position_in_group(columns.select("table_name", "position", "column_name"), ["table_name"], ["position", "column_name"], "__n")
     lines = numbered.groupBy("table_name", F.floor((F.col("__n") - 1) / width).alias("line_no")).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__n", "column_name"))), lambda s: s["column_name"]), ", ").alias("names")
     )

@@ -99,3 +99,15 @@ def test_checkpoint_folder_is_taken_from_the_context(spark):
     assert session.ensure_checkpoint_dir(spark) == first
     df = session.settle(spark.range(10))
     assert df.count() == 10 and "Range" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_places_in_groups_of_any_size(spark):
+    rows = [("hot", k % 500, k) for k in range(3000)] + [("b", 2, 9001), ("b", 1, 9002), ("c", 7, 9003)]
+    df = spark.createDataFrame(rows, "g string, o int, id int").repartition(7)
+    got = {r.id: (r.g, r.place) for r in rk.position_in_group(df, ["g"], ["o", "id"]).collect()}
+    want = {}
+    for g in ("hot", "b", "c"):
+        for n, (_, _, i) in enumerate(sorted((r for r in rows if r[0] == g), key=lambda r: (r[1], r[2])), 1):
+            want[i] = (g, n)
+    assert got == want
+    assert rk.position_in_group(df.limit(0), ["g"], ["o"]).collect() == []
