@@ -46,6 +46,16 @@ def generated_key(spark, folder):
     return keyed.select("l_orderkey", "l_partkey", "l_quantity", F.col(name).alias("generated_id"))
 
 
+@query("content_key", """
+SELECT event_type, user_id, CAST(row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id) - 1 AS BIGINT) AS copy, 1 AS n_rows FROM events""")
+def content_key(spark, folder):
+    """Ids of rows that repeat: each id once, the copies of a row numbered."""
+    keyed = ky.with_content_id(table(spark, folder, "events").select("event_type", "user_id"))
+    copy = F.split_part(ky.GENERATED_ID, F.lit("-"), F.lit(2)).cast("bigint").alias("copy")
+    per_id = keyed.groupBy(ky.GENERATED_ID).agg(F.count("*").cast("int").alias("n_rows"), F.first("event_type").alias("event_type"), F.first("user_id").alias("user_id"))
+    return per_id.select("event_type", "user_id", copy, "n_rows")
+
+
 @query("key_kept", "SELECT o_orderkey, CAST('o_orderkey' AS VARCHAR) AS id_column FROM orders")
 def key_kept(spark, folder):
     keyed, name = ky.with_key(table(spark, folder, "orders"))

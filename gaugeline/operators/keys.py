@@ -14,6 +14,8 @@ GENERATED_ID = "generated_id"
 # The sketch's standard error is 5%: a true key's estimate is ten errors above this share.
 _SKETCH_ERROR = 0.05
 _KEY_SHARE = 0.5
+#: Copies of one row that are dealt out together.
+COPIES = 10_000
 
 
 def _candidates(df: DataFrame) -> tuple[int, list[str]]:
@@ -91,6 +93,24 @@ def with_generated_id(df: DataFrame, name: str = GENERATED_ID, stable: bool = Fa
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def with_content_id(df: DataFrame, name: str = GENERATED_ID) -> DataFrame:
+    """An id that follows from the row itself: 128 bits of its hash, and a number among rows that are equal.
+
+    No order is needed: equal rows are counted, added up where they are read, and dealt out again with the numbers from 0, so
+    the ids are the same for every file layout and partitioning and may be stored. Copies of one row are written in
+    blocks, so that a row of any number of copies is dealt by bounded lists. (Zeros come back with a plus
+    sign, as equal rows are one.) An empty table has no ids.
+    """
+    columns = [column(c) for c in df.columns]
+    counted = df.groupBy(*columns).agg(F.count("*").alias("__n"))
+    blocks = counted.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("__n") - 1) / COPIES))))
+    last = F.least(F.lit(COPIES - 1).cast("bigint"), F.col("__n") - 1 - F.col("__block") * COPIES)
+    dealt = blocks.withColumn("__at", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    hashes = [F.lpad(F.lower(F.hex(h)), 16, "0") for h in (F.xxhash64(*columns), F.xxhash64(F.lit(GENERATED_ID), *columns))]
+    number = (F.col("__block") * COPIES + F.col("__at")).cast("string")
+    return dealt.select(*columns, F.concat(*hashes, F.lit("-"), number).alias(name))
+
+
 def with_key(df: DataFrame, id_column: str | None = None, stable: bool = False) -> tuple[DataFrame, str]:
     """Keep a given id column that exists, else a discovered key, else a generated id."""
     if id_column is not None and id_column in df.columns:

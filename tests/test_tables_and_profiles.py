@@ -289,3 +289,18 @@ def test_all_columns_are_settled_in_two_jobs(spark):
 def test_zeros_of_either_sign_are_one_value(spark):
     df = spark.createDataFrame([(0.0, "a"), (-0.0, "b")], "v double, s string")
     assert ky.find_key(df) == "s"
+
+
+def test_ids_from_content_do_not_follow_the_layout(spark, monkeypatch):
+    monkeypatch.setattr(ky, "COPIES", 7)
+    rows = [(k % 5, f"s{k % 3}", None if k % 4 else float(k % 2)) for k in range(200)] + [(9, "once", 0.5)] * 50 + [(None, None, None)] * 3
+    df = spark.createDataFrame(rows, "`a.b` int, s string, v double")
+    found = []
+    for n in (1, 13):
+        keyed = ky.with_content_id(df.repartition(n)).collect()
+        assert sorted(map(repr, ((r["a.b"], r.s, r.v) for r in keyed))) == sorted(map(repr, rows))
+        assert len({r.generated_id for r in keyed}) == len(rows)
+        found.append({r.generated_id for r in keyed})
+    assert found[0] == found[1]
+    assert sorted(int(i.split("-")[1]) for i in (r.generated_id for r in ky.with_content_id(df).filter("s = 'once'").collect())) == list(range(50))
+    assert ky.with_content_id(df.limit(0)).collect() == []
