@@ -3,14 +3,18 @@
 The merges are compiled, as texts need it, into a deterministic transducer. A piece's prefix
 has one canonical encoding, found from those of shorter prefixes: its last token is the
 one vocabulary token that ends there and may follow the last token of the prefix before it
-(two tokens may be neighbours if merging their joined bytes gives the two again). A state is
-the last emitted token and the bytes read since; reading a byte extends the encodings of the
-open prefixes by one. A token is emitted once every prefix that a longer token could still
-start from has it in its encoding, so a state holds little more than the longest token:
-lookahead is bounded however long the piece is. States and their moves are kept and the
-table is emptied when it is full.
-
-Null texts are empty: no tokens. Nothing is cut off, so memory follows the longest text.
+(two tokens may be neighbours if merging their joined bytes gives the two again).
+
+Undetermined, the transducer is in one configuration per place where a token may have begun: the node
+of the trie of tokens that the bytes since then lead to, and the tokens before that place. A
+byte moves every configuration along the trie; the one that reaches the canonical last token opens
+another at the root. A state of the determinised transducer is the list of configurations: tokens
+that all of them share are emitted at once and taken off, so a state holds little more than the longest
+token and lookahead is bounded however long the piece is. Every state and every move is made
+when a text first needs it and kept; the table is emptied when it is full.
+
+Null and empty texts give no tokens; repeated rows give a row each; an empty table no rows; only the columns that are
+read are taken, so others may have any name. Nothing is cut off: memory follows the longest text.
 """
 
 from __future__ import annotations
@@ -30,10 +34,8 @@ from pyspark.sql import functions as F
 
 from gaugeline.llm.common import only
 
-#: States kept before the table is emptied; about half a KB each.
-MAX_STATES = 100_000
-#: Pieces that leave a state without a move before the move is made, and the piece length from which moves are always made.
-MISSES, LONG_PIECE = 8, 256
+#: States kept before the table is emptied; with their moves about half a KB each.
+MAX_STATES = 400_000
 #: Pairs of tokens whose neighbourhood is remembered.
 MAX_PAIRS = 400_000
 #: Pieces whose ids are kept as one move from the start state.
@@ -41,8 +43,8 @@ MAX_PIECES = 300_000
 #: Tokens handed to the decoder at a time.
 DECODE_CHUNK = 4096
 
-_BYTE = [bytes((k,)) for k in range(256)]
-_TOKEN, _HEAD = 1, 2
+#: A place where a token may have begun: trie node since then, and the tokens before it from the last emitted one (-1: none) on.
+Configuration = tuple[int, tuple[int, ...]]
 
 IDS_SCHEMA = "doc_id long, ids array<int>"
 DIGEST_SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -65,29 +67,8 @@ def merge_all(piece: bytes, ranks: dict[bytes, int], below: int = 1 << 60) -> li
     return parts
 
 
-class State:
-    """Last emitted token (-1 at a piece's start) and the bytes read since.
-
-    ``lasts[k]`` is the last token of the encoding of the first k open bytes (``lasts[0]`` the
-    emitted one, -1 where no encoding is gone on with), ``starts`` the places where a token that goes on may begin.
-    """
-
-    __slots__ = ("open", "lasts", "starts", "moves", "tail", "misses")
-
-    def __init__(self, opened: bytes, lasts: list[int], starts: list[int]) -> None:
-        self.open, self.lasts, self.starts = opened, lasts, starts
-        self.moves: dict[int, tuple[State, tuple[int, ...]]] = {}
-        self.tail: tuple[int, ...] | None = None
-        self.misses = 0
-
-
 class Transducer:
-    """Encoder of single pieces, determinised as it runs.
-
-    A state gets a new move once pieces have left it ``MISSES`` times without one; until then the
-    rest of such a piece is read by the same rules without making states. Pieces longer than
-    ``LONG_PIECE`` always make states, so what is kept open stays short.
-    """
+    """Encoder of single pieces, determinised as it runs; states are numbers, 0 a piece's start."""
 
     def __init__(self, ranks: dict[bytes, int], max_states: int = MAX_STATES) -> None:
         self.ranks, self.max_states = ranks, max_states
@@ -96,8 +77,9 @@ class Transducer:
         # The two parts a token is merged from last, for the tokens that merging makes; any
         # other token stands only for a piece that equals it.
         self.halves: list[tuple[int, int] | None] = [None] * self.size
-        # By string: the token's number times four, plus what the string is.
-        self.kinds: dict[bytes, int] = {}
+        # The trie: the node that a node and a byte lead to, each node's token (-1: none), and which nodes go on.
+        self.steps: dict[int, int] = {}
+        self.tokens, self.goes_on = [-1], [True]
         for token, rank in sorted(ranks.items(), key=lambda item: item[1]):
             self.names[rank] = token
             if len(token) > 1:
@@ -105,18 +87,29 @@ class Transducer:
                 if len(parts) != 2:
                     continue
                 self.halves[rank] = (ranks[parts[0]], ranks[parts[1]])
-            self.kinds[token] = rank * 4 + _TOKEN
-        for head in {t[:k] for t in list(self.kinds) for k in range(1, len(t))}:
-            self.kinds[head] = self.kinds.get(head, 0) | _HEAD
-        self.lengths = [len(t) for t in self.names]
+            self.plant(token, rank)
         self.pairs: dict[int, bool] = {}
+        # By state and byte: the next state, and the tokens that became certain.
+        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
         self.reset()
 
+    def plant(self, token: bytes, rank: int) -> None:
+        node = 0
+        for byte in token:
+            self.goes_on[node] = True
+            step = node << 8 | byte
+            if step not in self.steps:
+                self.steps[step] = len(self.tokens)
+                self.tokens.append(-1)
+                self.goes_on.append(False)
+            node = self.steps[step]
+        self.tokens[node] = rank
+
     def reset(self) -> None:
-        for state in getattr(self, "states", {}).values():
-            state.moves.clear()  # states refer to each other: without moves they go at once
-        self.start = State(b"", [-1], [0])
-        self.states: dict[tuple[int, bytes], State] = {(-1, b""): self.start}
+        start = ((0, (-1,)),)
+        self.numbers: dict[tuple[Configuration, ...], int] = {start: 0}
+        self.states: list[tuple[Configuration, ...]] = [start]
+        self.moves.clear()
 
     def neighbours(self, left: int, right: int) -> bool:
         """Whether merging the joined bytes of two tokens gives these two.
@@ -144,101 +137,81 @@ class Transducer:
                 right_limit, right = right_rank, halves[right][0]
                 left_limit = min(left_limit, right_limit + 1)
 
-    def read(self, text: bytes, lasts: list[int], starts: list[int]) -> list[int]:
-        """Go on from an encoding of the first bytes of ``text`` to its end: adds to ``lasts``, returns the places where a token may begin."""
-        kinds, pairs, size = self.kinds, self.pairs, self.size
-        # A place without an encoding never becomes a start, so -1 at a start is a piece's start.
-        for end in range(len(lasts), len(text) + 1):
-            last, go_on = -1, []
-            for k in starts:
-                kind = kinds.get(text[k:end])
-                if kind is None:
-                    continue
-                if last < 0 and kind & _TOKEN:
-                    before, token = lasts[k], kind >> 2
-                    if before < 0:
-                        last = token
-                    else:
-                        fits = pairs.get(before * size + token)
-                        if fits is None:
-                            if len(pairs) >= MAX_PAIRS:
-                                pairs.clear()
-                            fits = pairs[before * size + token] = self.neighbours(before, token)
-                        if fits:
-                            last = token
-                if kind & _HEAD:
-                    go_on.append(k)
-            lasts.append(last)
-            if last >= 0:
-                go_on.append(end)
-            elif not go_on:
-                raise ValueError("a byte has no token of its own")
-            starts = go_on
-        return starts
-
-    def back(self, lasts: list[int], end: int) -> tuple[int, ...]:
-        """The tokens of the first ``end`` open bytes."""
-        out = []
-        while end > 0:
-            out.append(lasts[end])
-            end -= self.lengths[lasts[end]]
-        out.reverse()
-        return tuple(out)
-
-    def extend(self, state: State, byte: int) -> tuple[State, tuple[int, ...]]:
-        """The move of ``state`` on ``byte``: the next state and the tokens that became certain."""
-        lengths = self.lengths
-        text = state.open + _BYTE[byte]
-        lasts = state.lasts.copy()
-        starts = self.read(text, lasts, state.starts)
-        emitted: tuple[int, ...] = ()
-        settled = starts[0]
-        if settled:
-            # No token can begin at the first place any more: emit what all places agree on.
-            for k in starts[1:]:
-                while k > settled:
-                    k -= lengths[lasts[k]]
-                while k < settled:
-                    # This place's tokens pass by the settled one: go back to where both have been.
-                    settled -= lengths[lasts[settled]]
-                    while k > settled:
-                        k -= lengths[lasts[k]]
-            if settled:
-                emitted = self.back(lasts, settled)
-                text, lasts, starts = text[settled:], lasts[settled:], [k - settled for k in starts]
-                for k in range(1, len(lasts)):
-                    # An encoding that does not pass the settled place is never gone on with.
-                    if lasts[k] >= 0:
-                        begin = k - lengths[lasts[k]]
-                        if begin < 0 or (begin and lasts[begin] < 0):
-                            lasts[k] = -1
-        key = (lasts[0], text)
-        found = self.states.get(key)
+    def may_follow(self, left: int, right: int) -> bool:
+        """Whether two tokens may be neighbours, kept for the next time."""
+        if len(self.pairs) >= MAX_PAIRS:
+            self.pairs.clear()
+        fits = self.pairs[left * self.size + right] = self.neighbours(left, right)
+        return fits
+
+    def extend(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
+        """Make the move of ``state`` on ``byte``: the next state and the tokens that became certain."""
+        step, tokens, goes_on, pairs, size = self.steps.get, self.tokens, self.goes_on, self.pairs, self.size
+        configurations: list[Configuration] = []
+        encoding = None
+        for configuration in self.states[state]:
+            child = step(configuration[0] << 8 | byte)
+            if child is None:
+                continue
+            before = configuration[1]
+            if encoding is None:
+                token = tokens[child]
+                if token >= 0:
+                    last = before[-1]
+                    fits = last < 0 or pairs.get(last * size + token)
+                    if fits is None:
+                        fits = self.may_follow(last, token)
+                    if fits:
+                        encoding = (*before, token)
+            if goes_on[child]:
+                configurations.append((child, before))
+        if encoding is None:
+            raise ValueError("a byte has no token of its own")
+        # The first tokens that all configurations share are certain.
+        if not configurations:
+            emitted = encoding[1:]
+            configurations = [(0, encoding[-1:])]
+        else:
+            certain = len(configurations[0][1])
+            if certain > 1:
+                for _, before in configurations:
+                    certain = min(certain, len(before))
+                    while before[:certain] != encoding[:certain]:
+                        certain -= 1
+            emitted = encoding[1:certain]
+            if emitted:
+                encoding = encoding[certain - 1 :]
+                configurations = [(node, before[certain - 1 :]) for node, before in configurations]
+            configurations.append((0, encoding))
+        key = tuple(configurations)
+        found = self.numbers.get(key)
         if found is None:
-            if len(self.states) >= self.max_states:
+            full = len(self.states) >= self.max_states
+            if full:
                 self.reset()
-            found = self.states[key] = State(text, lasts, starts)
-        move = state.moves[byte] = (found, emitted)
+            found = self.numbers[key] = len(self.states)
+            self.states.append(key)
+            if full:
+                # The state that is left went with the table.
+                return found, emitted
+        move = self.moves[state << 8 | byte] = (found, emitted)
         return move
 
+    def open_bytes(self, state: int) -> int:
+        """How many bytes a state has read since the last emitted token."""
+        return sum(len(self.names[token]) for token in self.states[state][-1][1][1:])
+
     def run(self, piece: bytes) -> list[int]:
-        state, out = self.start, []
-        for at, byte in enumerate(piece):
-            move = state.moves.get(byte)
+        state, out, known = 0, [], self.moves
+        for byte in piece:
+            move = known.get(state << 8 | byte)
             if move is None:
-                state.misses += 1
-                if state.misses < MISSES and len(piece) <= LONG_PIECE:
-                    text, lasts = state.open + piece[at:], state.lasts.copy()
-                    self.read(text, lasts, state.starts)
-                    out += self.back(lasts, len(text))
-                    return out
                 move = self.extend(state, byte)
             state, emitted = move
             if emitted:
                 out += emitted
-        if state.tail is None:
-            state.tail = self.back(state.lasts, len(state.open))
-        out += state.tail
+        # The last configuration is the one of all bytes read.
+        out += self.states[state][-1][1][1:]
         return out
 
     def encode_piece(self, piece: bytes) -> tuple[int, ...]:
@@ -331,7 +304,7 @@ def codec(path: str, pattern: str) -> Codec:
     key = (path, pattern)
     if key not in _CODECS:
         _CODECS[key] = Codec(read_ranks(path), pattern)
-        # States are many and long-lived: going through them again and again frees nothing.
+        # The tables are large and hold no cycles: going through them again and again frees nothing.
         gc.freeze()
         gc.set_threshold(200_000, 20, 100)
     return _CODECS[key]
