@@ -3,12 +3,14 @@
 A page is parsed to a tree. Elements that are furniture by their tag, role, class or id (menus,
 page headers and footers, side bars, notices, adverts, forms, comments, scripts, styles) are left
 out; a name in a class or id, or a form, is no reason to leave out what holds most of the page's text.
+A class or id that says furniture only in part ("social-history") is left out if nothing in it reaches half
+the threshold, too.
 Every other node gets its composite text density: characters per tag, adjusted by the share
 of characters and tags that are links. A node's density sum is the sum over its children. The
 node of the largest sum leads to the article; the smallest density on its path to the body is
 the threshold for other parts of the page. An article or main element is a hint: if it holds that
-node or its sum reaches the largest, it is the main text, with others above the threshold;
-if not, parts are chosen by density alone.
+node or its sum reaches the largest, it is the main text, with others above the threshold and
+what else is as dense as the article; if not, parts are chosen by density alone.
 
 Blocks are joined by one line feed in page order; white space inside a block becomes one
 space. Null pages are empty; a page without any text gives an empty text. Nothing is cut off, so
@@ -31,11 +33,12 @@ SCHEMA = "page_id long, url string, text string, n_chars long"
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp".split())
-_INLINE = frozenset(
+_MATH = frozenset("annotation annotation-xml math mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
+_INLINE = _MATH | frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
 _FURNITURE = frozenset(
-    "script style noscript template iframe object embed applet svg math canvas audio video map head title form input select textarea button fieldset "
+    "script style noscript template iframe object embed applet svg annotation annotation-xml canvas audio video map head title form input select textarea button fieldset "
     "nav aside footer header menu dialog noembed noframes xmp".split()
 )
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
@@ -47,6 +50,16 @@ _NAMES = frozenset(
     "comment comments commentlist commentary disqus replies respond reactions share sharing sharebar social related recommended recommendations "
     "pagination pager toolbar widget widgets copyright disclaimer skip form search".split()
 )
+#: Share of the threshold that something in a part must reach if its name says furniture in part.
+PART_SHARE = 0.5
+#: Words that say nothing about a part, so that a name of these and the ones above is furniture.
+_NEUTRAL = frozenset(
+    "site page post posts article articles entry blog body main content global primary secondary top bottom left right center sub js wp author "
+    "banner bar block box button buttons card column container group icon icons inner item items link links list more news outer panel row section "
+    "slot space story stories text title unit view wrap wrapper area".split()
+)
+#: Words in a class of a paragraph of an article's header that is about the article.
+_BYLINE = frozenset("byline author date time meta published posted updated credit credits tags category".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Start tags that end an open element of the named kinds, up to a container.
 _ENDS = {
@@ -64,18 +77,25 @@ _CLOSE = {tag: re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I) for tag in _RAW}
 
 
 class Node:
-    __slots__ = ("tag", "names", "role", "hidden", "children", "parent", "chars", "tags", "link_chars", "link_tags", "density", "total", "best")
+    __slots__ = ("tag", "names", "named", "part_named", "cut", "role", "hidden", "children", "parent", "chars", "tags", "link_chars", "link_tags", "density", "total", "best")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str = "") -> None:
         self.tag, self.parent = tag, parent
         self.children: list[Node | str] = []
         self.names: list[str] = []
         self.role, self.hidden = "", False
+        #: Whether a class or id says furniture and nothing else, or in part; whether it is cut for that and its density.
+        self.named = self.part_named = self.cut = False
         if attributes:
             for name, value in _ATTRIBUTE.findall(attributes):
                 name, value = name.lower(), html.unescape(value.strip("\"'"))
                 if name in ("class", "id"):
-                    self.names += [w.lower() for w in _WORD.findall(value)]
+                    for token in value.split():
+                        words = [w.lower() for w in _WORD.findall(token)]
+                        self.names += words
+                        if not _NAMES.isdisjoint(words):
+                            whole = all(w in _NAMES or w in _NEUTRAL or len(w) == 1 or w.isdigit() for w in words)
+                            self.named, self.part_named = self.named or whole, self.part_named or not whole
                 elif name == "role":
                     self.role = value.strip().lower()
                 elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
@@ -161,7 +181,7 @@ def is_article(node: Node) -> bool:
 def is_furniture(node: Node) -> bool:
     if node.tag == "header":
         return True
-    return node.tag in _FURNITURE or node.hidden or node.role in _ROLES or not _NAMES.isdisjoint(node.names)
+    return node.tag in _FURNITURE or node.hidden or node.role in _ROLES or node.named
 
 
 def named_only(node: Node) -> bool:
@@ -187,10 +207,23 @@ def wrappers(nodes: list[Node]) -> set[int]:
     return {id(n) for n in nodes if 2 * own[id(n)] > whole and paragraphs[id(n)] >= least}
 
 
+def header_text(header: Node) -> list[Node]:
+    """Headings and paragraphs of an article's own header, without lines about the article."""
+    found, stack = [], [header]
+    while stack:
+        node = stack.pop()
+        if node.tag in _HEADINGS or node.tag == "p":
+            if node.tag != "p" or _BYLINE.isdisjoint(node.names):
+                found.append(node)
+        else:
+            stack += [c for c in reversed(node.children) if isinstance(c, Node) and not is_furniture(c)]
+    return found
+
+
 def prune(root: Node) -> None:
     """Take furniture out of the tree. Elements that hold the article, or most of the text, stay whatever their name; a form's controls go.
 
-    Headings of an article's own header stay.
+    Headings and paragraphs of an article's own header stay.
     """
     nodes = in_order(root)
     holders = set()
@@ -214,7 +247,7 @@ def prune(root: Node) -> None:
                 while up is not None and not is_article(up):
                     up = up.parent
                 if up is not None:
-                    kept += [n for n in in_order(child) if n.tag in _HEADINGS]
+                    kept += header_text(child)
         node.children = kept
         for child in kept:
             if isinstance(child, Node):
@@ -235,7 +268,7 @@ def measure(root: Node) -> list[Node]:
                 node.chars += len("".join(child.split()))
             else:
                 node.chars += child.chars
-                node.tags += child.tags + 1
+                node.tags += child.tags + (child.tag not in _MATH)
                 node.link_chars += child.link_chars
                 node.link_tags += child.link_tags + (child.tag == "a")
         if node.tag == "a":
@@ -279,24 +312,46 @@ def select(root: Node) -> list[Node]:
         up = up.parent
         path.append(up)
     threshold = min(n.density for n in path)
-    inner = in_order(body)
-    articles = [n for n in inner if is_article(n) and n.chars]
-    nested = below(inner, {id(n) for n in articles})
-    outer = [n for n in articles if id(n) not in nested]
     up, above = best, set()
     while up is not None:
         above.add(id(up))
         up = up.parent
+    inner = in_order(body)
+    peaks: dict[int, float] = {}
+    for node in reversed(inner):
+        peaks[id(node)] = max([node.density, *(peaks[id(c)] for c in node.children if isinstance(c, Node))])
+        node.cut = node.part_named and id(node) not in above and peaks[id(node)] < PART_SHARE * threshold
+    articles = [n for n in inner if is_article(n) and n.chars]
+    nested = below(inner, {id(n) for n in articles})
+    outer = [n for n in articles if id(n) not in nested]
     chiefs = [n for n in outer if id(n) in above or n.best.total >= best.total or (len(outer) == 1 and n.chars - n.link_chars > (body.chars - body.link_chars) / 2)]
-    if chiefs:
-        kept = {id(n) for n in chiefs}
-        return [n for n in outer if id(n) in kept or n.density >= threshold]
-    if best is body:
-        return [body]
-    # Without such a hint: from the body down, what is as dense as the path to the best node.
-    marked, stack = {id(best)}, [body]
+    if not chiefs:
+        if best is body:
+            return [body]
+        # Without such a hint: from the body down, what is as dense as the path to the best node.
+        return dense_parts(body, inner, {id(best)}, set(), threshold)
+    kept = {id(n) for n in chiefs}
+    marked = {id(n) for n in outer if id(n) in kept or n.density >= threshold}
+    # Beside articles: what is as dense as the least dense chief one.
+    holders, barred = set(), {id(n) for n in outer}
+    for node in outer:
+        up = node.parent
+        while up is not None and id(up) not in holders:
+            holders.add(id(up))
+            up = up.parent
+    return dense_parts(body, inner, marked, holders, max(threshold, min(n.density for n in chiefs)), barred)
+
+
+def dense_parts(body: Node, inner: list[Node], marked: set[int], holders: set[int], threshold: float, barred: frozenset[int] | set[int] = frozenset()) -> list[Node]:
+    """``marked`` nodes and what else is as dense as ``threshold``, in page order; ``holders`` are entered whatever their density, ``barred`` ones not."""
+    marked, stack = set(marked), [body]
     while stack:
         node = stack.pop()
+        if id(node) in barred:
+            continue
+        if id(node) in holders:
+            stack += [c for c in node.children if isinstance(c, Node)]
+            continue
         if node.density < threshold or not node.chars:
             continue
         if node.best is node:
@@ -325,6 +380,8 @@ def blocks(root: Node) -> list[str]:
         if isinstance(node, str):
             parts.append(node)
             continue
+        if node.cut:
+            continue
         if node.tag not in _INLINE:
             end()
         if done:

@@ -1,5 +1,6 @@
 """Main text against pages whose article is known."""
 
+import math
 import random
 
 import pytest
@@ -75,6 +76,63 @@ def test_an_advert_longer_than_the_article_is_left_out():
     assert M.main_text('<body><div class="ad">Buy this thing now, it is the best of all things.</div><article><p>Short.</p></article></body>') == "Short."
 
 
+@pytest.mark.parametrize("part", ['<section id="social-history">{}</section>', '<div class="job-search-tips">{}</div>', '<div class="block the-notice-period">{}</div>'])
+def test_a_part_of_an_article_named_like_furniture_stays(part):
+    rng = random.Random(part)
+    parts = [prose(rng, n) for n in (50, 6, 45, 50, 40)]
+    inner = part.format(f"<h2>{parts[1]}</h2><p>{parts[2]}</p>")
+    assert M.main_text(f"<body><article><p>{parts[0]}</p>{inner}<p>{parts[3]}</p><p>{parts[4]}</p></article></body>") == "\n".join(parts)
+    links = '<div class="share-this-story"><a href="/a">Send it</a> <a href="/b">Print it</a></div>'
+    assert M.main_text(f"<body><article><p>{parts[0]}</p>{links}{inner}</article></body>") == "\n".join(parts[:3])
+
+
+def test_text_before_an_article_as_dense_as_it_stays():
+    rng = random.Random(11)
+    lead, parts = [prose(rng, 60) for _ in range(2)], [prose(rng, 40) for _ in range(4)]
+    page = '<body><nav>{}</nav><div class="lead">{}</div><div>Thin <a href="/x">line</a></div><article>{}</article></body>'
+    assert M.main_text(page.format(MENU, *("".join(f"<p>{p}</p>" for p in x) for x in (lead, parts)))) == "\n".join(lead + parts)
+
+
+def test_a_standfirst_stays_a_byline_does_not():
+    head = '<header><h1>Title</h1><p class="standfirst">What it is about.</p><p class="byline">By one of us</p><nav><p>Back</p></nav></header>'
+    assert M.main_text(f"<article>{head}<p>{WORDS[0]} and more.</p></article>") == "Title\nWhat it is about.\nlorem and more."
+
+
+def test_a_formula_stays_in_its_sentence():
+    formula = "<math><semantics><mrow><mi>x</mi><mo>=</mo><mn>1</mn></mrow><annotation>x=1</annotation></semantics></math>"
+    assert M.main_text(f"<article><p>Let {formula} be the value.</p></article>") == "Let x=1 be the value."
+
+
+def test_densities_against_their_definition():
+    """Characters per tag with links, sums over children and the best node, each counted anew from the subtree."""
+    rng = random.Random(12)
+    for _ in range(60):
+        part = lambda: rng.choice(["<p>{}</p>", "<div><p>{}</p><a href=x>go on</a></div>", "<a href=y>{}</a>", "<div>{}</div>"]).format(prose(rng))
+        root = M.parse("<body>" + "".join(f"<div>{part()}{part()}</div>" for _ in range(rng.randrange(1, 7))) + "</body>")
+        nodes = M.measure(root)
+
+        def counts(node):
+            inside = M.in_order(node)
+            text = lambda n: sum(len("".join(c.split())) for x in M.in_order(n) for c in x.children if isinstance(c, str))
+            links = [n for n in inside if n.tag == "a"]
+            return text(node), len(inside) - 1, sum(map(text, links)), len([n for n in links if n is not node])
+
+        whole, _, linked, _ = counts(root)
+        density = {}
+        for node in nodes:
+            c, t, lc, lt = counts(node)
+            t = max(1, t)
+            base = math.log(c / max(1, c - lc) * lc + linked / max(1, whole) * c + math.e)
+            density[id(node)] = max(0.0, c / t * math.log(c / max(1, lc) * t / max(1, lt)) / math.log(base)) if c and base > 1 else None
+        for node in nodes:
+            if density[id(node)] is not None:
+                assert node.density == pytest.approx(density[id(node)])
+            inner = [c for c in node.children if isinstance(c, M.Node)]
+            if inner:
+                assert node.total == pytest.approx(sum(c.density for c in inner))
+            assert node.best.total == max(n.total for n in M.in_order(node))
+
+
 def test_text_of_blocks():
     assert M.main_text("<article><p>a&amp;b &lt;i&gt;\n\t c&nbsp;&#233;<br>next <i>word</i>s</p><ul><li>one<li>two</ul></article>") == "a&b <i> c é\nnext words\none\ntwo"
 
