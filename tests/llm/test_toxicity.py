@@ -57,6 +57,52 @@ def test_fit_lowers_the_loss():
     assert (guess == grades).mean() > 0.95
 
 
+def plain_loss(rows, grades, weights, theta, ridge):
+    """The cumulative-link loss, one row after another."""
+    total = 0.0
+    for row, grade in zip(rows, grades, strict=True):
+        score = sum(weights[k] for k in row)
+        above = [1.0, *(1 / (1 + math.exp(t - score)) for t in theta), 0.0]
+        total -= math.log(above[grade] - above[grade + 1])
+    return total / len(rows) + ridge / 2 * sum(w * w for w in weights)
+
+
+def test_fit_reaches_the_least_loss_of_the_plain_likelihood():
+    rng = np.random.default_rng(3)
+    rows = [np.unique(rng.integers(0, 12, 4)) for _ in range(200)]
+    truth = rng.normal(size=12)
+    noise = rng.logistic(size=200)
+    grades = (np.array([truth[r].sum() for r in rows])[:, None] + noise[:, None] > np.array([-1.0, 0.5, 2.0])).sum(axis=1)
+    ridge = 1e-2
+    weights, theta = T.fit(rows, grades, 12, 3, ridge=ridge, steps=2000)
+    assert (np.diff(theta) > 0).all()
+    point = np.concatenate([weights, theta])
+    loss = lambda p: plain_loss(rows, grades, p[:12], p[12:], ridge)
+    # Finite differences: no slope is left in any weight or threshold.
+    step = 1e-5
+    slopes = [(loss(point + step * e) - loss(point - step * e)) / (2 * step) for e in np.eye(15)]
+    assert np.abs(slopes).max() < 2e-3
+    # And no nearby or random point is better.
+    least = loss(point)
+    for size in (1e-2, 0.1, 1.0):
+        for _ in range(40):
+            other = point + rng.normal(size=15) * size
+            other[12:] = np.sort(other[12:])
+            assert loss(other) >= least - 1e-6
+
+
+def test_scores_against_plain_sums(spark):
+    model = T.Ordinal({"bad": 2.0, "^rotten": 0.5, "rottenly": 1.5, "good": -1.0}, np.array([1.0, 2.0, 4.0]))
+    texts = ["bad bad", "Rottenly good", "rotten", "", None, "BAD rottenly, good!"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sums = [2.0, 1.0, 0.0, 0.0, 0.0, 3.0]
+    for r in T.score(docs, model).collect():
+        above = [1 / (1 + math.exp(t - sums[r.doc_id])) for t in (1.0, 2.0, 4.0)]
+        chances = [1 - above[0], above[0] - above[1], above[1] - above[2], above[2]]
+        assert r.expected_severity == pytest.approx(sum(above)) and r.p_toxic == pytest.approx(above[0])
+        assert r.grade == chances.index(max(chances)) and r.toxic == (above[0] >= 0.5)
+
+
 def test_edges(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (None, "word"), (3, "word " * 200_000), (3, "word")], "doc_id long, text string")
     none = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, toxic int")
