@@ -151,7 +151,38 @@ def doc_windows(spark, folder):
     return rt.stride_windows(table(spark, folder, "documents"), "doc_id", "text")
 
 
-@query("doc_chunks")
+def _chunks_sql(size: int, overlap: int) -> str:
+    """Chunks of every text in SQL: pieces level by level, then from chunk to chunk along the ends of the pieces of a run.
+
+    ``path`` orders what a text falls into: runs of short pieces at even, long pieces at odd numbers.
+    """
+    separators = ("chr(10) || chr(10)", "chr(10)", "' '")
+    at = " ".join(f"WHEN s <= {k} AND contains(t, {sep}) THEN {k}" for k, sep in enumerate(separators))
+    split = " ".join(f"WHEN {k} THEN list_transform(string_split(t, {sep}), lambda x, i: CASE WHEN i = 1 THEN x ELSE {sep} || x END)" for k, sep in enumerate(separators))
+    levels = ["n0 AS (SELECT r, path, t, CASE {at} ELSE 3 END AS s FROM (SELECT r, CAST([] AS BIGINT[]) AS path, coalesce(text, '') AS t, 0 AS s FROM doc))"]
+    for k in range(3):
+        levels.append(f"""l{k} AS (SELECT r, path, s, list_filter(CASE s {split} END, lambda x: x <> '') AS ps FROM n{k} WHERE s < 3),
+ e{k} AS (SELECT r, path, s, unnest(ps) AS piece, generate_subscripts(ps, 1) AS k FROM l{k}),
+ p{k} AS (SELECT *, sum(CAST(length(piece) >= {size} AS INT)) OVER (PARTITION BY r, path ORDER BY k) AS longs, length(piece) >= {size} AS long FROM e{k}),
+ n{k + 1} AS (SELECT r, path, t, CASE {{at}} ELSE 3 END AS s FROM (SELECT r, list_append(path, CAST(2 * longs - 1 AS BIGINT)) AS path, piece AS t, s + 1 AS s FROM p{k} WHERE long))""")
+    runs = " UNION ALL ".join(
+        f"""SELECT r, list_append(path, CAST(2 * longs AS BIGINT)) AS path, string_agg(piece, '' ORDER BY k) AS t, list_prepend(0, list(upto ORDER BY k)) AS c
+ FROM (SELECT *, sum(length(piece)) OVER (PARTITION BY r, path, longs ORDER BY k) AS upto FROM p{k} WHERE NOT long) GROUP BY r, path, longs"""
+        for k in range(3)
+    )
+    letters = " UNION ALL ".join(f"SELECT r, path, t, range(0, length(t) + 1) AS c FROM n{k} WHERE s = 3 AND t <> ''" for k in range(4))
+    blank = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+    # c holds the offsets between pieces, f and e the places in c where a chunk begins and ends.
+    return f"""WITH RECURSIVE doc AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, text FROM documents), {", ".join(levels).replace("{at}", at)},
+ runs AS MATERIALIZED (SELECT row_number() OVER () AS run, * FROM ({runs} UNION ALL {letters})),
+ walk AS (SELECT run, c, CAST(1 AS BIGINT) AS f, CAST(len(list_filter(c, lambda x: x <= {size})) AS BIGINT) AS e FROM runs
+  UNION ALL SELECT run, c, g, CAST(len(list_filter(c, lambda x: x <= c[g] + {size})) AS BIGINT) FROM (
+   SELECT run, c, least(e, 1 + len(list_filter(c, lambda x: x < greatest(c[e] - {overlap}, c[e + 1] - {size})))) AS g FROM walk WHERE e < len(c))),
+ cut AS (SELECT r, path, f, regexp_replace(regexp_replace(substr(t, CAST(w.c[f] + 1 AS BIGINT), CAST(w.c[e] - w.c[f] AS BIGINT)), '^{blank}', ''), '{blank}$', '') AS chunk FROM walk w JOIN runs USING (run))
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY r ORDER BY path, f) AS INTEGER) AS chunk_no, chunk FROM cut JOIN doc USING (r) WHERE chunk <> ''"""
+
+
+@query("doc_chunks", _chunks_sql(rt.CHUNK_SIZE, rt.CHUNK_OVERLAP))
 def doc_chunks(spark, folder):
     return rt.chunk_documents(table(spark, folder, "documents"), "doc_id", "text")
 
