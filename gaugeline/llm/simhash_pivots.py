@@ -17,12 +17,15 @@ components stay in tables; nothing of them passes through the driver.
 
 Null and empty texts have fingerprint zero and are linked like any other. A null doc_id is
 never the smallest of its component; a component of such rows alone has a null id. Repeated
-rows share a fingerprint and each gives its row. An empty table gives no rows.
+rows share a fingerprint and each gives its row. An empty table gives no rows. Texts come to the
+workers in small batches, and a text of any length is taken a run of words at a time.
 """
 
 from __future__ import annotations
 
 import itertools
+import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +46,11 @@ SCATTERED = 16
 CELL_PART = 2048
 #: Cells up to this size are compared pair by pair at once.
 SMALL_CELL = 16
-#: Shingles whose bits are counted together.
-SHINGLES_AT_ONCE = 1 << 16
+#: Bytes of a text whose words and shingles are held at a time.
+BYTES_AT_ONCE = 1 << 16
+SPACE = re.compile(rb"[\x20\x09-\x0D]")
+#: Texts of a batch that goes to a worker.
+BATCH_TEXTS = 1000
 
 
 def pivots() -> tuple[np.uint64, np.ndarray, np.ndarray]:
@@ -77,23 +83,35 @@ def cells(prints: np.ndarray, radius: int) -> list[np.ndarray]:
     return result
 
 
+def runs_of_words(data: bytes) -> Iterator[list[bytes]]:
+    """The words of a text in order, A-Z lower-cased, as many at a time as ``BYTES_AT_ONCE`` hold."""
+    at = 0
+    while at < len(data):
+        # A word that the end falls into is taken whole.
+        space = SPACE.search(data, at + BYTES_AT_ONCE)
+        end = space.start() if space else len(data)
+        yield data[at:end].lower().split()
+        at = end
+
+
 def fingerprint(data: bytes, width: int = 3) -> int:
     """SimHash of the word shingles of UTF-8 bytes, A-Z lower-cased."""
-    words = data.lower().split()
-    if not words:
-        return 0
     digest = xxhash.xxh64_intdigest
-    if len(words) < width:
-        return digest(b" ".join(words), SEED)
-    text = b" ".join(words)
-    ends = list(itertools.accumulate((len(w) + 1 for w in words), initial=-1))
-    n = len(words) - width + 1
-    counts = np.zeros(BITS, dtype=np.int64)
-    for at in range(0, n, SHINGLES_AT_ONCE):
+    counts, n, words = np.zeros(BITS, dtype=np.int64), 0, []
+    for run in runs_of_words(data):
+        # The last words of the runs before begin the shingles that reach into this one.
+        words = words[max(0, len(words) - width + 1) :] + run
+        if len(words) < width:
+            continue
+        text = b" ".join(words)
+        ends = list(itertools.accumulate((len(w) + 1 for w in words), initial=-1))
         # A shingle runs from behind the space before its first word to the end of its last.
-        part = [digest(text[a + 1 : b], SEED) for a, b in zip(ends[at : min(n, at + SHINGLES_AT_ONCE)], ends[at + width :])]
+        part = [digest(text[a + 1 : b], SEED) for a, b in zip(ends, ends[width:])]
         bits = np.unpackbits(np.array(part, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts += bits.sum(axis=0, dtype=np.int64)
+        n += len(part)
+    if not n:
+        return digest(b" ".join(words), SEED) if words else 0
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
@@ -192,7 +210,9 @@ def near_links(prints: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
                 [pa.array(np.concatenate(columns), pa.int64()), pa.array(np.tile(own, len(columns)), pa.int64())], ["cell", "print"]
             )
 
-    dealt = scratch.settle(prints.mapInArrow(deal, "cell long, print long"), "cells")
+    # So many tasks that the cells counted in one are few: most cells hold one fingerprint, so counts are as many as rows.
+    width = shuffle_width(scratch.spark)
+    dealt = prints.repartition(width).mapInArrow(deal, "cell long, print long")
     sizes = dealt.groupBy("cell").agg(F.count("*").alias("size")).where("size > 1")
     parts = F.ceil(F.col("size") / F.lit(CELL_PART)).cast("int")
     own = F.pmod(F.xxhash64("print"), F.col("parts")).cast("int")
@@ -202,8 +222,7 @@ def near_links(prints: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
         .withColumn("other", F.explode(F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))))
         .select("cell", "print", F.least("own", "other").alias("part_a"), F.greatest("own", "other").alias("part_b"))
     )
-    buckets = 8 * shuffle_width(prints.sparkSession)
-    bucketed = met.withColumn("bucket", F.pmod(F.xxhash64("cell", "part_a", "part_b"), F.lit(buckets)).cast("int"))
+    bucketed = met.withColumn("bucket", F.pmod(F.xxhash64("cell", "part_a", "part_b"), F.lit(8 * width)).cast("int"))
     return bucketed.groupBy("bucket").applyInArrow(link_cells(radius), "a long, b long")
 
 
@@ -212,11 +231,10 @@ def grouped(docs: DataFrame, radius: int, width: int) -> tuple[DataFrame, DataFr
     if not 0 <= radius < GROUPS:
         raise ValueError(f"radius must be below {GROUPS}")
     scratch = Scratch(docs.sparkSession, "simhash")
-    prints = scratch.settle(fingerprints(docs, width), "prints")
+    prints = scratch.settle(fingerprints(docs, width), "prints", BATCH_TEXTS)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
     nodes = prints.groupBy("print").agg(first)
     found = components(near_links(nodes.select("print"), radius, scratch), scratch)
-    scratch.drop("cells")
     rooted = nodes.join(found.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
     return prints, rooted
 

@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import xxhash
@@ -62,6 +63,35 @@ def test_edges(spark):
     assert S.near_duplicates(spark.createDataFrame([], "doc_id long, text string, print int, cell string")).collect() == []
 
 
+def test_long_texts_are_taken_in_runs():
+    rng = random.Random(7)
+    text = "".join(rng.choice(["Ab", "b", "\u00c4C", "dd", "E1"]) + rng.choice([" ", "\t", " \n "]) for _ in range(400_000))
+    tracemalloc.start()
+    got = S.fingerprint(text.encode())
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == plain_print(text)
+    # The words and their places, held whole, were some 45 MB.
+    assert most < 16e6
+
+
+def test_words_across_the_ends_of_runs(monkeypatch):
+    rng = random.Random(9)
+    texts = ["", " ", "a", " a ", "a b", "A b c", "a" * 50, "a" * 50 + " b", *("".join(rng.choice("ab \tC\u00e9") for _ in range(rng.randrange(1, 90))) for _ in range(300))]
+    for size in (1, 2, 3, 7, 16):
+        monkeypatch.setattr(S, "BYTES_AT_ONCE", size)
+        assert [S.fingerprint(t.encode()) for t in texts] == [plain_print(t) for t in texts]
+
+
+def test_texts_come_in_small_batches(spark, monkeypatch):
+    from gaugeline.llm.common import Scratch
+
+    asked, settle = {}, Scratch.settle
+    monkeypatch.setattr(Scratch, "settle", lambda self, df, name, rows=None, **o: asked.update({name: rows}) or settle(self, df, name, rows, **o))
+    S.grouped(spark.createDataFrame([(1, "a b c"), (2, "a b c d")], "doc_id long, text string"), 3, 3)
+    assert asked["prints"] == S.BATCH_TEXTS <= 1000
+
+
 def near_prints(rng, n):
     """Chains of fingerprints, a few flipped bits apart, so that cells are large."""
     found = [rng.getrandbits(64)]
