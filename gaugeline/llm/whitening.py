@@ -216,7 +216,11 @@ class Whitening:
         return (rows * self.n - np.array(self.sums, dtype=np.int64)[None, :]).astype(np.float64) / self.n
 
     def whiten(self, rows: np.ndarray) -> np.ndarray:
-        return self.centred(rows) @ (self.components / np.sqrt(self.values)[None, :])
+        """The projections; summed one dimension after another, as a library's product rounds a row by the rows beside it."""
+        total = np.zeros((len(rows), len(self.values)))
+        for away, component in zip(self.centred(rows).T, self.components / np.sqrt(self.values)[None, :], strict=True):
+            total += away[:, None] * component[None, :]
+        return total
 
     def deviations(self, rows: np.ndarray) -> list[int | None]:
         """Sum over dimensions of (n x - S)^2, exact; None beyond 64 bits."""

@@ -81,6 +81,18 @@ def test_independent_of_partitioning(spark):
     assert [r[:6] for r in one] == [r[:6] for r in many]
 
 
+@pytest.mark.parametrize("dims", [8, 24, 64])
+def test_rows_do_not_depend_on_their_block(dims):
+    rng = np.random.default_rng(dims)
+    rows = rng.integers(999_000, 1_001_000, (300, dims))
+    centred = rows - rows.mean(axis=0)
+    values, components = W.leading_components(centred.T @ centred / len(rows), 16)
+    model = W.Whitening(len(rows), rows.sum(axis=0).tolist(), None, values, components)
+    whole = model.whiten(rows)
+    for size in (1, 2, 3, 7, 23, 64):
+        assert (np.concatenate([model.whiten(rows[k : k + size]) for k in range(0, len(rows), size)]) == whole).all()
+
+
 @pytest.mark.parametrize("name", ["random", "identity", "repeated", "graded", "ones", "blocks", "tiny", "huge", "near identity"])
 @pytest.mark.parametrize("n", [1, 2, 3, 17, 64])
 def test_components(name, n):
