@@ -6,14 +6,15 @@ for the postings of the terms that are asked for. Everything after that works on
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeline.functions.text import words
 from gaugeline.operators.ranking import top_per_group
-from gaugeline.session import settle
+from gaugeline.operators.scored_texts import lists_of
+from gaugeline.session import settle, ship
 
 # BM25 constants.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -57,12 +58,21 @@ def asked_terms(queries: DataFrame, query_id: str, question: str, keep: Sequence
     return queries.select(query_id, *keep, F.explode(words(F.col(question))).alias("term")).groupBy(query_id, *keep, "term").agg(F.count("*").alias("times"))
 
 
-def postings(documents: DataFrame, asked: DataFrame, id_column: str, text: str, keep: Sequence[str] = ()) -> DataFrame:
+def postings(documents: DataFrame, asked: DataFrame, id_column: str, text: str, keep: Sequence[str] = (), listed: Sequence[str] | None = None) -> DataFrame:
     """(id, keep..., length, term, tf) of the terms that any question asks for, written once.
 
     Other terms are dropped where they are read. All words of a document are in one task, so
     counts are whole before they are shuffled.
+
+    With ``listed``, the terms asked for in a list, there is one row (id, keep..., length, terms, counts) per text
+    that holds one, a term as its place in the list; nothing is shuffled or written. Texts with one id are not added up.
     """
+    if listed is not None:
+        ship(documents.sparkSession)
+        shared = documents.sparkSession.sparkContext.broadcast(list(listed))
+        read = documents.select(id_column, *keep, text)
+        kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema.fields[:-1])
+        return read.mapInArrow(lists_of(shared), f"{kept}, length int, terms array<int>, counts array<int>")
     tokens = documents.select(id_column, *keep, words(F.col(text)).alias("__t")).select(
         id_column, *keep, F.size("__t").alias("length"), F.explode_outer("__t").alias("term")
     )
@@ -85,6 +95,38 @@ def group_weights(statistics: DataFrame, asked: DataFrame) -> DataFrame:
     return wanted.select("grp", "term", idf.alias("idf"), "mean_length", "documents")
 
 
+def group_weights_by_kind(statistics: DataFrame, kind: str, readers: Mapping[str | None, Sequence[int]], asked: DataFrame) -> DataFrame:
+    """``group_weights`` from counts per kind, where ``readers`` names the groups that read a kind.
+
+    Kinds and groups are fixed vocabularies: a term is one row with a column per group, so no row is there once per group.
+    """
+    spark = statistics.sparkSession
+    counts, words_of = {}, {}
+    for name, df, n in statistics.filter(F.col("term").isNull()).select(kind, "df", "words").collect():
+        for g in readers.get(name, ()):
+            counts[g], words_of[g] = counts.get(g, 0) + df, words_of.get(g, 0) + (n or 0)
+    if not counts:
+        return spark.createDataFrame([], "grp int, term string, idf double, mean_length double")
+
+    def reads(g: int) -> Column:
+        own = F.lit(False)
+        for name in (k for k, groups in readers.items() if g in groups):
+            own = own | F.col(kind).eqNullSafe(F.lit(name))
+        return own
+
+    def per_term(rows: DataFrame) -> DataFrame:
+        summed_up = rows.groupBy("term").agg(*[F.sum(F.when(reads(g), F.col("df"))).alias(f"df{g}") for g in counts])
+        return summed_up.select("term", *[(F.log(F.lit(n) - F.col(f"df{g}") + 0.5) - F.log(F.col(f"df{g}") + 0.5)).alias(f"raw{g}") for g, n in counts.items()])
+
+    terms = statistics.filter(F.col("term").isNotNull())
+    means = per_term(terms).agg(*[F.avg(f"raw{g}").alias(f"raw{g}") for g in counts]).first()
+    wanted = per_term(terms.join(asked.select("term").distinct(), "term", "left_semi"))
+    groups = spark.createDataFrame([(g, None if means[f"raw{g}"] is None else means[f"raw{g}"] * EPSILON, words_of[g] / counts[g]) for g in counts], "grp int, floor double, mean_length double")
+    each = wanted.select("term", F.inline(F.array(*[F.struct(F.lit(g).alias("grp"), F.col(f"raw{g}").alias("raw")) for g in counts]))).filter(F.col("raw").isNotNull())
+    idf = F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw"))
+    return each.join(groups, "grp").select("grp", "term", idf.alias("idf"), "mean_length")
+
+
 def term_gains(found: DataFrame, weights: DataFrame) -> DataFrame:
     """(grp, term, documents, gain, ...): what a term adds to the score of a document per time it is asked for."""
     mean = F.when(F.col("mean_length") > 0, F.col("mean_length")).otherwise(1.0)
