@@ -138,12 +138,21 @@ def rule_scopes(rules: DataFrame, rule_tables: DataFrame, columns: DataFrame) ->
     scope, whatever the order in which they name its tables. A rule none of whose tables is known, or that
     names none, has the scope of all tables.
     """
-    known = columns.select("table_name").distinct()
-    named = rule_tables.select("rule_id", "table_name").join(known, "table_name", "left_semi")
-    sets = named.groupBy("rule_id").agg(F.array_sort(F.collect_set("table_name")).alias("tables"))
+    sets = known_tables(rule_tables, columns)
     every = F.array().cast("array<string>")
     placed = rules.select("rule_id").distinct().join(sets, "rule_id", "left").withColumn("tables", F.coalesce("tables", every))
-    return placed.select("rule_id", F.when(F.size("tables") > 0, F.to_json("tables")).otherwise(ALL_TABLES).alias("scope"), "tables")
+    return placed.select("rule_id", scope_name("tables").alias("scope"), "tables")
+
+
+def known_tables(rule_tables: DataFrame, columns: DataFrame) -> DataFrame:
+    """(rule_id, tables): the set of tables of each rule that ``columns`` knows; rules without one have no row."""
+    known = columns.select("table_name").distinct()
+    named = rule_tables.select("rule_id", "table_name").join(known, "table_name", "left_semi")
+    return named.groupBy("rule_id").agg(F.array_sort(F.collect_set("table_name")).alias("tables"))
+
+
+def scope_name(tables: str) -> Column:
+    return F.when(F.size(tables) > 0, F.to_json(tables)).otherwise(ALL_TABLES)
 
 
 def scope_columns(scopes: DataFrame, columns: DataFrame) -> DataFrame:
@@ -164,14 +173,47 @@ def resolve_for_rules(
 
     ``entities`` has (rule_id, entity) and may have ``vector``; ``columns`` (table_name, position, column) in the
     order in which ties are settled. ``scores`` are those of ``score_maps`` with scopes as ``rule_scopes``
-    writes them. No entity is lost: rules without a known table search all columns. An entity is scored once per scope, not once per rule.
+    writes them. No entity is lost: rules without a known table search all columns.
+
+    A score of names alone does not depend on the scope: an entity is scored once per table it meets and the best of a rule's
+    tables are compared in the rule's row, so the work on names grows with entities and tables, not with the sets of
+    tables in use. External scores (by places in a scope's pool) and vectors (of a column's first table in the scope) are scored once per scope.
     """
+    said = entities.filter(F.coalesce(F.col("entity"), F.lit("")) != "")
+    if scores is None and not ("vector" in entities.columns and "vector" in columns.columns):
+        return _resolve_by_table(said.select("rule_id", "entity"), rule_tables, columns.select("table_name", "position", "column"), weights)
     scopes = settle(rule_scopes(entities, rule_tables, columns))
-    placed = entities.filter(F.coalesce(F.col("entity"), F.lit("")) != "").join(scopes.select("rule_id", "scope"), "rule_id")
+    placed = said.join(scopes.select("rule_id", "scope"), "rule_id")
     best = best_columns(ranked_candidates(placed.drop("rule_id"), pools(scope_columns(scopes, columns)), scores, weights))
     return spread_join(placed.select("rule_id", "entity", "scope").distinct(), best, ["scope", "entity"]).select("rule_id", "entity", "scope", "column", "score")
 
 
+def _resolve_by_table(entities: DataFrame, rule_tables: DataFrame, columns: DataFrame, weights: Mapping[str, float]) -> DataFrame:
+    sets = known_tables(rule_tables, columns)
+    tables = F.coalesce("tables", F.array().cast("array<string>")).alias("tables")
+    # Read for the pairs and for the result; one row per rule and entity.
+    placed = settle(entities.filter(F.col("rule_id").isNotNull()).join(sets, "rule_id", "left").select("rule_id", "entity", tables).distinct())
+    one = F.when(F.col("table_name").isNotNull(), F.array("table_name")).otherwise(F.array().cast("array<string>"))
+    met = placed.select("entity", F.explode_outer("tables").alias("table_name")).distinct().withColumn("tables", one)
+    pairs = settle(met.select("entity", "table_name", "tables", scope_name("tables").alias("scope")))
+    own = scope_columns(pairs, columns)
+    best = best_columns(ranked_candidates(pairs.select("scope", "entity"), pools(own), None, weights))
+    first = own.groupBy("scope", "column").agg(F.min("position").alias("position"))
+    found = best.join(first, ["scope", "column"]).join(pairs.select("scope", "entity", "table_name"), ["scope", "entity"]).withColumn(
+        "best", F.struct((-F.col("score")).alias("negative"), "position", "column")
+    )
+    # One row per entity, as long as the catalogue has tables.
+    of_entity = settle(found.groupBy("entity").agg(
+        F.map_from_entries(F.collect_list(F.when(F.col("table_name").isNotNull(), F.struct("table_name", "best")))).alias("by_table"),
+        F.max(F.when(F.col("table_name").isNull(), F.col("best"))).alias("of_all"),
+    ))
+    chosen = F.when(F.size("tables") > 0, F.array_min(F.transform("tables", lambda t: F.try_element_at("by_table", t)))).otherwise(F.col("of_all"))
+    # A generator reads the expression once; without a best column there is no row.
+    first_best = F.inline(F.array_compact(F.array(chosen)))
+    rows = spread_join(placed, of_entity, ["entity"]).select("rule_id", "entity", scope_name("tables").alias("scope"), first_best)
+    return rows.select("rule_id", "entity", "scope", "column", (-F.col("negative")).alias("score"))
+
+
 def resolve_scoped(entities: DataFrame, schema_columns: DataFrame, schema_tables: DataFrame, dataset_columns: DataFrame, rule_scope: DataFrame, weights: Mapping[str, float] = DEFAULT_WEIGHTS) -> DataFrame:
     """M7: the second hop searches the table a schema column declares, else the rule's table, else all tables.
 

@@ -122,3 +122,26 @@ def test_scoped_second_hop_falls_back_to_all_tables(spark):
     own = spark.createDataFrame([(1, "t1"), (2, "ghost")], "rule_id int, table_name string")
     got = sorted(tuple(r) for r in mt.resolve_scoped(entities, schema, declared, dataset, own, FUZZY).collect())
     assert got == [(1, "balance", "balance", "t1", "balance_eur"), (2, "amount", "amount", None, "amount_eur"), (3, "amount", "amount", None, "amount_eur")]
+
+
+def test_entities_are_scored_once_per_table_not_once_per_set_of_tables(spark, monkeypatch):
+    from itertools import combinations
+
+    names = [f"t{i}" for i in range(8)]
+    # One name in many tables, equal names in several tables, and names that are equally near.
+    rows = [(t, 10 * i, "net_return") for i, t in enumerate(names[::-1])] + [(t, 100 + i, f"col_{i % 3}") for i, t in enumerate(names)] + [("t2", 3, "aa"), ("t5", 3, "ab"), ("*", 1, "zz")]
+    columns = spark.createDataFrame(rows, "table_name string, position int, column string")
+    sets = [c for n in (1, 2, 3) for c in combinations(names, n)]
+    given = spark.createDataFrame([(r, t) for r, s in enumerate(sets) for t in s] + [(500, "*"), (501, "ghost"), (None, "t1")], "rule_id int, table_name string")
+    said = ["net return", "col", "a", "xyz", "col_2"]
+    entities = spark.createDataFrame([(r, e) for r in [*range(len(sets)), 500, 501, 502, None] for e in said] + [(1, "col"), (2, ""), (3, None)], "rule_id int, entity string")
+    # By scope, as where external scores come in.
+    scopes = mt.rule_scopes(entities, given, columns)
+    placed = entities.join(scopes.select("rule_id", "scope"), "rule_id")
+    best = mt.best_columns(mt.ranked_candidates(placed.drop("rule_id"), mt.pools(mt.scope_columns(scopes, columns)), None, FUZZY))
+    want = {tuple(r) for r in placed.distinct().join(best, ["scope", "entity"]).select("rule_id", "entity", "scope", "column", "score").collect()}
+    scored = []
+    monkeypatch.setattr(mt, "ranked_candidates", lambda e, *a, _own=mt.ranked_candidates: scored.append(e) or _own(e, *a))
+    got = mt.resolve_for_rules(entities, given, columns, None, FUZZY).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want) == len(said) * (len(sets) + 3)
+    assert sum(df.select("scope", "entity").distinct().count() for df in scored) == len(said) * (len(names) + 2)
