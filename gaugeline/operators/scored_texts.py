@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 
 #: Words that are counted together, documents of a tile, products (a word of a document times a question) that are added
 #: together, and rows that wait to be cut to the best.
-WORDS, TILE_DOCUMENTS, PRODUCTS, WAITING = 1 << 20, 512, 1 << 20, 1 << 18
+WORDS, TILE_DOCUMENTS, PRODUCTS, WAITING = 1 << 18, 512, 1 << 18, 1 << 16
 
 
 def lists_of(shared):
